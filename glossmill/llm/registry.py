@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
-from glossmill.llm import decontam, packing, simhash
+import corpus_pipeline
+
+from glossmill.llm import (
+    decontam,
+    minhash,
+    packing,
+    pii,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    substring_dedup,
+    warc,
+)
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_packing": packing.op2_packing,
     "op3_decontam": decontam.op3_decontam,
+    "op4_suffix_dedup": substring_dedup.op4_suffix_dedup,
+    "op5_pii": pii.op5_pii,
+    "op6_warc": warc.op6_warc,
+    "op7_sharding": sharding.op7_sharding,
+    "op8_secrets": secret_scan.op8_secrets,
+    "op9_fingerprints": minhash.op9_fingerprints,
     "op10_simhash": simhash.op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op3_decontam": decontam.ORACLE,
+    "op6_warc": warc.ORACLE,
 }
