@@ -1,4 +1,11 @@
-"""All queries of the reference capabilities and their DuckDB SQL."""
+"""All queries of the vocabulary engine and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from glossmill.plans import card_queries, gold_queries, text_queries, vocabulary_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (text_queries, vocabulary_queries, card_queries, gold_queries):
+    QUERIES.update(_part.QUERIES)
+    ORACLES.update(_part.ORACLES)
