@@ -164,4 +164,5 @@ def retry_lemmas(parsed: DataFrame, empty: bool = True, fallback: bool = True) -
 
 def merge_retries(cards: DataFrame, retried: DataFrame) -> DataFrame:
     """``cards`` with all cards of retried lemmas replaced."""
-    return cards.join(retried.select("lemma").distinct(), "lemma", "left_anti").unionByName(retried)
+    kept = cards.join(retried.select("lemma").distinct(), "lemma", "left_anti")
+    return kept.select(*cards.columns).unionByName(retried)

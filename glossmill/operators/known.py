@@ -48,7 +48,7 @@ def unknown_phrases(stats: DataFrame, known: DataFrame, least: int = 2) -> DataF
 def upsert(known: DataFrame, updates: DataFrame) -> DataFrame:
     """``known`` with the rows of ``updates`` in place of those of equal lemma and item type."""
     kept = known.join(updates.select("lemma", "item_type").distinct(), ["lemma", "item_type"], "left_anti")
-    return kept.unionByName(updates)
+    return kept.select(*known.columns).unionByName(updates)
 
 
 def progress(known: DataFrame) -> DataFrame:
