@@ -184,14 +184,15 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
 
 def best_pair(keys: list[int], left: dict[int, int], room: int, j: int) -> tuple[int, int] | None:
     """The pair beside ``j`` with the largest sum within ``room``, larger length first."""
+    free = [k for k in keys[: bisect_right(keys, room)] if left[k] > (k == j)]
     best = None
-    lo, hi = 0, bisect_right(keys, room) - 1
+    lo, hi = 0, len(free) - 1
     while lo <= hi:
-        a, b = keys[hi], keys[lo]
-        enough = left[a] - (a == j) >= 1 and left[b] - (b == j) >= 1 and (a != b or left[a] - (a == j) >= 2)
+        a, b = free[hi], free[lo]
         if a + b > room:
             hi -= 1
             continue
+        enough = a != b or left[a] - (a == j) >= 2
         if enough and (best is None or a + b > sum(best)):
             best = (a, b)
         lo += 1
