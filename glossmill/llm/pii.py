@@ -257,10 +257,13 @@ def redact(docs: DataFrame, keep: float = 0.5) -> DataFrame:
         "__spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
     )
     changed = F.size("__spans") > 0
-    columns = {"text": F.when(changed, whole).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.length(whole).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(columns).select(*docs.columns)
+    # A new column first: within one projection a lambda could take the new text for the old.
+    made = found.withColumn("__text", F.when(changed, whole).otherwise(F.col("text")))
+    n_chars = F.when(changed, F.length("__text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    columns = {"text": F.col("__text"), "n_chars": n_chars}
+    return made.select(
+        *[columns[c].cast(docs.schema[c].dataType).alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns]
+    )
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
