@@ -56,6 +56,20 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def shielded(docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list[str]]:
+    """``docs`` with every column but ``needed`` renamed out of the way, and all its columns in order.
+
+    Operators that add columns of their own work on these; ``unshielded`` undoes it.
+    """
+    names = [n if n in needed else f"__kept_{i}" for i, n in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
+def unshielded(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    """The columns ``names`` of a shielded table under their own names."""
+    return df.select(*names).toDF(*columns)
+
+
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import materialize, small_batches, table, text_or_empty
+from glossmill.llm.common import materialize, shielded, small_batches, table, text_or_empty, unshielded
 
 #: Byte map: A-Z to a-z, other ASCII that is no letter or digit to a space.
 _MAP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -179,7 +179,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = 1
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows in which any window of the benchmark occurs."""
-    return scan(docs, benchmark, docs.columns, window).where("n_hit = 0").select(*docs.columns)
+    safe, names = shielded(docs)
+    return unshielded(scan(safe, benchmark, names, window).where("n_hit = 0"), names, docs.columns)
 
 
 def op3_decontam(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import small_batches, table, text_or_empty
+from glossmill.llm.common import shielded, small_batches, table, text_or_empty, unshielded
 from glossmill.llm.hashing import mix, word_hashes
 
 LOG_BUCKETS = 18
@@ -218,8 +218,9 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def keep_good(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows the classifier rejects; it is trained on ``all_docs``."""
-    scored = score(docs, train(all_docs, labels), docs.columns)
-    return scored.where(F.col("score") >= threshold).select(*docs.columns)
+    safe, names = shielded(docs)
+    scored = score(safe, train(all_docs, labels), names)
+    return unshielded(scored.where(F.col("score") >= threshold), names, docs.columns)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
