@@ -1,23 +1,30 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A document's 64-bit fingerprint takes, bit by bit, the majority over the XXH64
-values of its word shingles.  Two fingerprints link at ``threshold`` or fewer
-differing bits.
-
-Links are found through anchors.  The 64 bits are cut into three blocks of 22,
-21 and 21 bits; of ``threshold`` differing bits at most ``threshold // 3`` lie in
-one of them.  In each block the anchors are the code words of the perfect binary
-Golay code of length 23 (shorter blocks are padded with zeros), whose covering
-radius is 3: every block value has exactly one anchor within 3 bits, its home.
-A fingerprint is copied to every anchor within 3 + threshold // 3 bits of a
-block that can be the home of a linked one, so of any linked pair one meets the
-other at the other's home, in at least one block.  Anchors compare homes with
-all that came to them on whole 64-bit values and return only a spanning forest,
-never all pairs; components are then joined over the whole table.
+A document's fingerprint of 64 or 128 bits takes, bit by bit, the majority over
+the hashes of its word shingles: XXH64 for 64 bits, XXH3 for 128.  Two
+fingerprints link at ``threshold`` or fewer differing bits.
+
+Links are found through anchors.  The bits are cut into blocks, 64 into three of
+22, 21 and 21 bits, 128 into eight of 16.  Of ``threshold`` differing bits some
+block has at most ``threshold // blocks``.  In each block the anchors are the code
+words of the perfect binary Golay code of length 23 (shorter blocks are padded
+with zeros), whose covering radius is 3: every block value has exactly one anchor
+within 3 bits, its home.  A fingerprint is copied to every anchor within 3 bits
+and that share of the threshold that can be the home of a linked one, so of any
+linked pair one meets the other at the other's home, in at least one block.
+Anchors compare homes with all that came to them on whole fingerprints and return
+only a spanning forest, never all pairs; components are then joined over the
+whole table.
 
 Exact copies collapse to one fingerprint before anything is copied, so a group
 of copies costs one row per anchor however large it is.
 
+The 64-bit form at 4 bits is for fingerprints that others compute too.  For
+``keep_one`` 4 of 64 bits would find few texts of likeness 0.8: a likeness J of
+shingle sets is an angle of arccos(2J / (1 + J)), 0.15 of all bits at 0.8, with a
+deviation that 64 bits cannot resolve.  It therefore takes 128 bits of five-word
+shingles and 20 bits.
+
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero and links like any other; fewer words than a shingle form one
 shingle of all of them; repeated rows share their component; a component is
@@ -40,43 +47,51 @@ from glossmill.llm.components import connected_components
 
 #: Seed of XXH64.
 SEED = 42
-#: Bits of the three blocks, from the low end.
-BLOCKS = (22, 21, 21)
+#: Bits of the blocks of each word, from the low end, by words of 64 bits.
+BLOCKS = {1: ((22, 21, 21),), 2: ((16, 16, 16, 16), (16, 16, 16, 16))}
+#: Bits that differ at most between texts of which ``keep_one`` keeps one, of 128.
+NEAR_BITS = 20
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
 _CHUNK = 1 << 15
 
 
-def word_fingerprint(text: str | None, words_per_shingle: int = 4) -> bytes:
-    """The 8 bytes, high byte first, of a text's fingerprint."""
+def word_fingerprint(text: str | None, words_per_shingle: int = 4, size: int = 1) -> bytes:
+    """The bytes, high byte first, of a text's fingerprint of ``size`` words of 64 bits."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8)
+        return bytes(8 * size)
     joined, n = b" ".join(words), len(words)
-    size = min(words_per_shingle, n)
+    width = min(words_per_shingle, n)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: n - size + 1].tolist()
-    stops = ends[size - 1 :].tolist()
-    total = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_digest
+    starts = np.concatenate(([0], ends[:-1] + 1))[: n - width + 1].tolist()
+    stops = ends[width - 1 :].tolist()
+    total = np.zeros(64 * size, np.int64)
+    digest = xxhash.xxh64_digest if size == 1 else xxhash.xxh3_128_digest
     for i in range(0, len(starts), _CHUNK):
         raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + _CHUNK], stops[i : i + _CHUNK])])
-        total += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        total += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8 * size), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(total * 2 > len(starts)).tobytes()
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
+def _prints(size: int) -> list[str]:
+    return [f"f{i}" for i in range(size)]
+
+
+def fingerprints(docs: DataFrame, words_per_shingle: int = 4, size: int = 1) -> DataFrame:
+    """(doc_id, f0, ..) for every row; the fingerprint as ``size`` signed longs."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", *_prints(size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = b"".join(word_fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist())
-            fps = np.frombuffer(raw, ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            raw = b"".join(word_fingerprint(t, words_per_shingle, size) for t in batch.column(1).to_pylist())
+            fps = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, size)
+            columns = [pa.array(np.ascontiguousarray(fps[:, i])) for i in range(size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,33 +122,37 @@ def _golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Anchors:
-    """Homes and reachable anchors of fingerprints, for one threshold."""
+    """Homes and reachable anchors of fingerprints, for one threshold and size."""
 
-    def __init__(self, threshold: int):
+    def __init__(self, threshold: int, size: int = 1):
         self.low, self.high, self.errors = _golay_tables()
-        near = threshold // len(BLOCKS)
-        self.flips = []
-        for bits in BLOCKS:
+        self.blocks = BLOCKS[size]
+        near = threshold // sum(map(len, self.blocks))
+        self.flips = {}
+        for bits in {b for word in self.blocks for b in word}:
             words = [sum(1 << p for p in c) for w in range(near + 1) for c in itertools.combinations(range(bits), w)]
-            self.flips.append(np.array(words, np.int32))
+            self.flips[bits] = np.array(words, np.int32)
 
     def anchor(self, block: np.ndarray) -> np.ndarray:
         syndrome = self.low[block & 0xFFF] ^ self.high[block >> 12]
         return (block ^ self.errors[syndrome]) >> 11
 
     def replicas(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each block: keys, row numbers and whether the anchor is the home."""
-        rest = fps.view(np.uint64)
-        for b, bits in enumerate(BLOCKS):
-            block = (rest & np.uint64((1 << bits) - 1)).astype(np.int32)
-            rest = rest >> np.uint64(bits)
-            home = self.anchor(block)
-            cells = np.sort(self.anchor(block[:, None] ^ self.flips[b][None, :]), axis=1)
-            fresh = np.ones(cells.shape, bool)
-            fresh[:, 1:] = cells[:, 1:] != cells[:, :-1]
-            rows, cols = np.nonzero(fresh)
-            keys = cells[rows, cols]
-            yield (keys + (b << 12)).astype(np.int32), rows, keys == home[rows]
+        """For each block of fingerprints (rows of words): keys, row numbers, whether the anchor is the home."""
+        b = -1
+        for word, blocks in enumerate(self.blocks):
+            rest = np.ascontiguousarray(fps[:, word]).view(np.uint64)
+            for bits in blocks:
+                b += 1
+                block = (rest & np.uint64((1 << bits) - 1)).astype(np.int32)
+                rest = rest >> np.uint64(bits)
+                home = self.anchor(block)
+                cells = np.sort(self.anchor(block[:, None] ^ self.flips[bits][None, :]), axis=1)
+                fresh = np.ones(cells.shape, bool)
+                fresh[:, 1:] = cells[:, 1:] != cells[:, :-1]
+                rows, cols = np.nonzero(fresh)
+                keys = cells[rows, cols]
+                yield (keys + (b << 12)).astype(np.int32), rows, keys == home[rows]
 
 
 def _find(parent: np.ndarray) -> np.ndarray:
@@ -144,21 +163,24 @@ def _find(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
-def forest(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, root) that join all linked fingerprints met at one anchor.
+def forest(nodes: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, root) of nodes that join all linked fingerprints met at one anchor.
 
     Homes are taken in tiles that grow; pairs already joined are skipped, so a
     dense group costs comparisons but no list of pairs.
     """
     n, homes = len(fps), np.nonzero(home)[0]
     parent = np.arange(n)
-    whole = fps.view(np.uint64)
+    words = [np.ascontiguousarray(fps[:, i]).view(np.uint64) for i in range(fps.shape[1])]
     at, tile = 0, 1
     most = max(1, (1 << 22) // max(1, n))
     while at < len(homes):
         rows = homes[at : at + tile]
         at, tile = at + tile, min(tile * 2, most)
-        close = np.bitwise_count(whole[rows][:, None] ^ whole[None, :]) <= threshold
+        apart = np.bitwise_count(words[0][rows][:, None] ^ words[0][None, :])
+        for w in words[1:]:
+            apart += np.bitwise_count(w[rows][:, None] ^ w[None, :])
+        close = apart <= threshold
         close &= parent[rows][:, None] != parent[None, :]
         left, right = np.nonzero(close)
         for i, j in zip(rows[left].tolist(), right.tolist()):
@@ -172,35 +194,37 @@ def forest(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarra
         if len(left):
             parent = _find(parent)
     members = np.nonzero(parent != np.arange(n))[0]
-    return fps[members], fps[parent[members]]
+    return nodes[members], nodes[parent[members]]
 
 
-def links(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints whose components are those of all links.
+def links(prints: DataFrame, threshold: int = 4, size: int = 1) -> DataFrame:
+    """Edges (a, b) between nodes whose components are those of all links.
 
-    ``prints`` has a distinct long column ``fp``.
+    ``prints`` has a distinct long column ``node`` and the words f0, .. of its fingerprint.
     """
     spark = prints.sparkSession
     small_batches(spark)
+    words = _prints(size)
+    names = ["anchor", "node", *words, "home"]
 
     def copy_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(threshold)
+        anchors = Anchors(threshold, size)
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for keys, rows, home in anchors.replicas(fps):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(fps[rows]), pa.array(home)], names=["anchor", "fp", "home"]
-                )
+            nodes, *fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for keys, rows, home in anchors.replicas(np.stack(fps, axis=1)):
+                columns = [pa.array(keys), pa.array(nodes[rows]), *(pa.array(f[rows]) for f in fps), pa.array(home)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(parts: list[tuple[np.ndarray, np.ndarray]]):
-            fps, home = (np.concatenate(x) for x in zip(*parts))
-            a, b = forest(fps, home, threshold)
+        def done(parts: list[tuple]) -> pa.RecordBatch:
+            nodes, fps, home = (np.concatenate(x) for x in zip(*parts))
+            a, b = forest(nodes, fps, home, threshold)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held, key = [], None
         for batch in batches:
-            keys, fps, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            keys, nodes, *fps, home = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            fps = np.stack(fps, axis=1)
             cuts = np.nonzero(np.diff(keys))[0] + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
                 if lo == hi:
@@ -209,35 +233,41 @@ def links(prints: DataFrame, threshold: int = 4) -> DataFrame:
                     yield done(held)
                     held = []
                 key = keys[lo]
-                held.append((fps[lo:hi], home[lo:hi]))
+                held.append((nodes[lo:hi], fps[lo:hi], home[lo:hi]))
         if held:
             yield done(held)
 
-    copies = prints.select("fp").mapInArrow(copy_out, "anchor int, fp long, home boolean")
+    kinds = ", ".join(f"{w} long" for w in words)
+    copies = prints.select("node", *words).mapInArrow(copy_out, f"anchor int, node long, {kinds}, home boolean")
     met = copies.repartition(parallelism(spark), "anchor").sortWithinPartitions("anchor")
     return met.mapInArrow(compare, "a long, b long")
 
 
-def components(docs: DataFrame, words_per_shingle: int = 4, threshold: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
-    prints = materialize(fingerprints(docs, words_per_shingle), "simhash-prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    stars = connected_components(links(classes, threshold), "simhash-stars")
-    rooted = classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+def components(docs: DataFrame, words_per_shingle: int = 4, threshold: int = 4, size: int = 1) -> DataFrame:
+    """(doc_id, f0, .., component_id) for every row of ``docs``.
+
+    A class of equal fingerprints is a node.  It is named by its fingerprint if
+    that is one word, else by its smallest doc_id.
+    """
+    words = _prints(size)
+    prints = materialize(fingerprints(docs, words_per_shingle, size), "simhash-prints")
+    node = F.col("f0") if size == 1 else F.coalesce("least", F.xxhash64(*words))
+    classes = prints.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("node", node)
+    classes = materialize(classes, "simhash-classes")
+    stars = connected_components(links(classes, threshold, size), "simhash-stars")
+    rooted = classes.join(stars, "node", "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = materialize(rooted.join(named, "root").select("fp", "component_id"), "simhash-named")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = materialize(rooted.join(named, "root").select(*words, "component_id"), "simhash-named")
+    return prints.join(by_print, words).select("doc_id", *words, "component_id")
 
 
-def keep_one(docs: DataFrame, words_per_shingle: int = 5, threshold: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, words_per_shingle: int = 5, threshold: int = NEAR_BITS, size: int = 2) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row of the smallest doc_id stays.
 
     Rows that repeat a whole document, its doc_id included, are reduced to one.
     Rows without a doc_id stay.
     """
-    found = components(docs, words_per_shingle, threshold)
+    found = components(docs, words_per_shingle, threshold, size)
     drop = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-drop")
     kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
     if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
@@ -251,4 +281,4 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
     from glossmill.llm.common import table
 
     found = components(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -548,22 +548,42 @@ def test_simhash(spark, docs):
     assert got == {i: (f"{p:016x}", named[i]) for (i, _), p in zip(docs, prints)}
 
 
-@pytest.mark.parametrize("threshold", [0, 3, 4, 8])
-def test_links_lose_nothing(spark, threshold):
+@pytest.mark.parametrize("threshold, size", [(0, 1), (3, 1), (4, 1), (8, 1), (20, 2), (25, 2)])
+def test_links_lose_nothing(spark, threshold, size):
     rng = random.Random(threshold)
     prints = set()
-    for _ in range(60):
-        p = rng.getrandbits(64)
+    for _ in range(40):
+        p = rng.getrandbits(64 * size)
         for _ in range(8):
             prints.add(p)
-            for b in rng.sample(range(64), rng.randrange(1, threshold + 2)):
+            for b in rng.sample(range(64 * size), rng.randrange(1, threshold + 3)):
                 p ^= 1 << b
-    prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
-    df = spark.createDataFrame([(p,) for p in prints], "fp long")
-    found = components.connected_components(simhash.links(df, threshold)).collect()
+    prints = sorted(prints)
+
+    def signed(p):
+        return p - (1 << 64) if p >> 63 else p
+
+    data = [(i, *(signed(p >> 64 * k & (1 << 64) - 1) for k in range(size))) for i, p in enumerate(prints)]
+    df = spark.createDataFrame(data, ", ".join(f"{n} long" for n in ["node", *[f"f{k}" for k in range(size)]]))
+    found = components.connected_components(simhash.links(df, threshold, size)).collect()
     root = {r["node"]: r["root"] for r in found}
-    named = plain_components(prints, [p & (1 << 64) - 1 for p in prints], threshold)
-    assert {p: root.get(p, p) for p in prints} == named
+    named = plain_components(range(len(prints)), prints, threshold)
+    assert {i: root.get(i, i) for i in range(len(prints))} == named
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(8)
+    texts, near = [], 0
+    for i in range(60):
+        base = words(300, i, 10**6).split()
+        texts.append(" ".join(base))
+        if i % 2:
+            near += 1
+            for _ in range(3):
+                base[rng.randrange(300)] = f"other{i}"
+            texts.append(" ".join(base))
+    kept = simhash.keep_one(frame(spark, texts)).count()
+    assert 60 <= kept <= 60 + near // 10
 
 
 def test_components_of_chains(spark):
