@@ -262,3 +262,31 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert ("cats", 2) in rows(spark.table("freq"))
+
+
+def test_character_spans(spark):
+    data = [("The cat, the dog.", "cat", 1), ("The cat, the dog.", "the", 0), ("a the the", "the", 5), ("a b", "zz", 0), ("scan can can", "can", 0), ("", "x", 0)]
+    df = spark.createDataFrame(data, "s string, w string, p int")
+    got = [tuple(r["x"]) for r in df.select(gold.char_span(F.col("s"), F.col("w"), F.col("p")).alias("x")).collect()]
+    assert got == [(4, 7), (9, 12), (2, 5), (0, 2), (1, 4), (0, 1)]
+
+
+def test_parsed_labels(spark):
+    def parsed(raw):
+        return value(spark, gold.parse_label(F.lit(raw), F.array(F.lit("a"))))
+
+    assert tuple(parsed('```json\n{"chosen_synset_id":"a","confidence":0.5,"flags":["odd","metaphor"]}\n```')) == ("a", 0.5, ["metaphor"])
+    assert parsed('{"chosen_synset_id":"b","confidence":0.5}') is None
+    assert parsed('{"chosen_synset_id":"b","flags":["none_of_the_above"]}') is not None
+    assert parsed('{"chosen_synset_id":"a","confidence":1.5}') is None and parsed("no") is None
+
+
+def test_constructions(spark):
+    from glossmill.operators import constructions
+
+    items = spark.createDataFrame([(1, "go", "He is going to go on."), (2, "over", "Look OVER there"), (3, "go", "nothing")], "item int, lemma string, sentence string")
+    found = rows(constructions.detect(items, constructions.table(spark)))
+    assert found == [(1, "BE_GOING_TO", "SKIP", 3, 14, 1), (1, "GO_ON", "CONSTRAIN", 15, 20, 2), (2, "OVER_THERE", "OVERRIDE", 5, 15, 1)]
+    verbs = spark.createDataFrame([(1, "go", "on"), (3, "go", "on")], "item int, verb string, particle string")
+    guided = rows(constructions.guidance(constructions.detect(items, constructions.table(spark)), verbs))
+    assert guided == [(1, "BE_GOING_TO", "SKIP", None), (2, "OVER_THERE", "OVERRIDE", "over.r.01"), (3, "PHRASAL_GO_ON", "CONSTRAIN", None)]
