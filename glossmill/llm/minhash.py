@@ -36,6 +36,8 @@ from glossmill.llm.hashing import mix, shingle_hashes, word_hashes
 
 SHINGLE, BINS, BITS = 5, 512, 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Steps of the walks that a sketcher keeps at hand.
+_TABLED = 340
 
 
 class Sketcher:
@@ -46,18 +48,32 @@ class Sketcher:
             raise ValueError("bins must be a power of two and bits divide 8")
         self.bins, self.bits, self.shingle = bins, bits, shingle
         self.shift = np.uint64(64 - bins.bit_length() + 1)
+        self.table = self._walks(np.arange(1, _TABLED + 1), np.arange(bins)).astype(np.int16 if bins < 1 << 15 else np.int64)
+
+    def _walks(self, steps: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        """The bins that walks from ``bins`` reach at ``steps`` (rows)."""
+        seeds = bins.astype(np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + steps.astype(np.uint64)[:, None]
+        return (mix(seeds) >> self.shift).astype(np.int64)
 
     def _densify(self, least: np.ndarray) -> np.ndarray:
-        empty = np.nonzero(least == _EMPTY)[0]
         full = least != _EMPTY
-        step = 0
+        empty = np.nonzero(~full)[0]
+        known = np.nonzero(full)[0]
+        if len(known) == 1:
+            least[:] = least[known[0]]
+            return least
+        at, chunk = 0, 4
         while len(empty):
-            step += 1
-            seeds = empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step)
-            to = (mix(seeds) >> self.shift).astype(np.int64)
+            stop = at + chunk
+            inside = stop <= len(self.table)
+            to = self.table[at:stop, empty] if inside else self._walks(np.arange(at + 1, stop + 1), empty)
             good = full[to]
-            least[empty[good]] = least[to[good]]
-            empty = empty[~good]
+            first = good.argmax(axis=0)
+            column = np.arange(len(empty))
+            met = good[first, column]
+            least[empty[met]] = least[to[first[met], column[met]]]
+            empty = empty[~met]
+            at, chunk = stop, min(chunk * 4, 256)
         return least
 
     def sketch(self, words: np.ndarray) -> bytes:
