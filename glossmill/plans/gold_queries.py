@@ -125,7 +125,7 @@ v AS (SELECT l_orderkey AS example_id, l_linenumber AS judge, l_returnflag AS sy
 w AS (SELECT *, count(*) OVER (PARTITION BY example_id, synset_id) AS votes, count(*) OVER (PARTITION BY example_id) AS n, avg(confidence) OVER (PARTITION BY example_id, synset_id) AS mean FROM v),
 x AS (SELECT *, max(votes) OVER (PARTITION BY example_id) AS top FROM w),
 y AS (SELECT example_id, max(n) AS n, max(top) AS top, count(DISTINCT CASE WHEN votes = top THEN synset_id END) AS ties, max(CAST(flagged AS INT)) = 1 AS flagged, max(confidence) AS most FROM x GROUP BY example_id),
-z AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY votes = top DESC, confidence DESC, judge) = 1)
+z AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY votes = top DESC, confidence DESC, judge, synset_id) = 1)
 """
 
 
