@@ -63,10 +63,10 @@ def fn_18(spark, sf_dir):
       FROM placed JOIN sent USING (sentence_id) JOIN many USING (lemma) WHERE n <= 3 GROUP BY lemma)
     SELECT 'lemma:' || lemma AS key, 'Group the meanings of ''' || lemma || ''' in these examples:' || chr(10) || numbered || chr(10) || chr(10) || 'POS distribution in the examples above: '
       || array_to_string(list_transform(string_split(variants, ','), lambda p: p || ' ' || CAST(round_even(100.0 / len(string_split(variants, ',')), 0) AS INTEGER) || '%'), ', ') || '.' AS prompt
-    FROM t ORDER BY lemma LIMIT 200""",
+    FROM t""",
 )
 def agg_6(spark, sf_dir):
-    rows = families.requests(_groups(spark, sf_dir, 3), "model", 3, 200)
+    rows = families.requests(_groups(spark, sf_dir, 3), "model", 3)
     return rows.select("key", F.get_json_object("request", "$.contents[0].parts[0].text").alias("prompt"))
 
 
@@ -214,14 +214,16 @@ def flt_13(spark, sf_dir):
 def flt_14(spark, sf_dir):
     """Greedy and by matching blocks: no SQL form."""
     rows = table(spark, sf_dir, "benchmark")
-    cards = rows.select((F.col("item_id") % 20).cast("string").alias("lemma"), F.col("item_id").alias("ord"), F.substring("text", 1, 60).alias("definition_en"))
+    cards = rows.select((F.col("item_id") % 20).cast("string").alias("lemma"), F.col("item_id").alias("ord"), F.col("text").alias("definition_en"))
     return qc.duplicate_senses(cards.unionByName(cards.withColumn("ord", F.col("ord") + 100_000)))
 
 
 @query("fn_24")
 def fn_24(spark, sf_dir):
     """Likeness by matching blocks: no SQL form."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("a"), F.substring("text", 20, 80).alias("b"))
+    items = table(spark, sf_dir, "benchmark")
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b"))
+    rows = items.select("item_id", F.col("text").alias("a")).join(after, "item_id", "left")
     like = F.pandas_udf(lambda a, b: __import__("pandas").Series([qc.similarity(x, y) for x, y in zip(a, b)]), "double")
     return rows.select("item_id", like("a", "b").alias("similarity"))
 
