@@ -10,7 +10,7 @@ Reading.  ``WarcSource`` plans partitions over files (``maxFilesBytes`` bytes of
 files in each), takes equality and IN predicates on record_type and on header
 columns from the planner, parses a record's header block first, and seeks past
 the payload of every record that the predicates drop or whose payload is not
-asked for (``payload=false``).  Gzip files with a member per record are read too.
+asked for (``payload=false``).  Gzip files are read too, whether of one member or a member per record.
 
 Defined cases: a null html is an empty payload; pages that repeat an id are each
 written, and only one record of equal payloads is a response; a null id is
@@ -116,13 +116,19 @@ def record_text(record_type: Column) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 50_000) -> None:
-    """Write one WARC record per row of ``pages`` (page_id, url, html) below ``path``."""
+def write_archives(
+    pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 50_000, compression: str = "gzip"
+) -> None:
+    """Write one WARC record per row of ``pages`` (page_id, url, html) below ``path``.
+
+    With ``compression`` none a reader seeks past payloads; with gzip, one member
+    a file, it must inflate them, but neither keeps nor decodes them.
+    """
     records = classify(pages, min_bytes).select(record_text(F.col("record_type")).alias("value"))
     (
         records.write.option("lineSep", CRLF * 2)
         .option("maxRecordsPerFile", records_per_file)
-        .option("compression", "none")
+        .option("compression", compression)
         .text(path)
     )
 
