@@ -396,9 +396,10 @@ def pages(spark):
     return spark.createDataFrame(data, "page_id long, url string, html string")
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc_round_trip(spark, tmp_path, compression):
     path = f"file://{tmp_path}/w"
-    warc.write_archives(pages(spark), path, records_per_file=2)
+    warc.write_archives(pages(spark), path, records_per_file=2, compression=compression)
     got = warc.read_archives(spark, path, verify=True).collect()
     assert len(got) == 8
     kinds = collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
@@ -456,6 +457,17 @@ def test_shards(spark, tmp_path, odd):
     assert empty.read().count() == 0 and empty.read().columns == odd.columns
 
 
+def test_merges_run_apart(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=20_000)
+    store.append(spark.range(64_000).selectExpr("id", "sha2(cast(id as string), 256) as text").repartition(1), rows_per_shard=100)
+    groups = store.plan(store.manifest()["shards"])
+    before = len(store.manifest()["shards"])
+    store.compact()
+    after = store.manifest()["shards"]
+    assert len(groups) > 5 and len(after) == before - sum(map(len, groups)) + len(groups)
+    assert store.read().count() == 64_000
+
+
 def test_shard_manifest_is_json(spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "s"))
     store.append(spark.range(3))
