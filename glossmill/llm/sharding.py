@@ -140,14 +140,27 @@ class ShardStore:
             schema = self._schema(before)
             new: list[Shard] = []
             for at in range(0, len(groups), self.wave):
-                wave = groups[at : at + self.wave]
-                parts = [self.spark.read.schema(schema).parquet(*[s.path for s in g]).coalesce(1) for g in wave]
-                new += [Shard(p, n, 0, True) for p, n in self._write(reduce(DataFrame.unionAll, parts))]
+                new += [Shard(p, n, 0, True) for p, n in self._merge(groups[at : at + self.wave], schema)]
             gone = {s.path for g in groups for s in g}
             first = max(s.sequence for s in before["shards"]) + 1
             new = [Shard(s.path, s.bytes, first + i, True) for i, s in enumerate(new)]
             self._commit(before, before["schema"], [s for s in before["shards"] if s.path not in gone] + new)
 
+    def _merge(self, groups: list[list[Shard]], schema) -> list[tuple[str, int]]:
+        """One file for each group, all groups at once: a union with one partition for each.
+
+        A union of parts of one partition would itself take one partition, so
+        that rule of the planner is off while the merges are written.
+        """
+        parts = [self.spark.read.schema(schema).parquet(*[s.path for s in g]).coalesce(1) for g in groups]
+        rule, conf = "spark.sql.unionOutputPartitioning", self.spark.conf
+        before = conf.get(rule, "true")
+        conf.set(rule, "false")
+        try:
+            return self._write(reduce(DataFrame.unionAll, parts))
+        finally:
+            conf.set(rule, before)
+
     def _schema(self, manifest: dict):
         from pyspark.sql.types import StructType
 
