@@ -21,9 +21,13 @@ of copies costs one row per anchor however large it is.
 
 The 64-bit form at 4 bits is for fingerprints that others compute too.  For
 ``keep_one`` 4 of 64 bits would find few texts of likeness 0.8: a likeness J of
-shingle sets is an angle of arccos(2J / (1 + J)), 0.15 of all bits at 0.8, with a
-deviation that 64 bits cannot resolve.  It therefore takes 128 bits of five-word
-shingles and 20 bits.
+shingle sets is an angle of about arccos(2J / (1 + J)), 0.15 of all bits at 0.8,
+which is 19 of 128 with a deviation of 4.  It therefore takes 128 bits of the set
+of five-word shingles and links at 32 bits, three deviations above.  Copies go to
+the anchors of values within 2 bits of a block, which meets all pairs within 23
+bits and of the others those with a block of at most 2 differing bits, or of more
+whose anchors agree.  These links only name candidates: an edge is a pair whose
+shingle sets have a Jaccard likeness of 0.8 or more, counted in full.
 
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero and links like any other; fewer words than a shingle form one
@@ -34,6 +38,7 @@ named by its smallest non-null doc_id; an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,16 +49,27 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.common import materialize, parallelism, small_batches, text_or_empty
 from glossmill.llm.components import connected_components
+from glossmill.llm.hashing import mix, shingle_hashes, word_hashes
 
 #: Seed of XXH64.
 SEED = 42
 #: Bits of the blocks of each word, from the low end, by words of 64 bits.
 BLOCKS = {1: ((22, 21, 21),), 2: ((16, 16, 16, 16), (16, 16, 16, 16))}
-#: Bits that differ at most between texts of which ``keep_one`` keeps one, of 128.
+#: Bits of 128 that differ at most between candidates of ``keep_one``, and bits of a block by which their anchors are found.
 NEAR_BITS = 20
+NEAR_REACH = 2
+#: Bits of 128 beyond which no pair of a group of candidates is counted; six deviations above a likeness of 0.8.
+FAR_BITS = 44
+#: Likeness of texts of which ``keep_one`` keeps one, as a fraction.
+LIKE = (4, 5)
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
 _CHUNK = 1 << 15
+#: Shingles that are counted at once, and bytes of a group's sets that are held in memory.
+_COUNTED = 1 << 20
+_HELD = 1 << 26
+#: Bits of the map that picks texts to read again.
+_SLOTS = 1 << 26
 
 
 def word_fingerprint(text: str | None, words_per_shingle: int = 4, size: int = 1) -> bytes:
@@ -94,6 +110,59 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4, size: int = 1) ->
     return source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def shingle_set(text: str, words_per_shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    return np.unique(shingle_hashes(word_hashes(text), words_per_shingle))
+
+
+def set_fingerprint(shingles: np.ndarray, size: int) -> bytes:
+    """The bytes, high byte first, of the fingerprint of a shingle set; each shingle counts once."""
+    total = np.zeros(64 * size, np.int64)
+    for i in range(0, len(shingles), _CHUNK):
+        part = shingles[i : i + _CHUNK]
+        raw = np.stack([mix(part ^ np.uint64(SEED + k)) for k in range(size)], axis=1).astype(">u8")
+        total += np.unpackbits(raw.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(shingles)).tobytes()
+
+
+def set_node(shingles: np.ndarray) -> int:
+    """A name of a shingle set, a signed long."""
+    return int.from_bytes(xxhash.xxh3_64_digest(shingles.tobytes(), SEED), "big", signed=True)
+
+
+def print_nodes(fps: np.ndarray) -> np.ndarray:
+    """Names of fingerprints (rows of words), signed longs."""
+    out = np.zeros(len(fps), np.uint64)
+    for k in range(fps.shape[1]):
+        out = mix(out ^ np.ascontiguousarray(fps[:, k]).view(np.uint64))
+    return out.view(np.int64)
+
+
+def _text_key():
+    return F.xxhash64(text_or_empty())
+
+
+def set_prints(docs: DataFrame, words_per_shingle: int, size: int) -> DataFrame:
+    """(doc_id, key, node, cell, f0, ..) for every row: a key of its text and names of its shingle set and fingerprint."""
+    small_batches(docs.sparkSession)
+    names = ["doc_id", "key", "node", "cell", *_prints(size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, raw = [], []
+            for text in batch.column(2).to_pylist():
+                own = shingle_set(text, words_per_shingle)
+                nodes.append(set_node(own))
+                raw.append(set_fingerprint(own, size))
+            fps = np.frombuffer(b"".join(raw), ">i8").astype(np.int64).reshape(-1, size)
+            columns = [pa.array(nodes, pa.int64()), pa.array(print_nodes(fps))]
+            columns += [pa.array(np.ascontiguousarray(fps[:, i])) for i in range(size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=names)
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), text_or_empty().alias("text"))
+    return source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 def _golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Remainders of the low 12 and the high 11 bits, and the error word of each remainder."""
 
@@ -122,12 +191,15 @@ def _golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Anchors:
-    """Homes and reachable anchors of fingerprints, for one threshold and size."""
+    """Homes and reachable anchors of fingerprints, for one threshold and size.
+
+    ``reach`` takes the place of the bits by which the blocks of a linked pair differ.
+    """
 
-    def __init__(self, threshold: int, size: int = 1):
+    def __init__(self, threshold: int, size: int = 1, reach: int | None = None):
         self.low, self.high, self.errors = _golay_tables()
         self.blocks = BLOCKS[size]
-        near = threshold // sum(map(len, self.blocks))
+        near = threshold // sum(map(len, self.blocks)) if reach is None else reach
         self.flips = {}
         for bits in {b for word in self.blocks for b in word}:
             words = [sum(1 << p for p in c) for w in range(near + 1) for c in itertools.combinations(range(bits), w)]
@@ -197,34 +269,40 @@ def forest(nodes: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int)
     return nodes[members], nodes[parent[members]]
 
 
-def links(prints: DataFrame, threshold: int = 4, size: int = 1) -> DataFrame:
+def links(prints: DataFrame, threshold: int = 4, size: int = 1, reach: int | None = None) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links.
 
-    ``prints`` has a distinct long column ``node`` and the words f0, .. of its fingerprint.
+    ``prints`` has a distinct long column ``node`` and the words f0, .. of its fingerprint;
+    without that column, nodes are named by ``print_nodes`` and not sent along.
+    With a smaller ``reach`` than the threshold's share of a block, links that meet at no anchor are not found.
     """
     spark = prints.sparkSession
     small_batches(spark)
     words = _prints(size)
-    names = ["anchor", "node", *words, "home"]
+    own = ["node"] if "node" in prints.columns else []
+    names = ["anchor", *own, *words, "home"]
 
     def copy_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(threshold, size)
+        anchors = Anchors(threshold, size, reach)
         for batch in batches:
-            nodes, *fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for keys, rows, home in anchors.replicas(np.stack(fps, axis=1)):
-                columns = [pa.array(keys), pa.array(nodes[rows]), *(pa.array(f[rows]) for f in fps), pa.array(home)]
+            sent = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for keys, rows, home in anchors.replicas(np.stack(sent[len(own) :], axis=1)):
+                columns = [pa.array(keys), *(pa.array(f[rows]) for f in sent), pa.array(home)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(parts: list[tuple]) -> pa.RecordBatch:
             nodes, fps, home = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(nodes)
+            nodes, fps, home = nodes[order], fps[order], home[order]
             a, b = forest(nodes, fps, home, threshold)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held, key = [], None
         for batch in batches:
-            keys, nodes, *fps, home = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            fps = np.stack(fps, axis=1)
+            keys, *sent, home = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            fps = np.stack(sent[len(own) :], axis=1)
+            nodes = sent[0] if own else print_nodes(fps)
             cuts = np.nonzero(np.diff(keys))[0] + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
                 if lo == hi:
@@ -237,8 +315,8 @@ def links(prints: DataFrame, threshold: int = 4, size: int = 1) -> DataFrame:
         if held:
             yield done(held)
 
-    kinds = ", ".join(f"{w} long" for w in words)
-    copies = prints.select("node", *words).mapInArrow(copy_out, f"anchor int, node long, {kinds}, home boolean")
+    kinds = ", ".join(f"{w} long" for w in [*own, *words])
+    copies = prints.select(*own, *words).mapInArrow(copy_out, f"anchor int, {kinds}, home boolean")
     met = copies.repartition(parallelism(spark), "anchor").sortWithinPartitions("anchor")
     return met.mapInArrow(compare, "a long, b long")
 
@@ -246,12 +324,11 @@ def links(prints: DataFrame, threshold: int = 4, size: int = 1) -> DataFrame:
 def components(docs: DataFrame, words_per_shingle: int = 4, threshold: int = 4, size: int = 1) -> DataFrame:
     """(doc_id, f0, .., component_id) for every row of ``docs``.
 
-    A class of equal fingerprints is a node.  It is named by its fingerprint if
-    that is one word, else by its smallest doc_id.
+    A class of equal fingerprints is a node, named by its fingerprint or a digest of it.
     """
     words = _prints(size)
     prints = materialize(fingerprints(docs, words_per_shingle, size), "simhash-prints")
-    node = F.col("f0") if size == 1 else F.coalesce("least", F.xxhash64(*words))
+    node = F.col("f0") if size == 1 else F.xxhash64(*words)
     classes = prints.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("node", node)
     classes = materialize(classes, "simhash-classes")
     stars = connected_components(links(classes, threshold, size), "simhash-stars")
@@ -261,19 +338,151 @@ def components(docs: DataFrame, words_per_shingle: int = 4, threshold: int = 4,
     return prints.join(by_print, words).select("doc_id", *words, "component_id")
 
 
+def like_roots(prints: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each set of a group the place of one set of its component, edges being pairs of likeness ``LIKE``.
+
+    ``flat`` has the sets one after the other, ``ends`` where each ends.  A pair
+    already joined is not counted.  Sets of the largest component are left out as
+    long as others are there, since each pair is seen from either side.
+    """
+    n = len(ends)
+    starts = np.concatenate(([0], ends[:-1]))
+    sizes = ends - starts
+    root, todo = np.arange(n), np.ones(n, bool)
+    words = [np.ascontiguousarray(prints[:, k]).view(np.uint64) for k in range(prints.shape[1])]
+    up, down = LIKE
+    while True:
+        rest = np.nonzero(todo & (root != np.bincount(root).argmax()))[0]
+        if not len(rest):
+            return root
+        i = rest[0]
+        todo[i] = False
+        own = flat[starts[i] : ends[i]]
+        apart = sum(np.bitwise_count(w ^ w[i]).astype(np.int64) for w in words)
+        other = (root != root[i]) & (apart <= FAR_BITS) & (sizes * down >= sizes[i] * up) & (sizes[i] * down >= sizes * up)
+        other = np.nonzero(other)[0]
+        if not len(own) or not len(other):
+            continue
+        parts = np.cumsum(sizes[other]) // _COUNTED
+        for part in np.split(other, np.nonzero(np.diff(parts))[0] + 1):
+            met = np.concatenate([flat[starts[j] : ends[j]] for j in part])
+            at = np.minimum(np.searchsorted(own, met), len(own) - 1)
+            shared = np.add.reduceat((own[at] == met).astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+            joined = part[shared * down >= (sizes[i] + sizes[part] - shared) * up]
+            root[np.isin(root, root[joined])] = root[i]
+
+
+class _Group:
+    """The sets of one group as they arrive; those beyond some bytes are kept in a file."""
+
+    def __init__(self):
+        self.nodes, self.prints, self.sizes, self.held, self.bytes, self.file = [], [], [], [], 0, None
+
+    def add(self, node: int, fingerprint: np.ndarray, raw: bytes) -> None:
+        if self.nodes and self.nodes[-1] == node:
+            return
+        self.nodes.append(node)
+        self.prints.append(fingerprint)
+        self.sizes.append(len(raw) // 8)
+        self.held.append(raw)
+        self.bytes += len(raw)
+        if self.bytes > _HELD:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()
+        self.file.write(b"".join(self.held))
+        self.held, self.bytes = [], 0
+
+    def done(self) -> pa.RecordBatch:
+        if self.file:
+            self._flush()
+            self.file.flush()
+            flat = np.memmap(self.file, np.uint64, "r")
+        else:
+            flat = np.frombuffer(b"".join(self.held), np.uint64)
+        nodes = np.array(self.nodes, np.int64)
+        root = like_roots(np.stack(self.prints), flat, np.cumsum(self.sizes))
+        if self.file:
+            self.file.close()
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
+def confirmed(docs: DataFrame, prints: DataFrame, groups: DataFrame, words_per_shingle: int, size: int) -> DataFrame:
+    """(node, root) for the sets in ``groups`` (cell, group): components of pairs of likeness ``LIKE`` within a group.
+
+    Texts are read again and never shuffled: a bitmap of fixed size passes those
+    of the groups, one of each set, and a few others that the join leaves out.
+    """
+    small_batches(docs.sparkSession)
+    words = _prints(size)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            slots = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = np.nonzero((slots < 0) | (wanted[slots >> 3] >> (slots & 7) & 1 == 1))[0]
+            sets = [shingle_set(t, words_per_shingle) for t in batch.column(1).take(pa.array(rows)).to_pylist()]
+            columns = [pa.array([set_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        for batch in batches:
+            keys, nodes, *fps = (c.to_pylist() for c in batch.columns[:-1])
+            for group, node, raw, *fp in zip(keys, nodes, batch.column(size + 2).to_pylist(), *fps):
+                if held is None or group != key:
+                    if held:
+                        yield held.done()
+                    key, held = group, _Group()
+                held.add(node, np.array(fp, np.int64), raw)
+        if held:
+            yield held.done()
+
+    members = prints.join(groups, "cell").groupBy("group", "node", *words).agg(F.min("doc_id").alias("doc_id"))
+    members = materialize(members, "simhash-members")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS))
+    block = members.where("doc_id is not null").select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("n"))
+    bits = bytearray(_SLOTS // 8)
+    for row in block.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect():
+        bits[(row["n"] - 1) * 4096 : row["n"] * 4096] = row["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(bits))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = texts.select(F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(slot).alias("slot"), "text")
+    sets = texts.mapInArrow(cut, "node long, shingles binary")
+    met = sets.join(members, "node").select("group", "node", *words, "shingles")
+    met = met.repartition(parallelism(docs.sparkSession), "group").sortWithinPartitions("group", "node")
+    return met.mapInArrow(confirm, "node long, root long")
+
+
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, threshold: int = NEAR_BITS, size: int = 2) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row of the smallest doc_id stays.
 
-    Rows that repeat a whole document, its doc_id included, are reduced to one.
-    Rows without a doc_id stay.
+    Texts are joined where the Jaccard likeness of their shingle sets is at least
+    ``LIKE``.  Rows of one doc_id with other texts are documents of their own;
+    rows equal in doc_id and text are reduced to one.  Rows without a doc_id stay.
     """
-    found = components(docs, words_per_shingle, threshold, size)
-    drop = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-drop")
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        ids = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    words = _prints(size)
+    prints = materialize(set_prints(docs, words_per_shingle, size), "simhash-prints")
+    classes = prints.groupBy("cell", *words).agg((F.min("node") != F.max("node")).alias("many"))
+    classes = materialize(classes, "simhash-classes")
+    groups = connected_components(links(classes.select(*words), threshold, size, NEAR_REACH), "simhash-groups").toDF("cell", "group")
+    alone = classes.where("many").select("cell", F.col("cell").alias("group")).join(groups, "cell", "left_anti")
+    stars = confirmed(docs, prints, groups.unionByName(alone), words_per_shingle, size)
+    stars = materialize(stars, "simhash-stars")
+    named = prints.where("doc_id is not null").select("doc_id", "key", "node")
+    rooted = named.join(stars, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted, "simhash-rooted")
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    late = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key"))
+    drop = rooted.join(first, "root").where(late).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"))
+    drop = materialize(drop.distinct(), "simhash-drop")
+    keyed = docs.withColumn("__text", _text_key())
+    kept = keyed.join(drop, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__text") == F.col("__key")), "left_anti")
+    if named.groupBy("doc_id", "key").count().where("count > 1").limit(1).count():
+        ids = kept.where("doc_id is not null").dropDuplicates(["doc_id", "__text"])
         kept = ids.unionByName(kept.where("doc_id is null"))
-    return kept
+    return kept.select(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -598,6 +598,44 @@ def test_near_copies_go_and_others_stay(spark):
     assert 60 <= kept <= 60 + near // 10
 
 
+def jaccard(a, b, size=5):
+    x, y = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_only_texts_of_enough_likeness_go(spark):
+    line = words(12, 999, 10**6)
+    repeated = [words(300, i, 10**6) + f" {line}" * 60 for i in range(20)]
+    below = []
+    for i in range(40):
+        base = words(300, 100 + i, 10**6).split()
+        below += [" ".join(base), " ".join(base[:100] + [f"other{i}x{k}" for k in range(40)] + base[140:])]
+    assert all(0.7 < jaccard(below[i], below[i + 1]) < 0.8 for i in range(0, 80, 2))
+    texts = repeated + below
+    assert simhash.keep_one(frame(spark, texts)).count() == len(texts)
+
+
+def test_sets_are_joined_in_full():
+    rng = random.Random(4)
+    sets = [np.zeros(0, np.uint64)]
+    for _ in range(30):
+        own = rng.sample(range(10**6), 60)
+        for _ in range(rng.randrange(1, 6)):
+            sets.append(np.array(sorted(own), np.uint64))
+            own = own[rng.randrange(1, 12) :] + rng.sample(range(10**6), 3)
+    rng.shuffle(sets)
+    prints = np.zeros((len(sets), 2), np.int64)
+    root = simhash.like_roots(prints, np.concatenate(sets), np.cumsum([len(s) for s in sets]))
+    plain = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if a and b and 5 * len(a & b) >= 4 * len(a | b):
+                old, new = plain[i], plain[j]
+                plain = [new if p == old else p for p in plain]
+    assert len(set(zip(root.tolist(), plain))) == len(set(plain)) == len(set(root.tolist()))
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 400)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
     random.Random(1).shuffle(edges)
