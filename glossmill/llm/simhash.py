@@ -56,7 +56,7 @@ SEED = 42
 #: Bits of the blocks of each word, from the low end, by words of 64 bits.
 BLOCKS = {1: ((22, 21, 21),), 2: ((16, 16, 16, 16), (16, 16, 16, 16))}
 #: Bits of 128 that differ at most between candidates of ``keep_one``, and bits of a block by which their anchors are found.
-NEAR_BITS = 20
+NEAR_BITS = 32
 NEAR_REACH = 2
 #: Bits of 128 beyond which no pair of a group of candidates is counted; six deviations above a likeness of 0.8.
 FAR_BITS = 44

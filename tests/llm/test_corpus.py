@@ -603,6 +603,21 @@ def jaccard(a, b, size=5):
     return len(x & y) / len(x | y)
 
 
+def test_near_copies_of_the_least_likeness_go(spark):
+    """One block of words replaced, to a likeness of 0.8 or just above it."""
+    texts = []
+    for i in range(150):
+        base = words(300 + 4 * i, i, 10**6).split()
+        n = len(base) - 4
+        block = int(n / 9) - 4
+        texts += [" ".join(base), " ".join(base[:100] + [f"other{i}x{k}" for k in range(block)] + base[100 + block :])]
+    likeness = [jaccard(texts[i], texts[i + 1]) for i in range(0, 300, 2)]
+    assert all(0.8 <= x < 0.81 for x in likeness)
+    kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, texts)).collect()}
+    assert kept >= set(range(0, 300, 2))
+    assert len(kept) <= 152
+
+
 def test_only_texts_of_enough_likeness_go(spark):
     line = words(12, 999, 10**6)
     repeated = [words(300, i, 10**6) + f" {line}" * 60 for i in range(20)]
