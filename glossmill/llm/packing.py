@@ -56,8 +56,8 @@ class Tokens:
 
     The ids are those of the tokenizer's file.  Texts of common characters take
     the ranks of the same vocabulary, which give the same ids in a sixth of the
-    time; all others go to the tokenizer itself.  Strings of special tokens are
-    ordinary text.
+    time; all others, and those that hold the string of an added token, go to the
+    tokenizer itself with its default setting.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -65,13 +65,14 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary.path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")
         with open(vocabulary.ranks, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.quick = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if _OTHER.search(text):
+        if _OTHER.search(text) or self.added.search(text):
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             found = self.quick.encode_ordinary(text)

@@ -182,6 +182,17 @@ def test_token_ids_are_the_tokenizer_s(text):
     assert tokens.ids(text) == np.array(ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "é<|endoftext|><|endoftext|>\u3042", "<|endoftext|"])
+def test_strings_of_added_tokens(spark, text):
+    from tokenizers import Tokenizer
+
+    vocabulary = packing.default_vocabulary()
+    ids = Tokenizer.from_file(vocabulary.path).encode(text, add_special_tokens=False).ids
+    assert packing.Tokens(vocabulary).ids(text) == np.array(ids, "<u4").tobytes()
+    row = packing.pieces(frame(spark, [text]), vocabulary).first()
+    assert (row["length"], row["ids_crc32"]) == (len(ids) + 1, zlib.crc32(np.array([*ids, packing.END], "<u4").tobytes()))
+
+
 # 3. decontamination
 
 
