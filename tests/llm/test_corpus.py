@@ -662,6 +662,12 @@ def test_sets_are_joined_in_full():
     assert len(set(zip(root.tolist(), plain))) == len(set(plain)) == len(set(root.tolist()))
 
 
+def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    texts = [words(50, 1), words(50, 2), words(50, 1), words(50, 3), words(50, 2)]
+    kept = simhash.keep_one(frame(spark, texts, [7, 7, 7, 8, 9])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(7, texts[0]), (7, texts[1]), (8, texts[3])])
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 400)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
     random.Random(1).shuffle(edges)
