@@ -1,28 +1,34 @@
 """Removal of repeated byte strings with suffix arrays in shards.
 
 Every byte covered by a string of ``length`` bytes that also starts elsewhere in
-the corpus goes.  To compare all places without comparing all shards, places are
-dealt by content: among the 32-byte pieces of a window (a string of ``length``
-bytes) the leftmost of least hash is its anchor, which depends on the window
-alone.  Neighbouring windows with one anchor form a run, so the windows of a text
-fall into runs, and equal windows always have equal anchors.
+the corpus goes.  Shards are filled by content, so that a string is compared with
+those it can equal and not with all: among the 32-byte pieces of a window (a
+string of ``length`` bytes) the leftmost of least hash is its anchor, which
+depends on the window alone.  Neighbouring windows with one anchor form a run, so
+the windows of a text fall into runs, and equal windows always have equal anchors.
 
 1.  Each task cuts its texts into runs and names each by the hash of its anchor
-    and a 128-bit digest of its bytes.  Runs of equal bytes in a task are merged.
-2.  Anchors met once have no repeats.  Runs whose bytes occur twice repeat whole.
-3.  For anchors with several different runs, one copy of each goes to a shard by
-    the hash of its anchor.  A shard builds its suffix array, takes common
-    prefixes of neighbours, and so finds the windows that repeat in part.
-4.  An anchor with more runs than a shard takes is split over several shards.
-    These report digests of the windows they hold, sorted, in ranges; the ranges
-    of all shards of the anchor are merged by binary search.
-5.  Repeated starts come together by text, which is cut and measured.
+    and a 128-bit digest of its bytes.  Runs of equal bytes in a task travel as
+    one row with all its places.  Runs whose anchor is met once cannot repeat.
+2.  Every different run of the other anchors goes to a shard by the hash of its
+    anchor, twice if its bytes were met twice or more.  A shard builds its suffix
+    array, takes common prefixes of neighbours, and so finds all windows of its
+    runs that start elsewhere in it, copies and parts alike.
+3.  No shard takes more than ``shard_runs`` runs of one anchor; the runs of a
+    more frequent anchor are dealt over several.  Each of those reports the
+    digests of its windows, sorted, in ranges; every window that a shard found
+    single is searched for in the ranges of the others, by binary search.
+4.  Repeated starts go back to all places of a run and come together by text,
+    which is cut and measured.
+
+Joins on an anchor or a run that very many rows share are salted.  What is held
+of a text beside its bytes (its runs, its cuts) is a fixed share of its length.
 
 Strings are judged on the input, overlaps count, matches never cross texts.
 Defined cases: a null text counts as empty; a text shorter than ``length`` loses
 nothing; a row that repeats another whole row counts as another text; texts may
 be of any length (they are cut into overlapping parts); an empty table gives an
-empty result.
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import materialize, parallelism, small_batches, table, text_or_empty
+from glossmill.llm.common import hot_keys, materialize, parallelism, small_batches, spread_join, table, text_or_empty
 from glossmill.llm.hashing import mix
 from glossmill.llm.suffix import repeated_starts
 
@@ -44,7 +50,7 @@ LENGTH, PIECE = 400, 32
 #: Bytes of text a task works on at once, and of a shard's suffix array.
 PART_BYTES, SHARD_BYTES = 1 << 20, 2 << 20
 #: Most runs of one anchor in a shard.
-SHARD_RUNS = 2048
+SHARD_RUNS = 64
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
 _NO_ID = -(1 << 63)
@@ -96,11 +102,11 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, piece: i
     return starts[at], np.diff(np.concatenate((at, [len(starts)]))), hashes[anchors[at]]
 
 
-_RUNS = "doc_id long, rid long, start long, windows int, key long, digest binary, n int"
+_RUNS = "key long, digest binary, windows int, n int, places array<struct<doc_id:long,rid:long,start:long>>"
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
-    """Runs of every text; rows with a null key are stretches of starts known to repeat."""
+    """The different runs of each part of the texts, with all their places in it."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,44 +143,24 @@ def _run_rows(batch, data: np.ndarray, bounds: np.ndarray, first_row: int, shift
     view, digest = memoryview(data), xxhash.xxh3_128_digest
     stops = starts + counts + length - 1
     digests = [digest(view[a:b]) for a, b in zip(starts.tolist(), stops.tolist())]
-    first: dict[bytes, int] = {}
-    times: dict[int, int] = {}
-    for i, d in enumerate(digests):
-        j = first.setdefault(d, i)
-        if j != i:
-            times[j] = times.get(j, 1) + 1
-    row = np.searchsorted(bounds, starts, "right") - 1
-    n = np.ones(len(starts), np.int32)
-    for j, t in times.items():
-        n[j] = t
-    keep = np.array([first[d] == i for i, d in enumerate(digests)])
-    again = n[np.array([first[d] for d in digests])] > 1
-    # Stretches of starts that repeat in this part already, neighbours joined.
-    at = np.nonzero(again)[0]
-    if len(at):
-        begin, end = starts[at], starts[at] + counts[at]
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = (begin[1:] != end[:-1]) | (row[at][1:] != row[at][:-1])
-        head = np.nonzero(fresh)[0]
-        tail = np.concatenate((head[1:] - 1, [len(at) - 1]))
-        yield _rows(batch, row[at][head], first_row, begin[head] - bounds[row[at][head]] + shift, end[tail] - begin[head], None, None, None)
-    k = np.nonzero(keep)[0]
-    yield _rows(batch, row[k], first_row, starts[k] - bounds[row[k]] + shift, counts[k], keys[k].view(np.int64), [digests[i] for i in k.tolist()], n[k])
-
-
-def _rows(batch, row, first_row, starts, counts, keys, digests, n) -> pa.RecordBatch:
+    numbers: dict[bytes, int] = {}
+    number = np.array([numbers.setdefault(d, len(numbers)) for d in digests])
+    by = np.argsort(number, kind="stable")
+    n = np.bincount(number)
+    head = by[np.cumsum(n) - n]
+    row = np.searchsorted(bounds, starts[by], "right") - 1
     take = pa.array(row + first_row, pa.int64())
-    size = len(row)
+    place = pa.array((starts[by] - bounds[row] + shift).astype(np.int64))
+    places = pa.StructArray.from_arrays([batch.column(0).take(take), batch.column(1).take(take), place], ["doc_id", "rid", "start"])
+    offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
     columns = [
-        batch.column(0).take(take),
-        batch.column(1).take(take),
-        pa.array(starts.astype(np.int64)),
-        pa.array(counts.astype(np.int32)),
-        pa.nulls(size, pa.int64()) if keys is None else pa.array(keys),
-        pa.nulls(size, pa.binary()) if digests is None else pa.array(digests, pa.binary()),
-        pa.nulls(size, pa.int32()) if n is None else pa.array(n),
+        pa.array(keys[head].view(np.int64)),
+        pa.array(list(numbers), pa.binary()),
+        pa.array(counts[head].astype(np.int32)),
+        pa.array(n.astype(np.int32)),
+        pa.ListArray.from_arrays(offsets, places),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "start", "windows", "key", "digest", "n"])
+    yield pa.RecordBatch.from_arrays(columns, names=["key", "digest", "windows", "n", "places"])
 
 
 def _stretches(flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -185,61 +171,76 @@ def _stretches(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 _FOUND = "doc_id long, rid long, start long, windows int"
+#: Places of windows in a shard's run, and where a run begins.
+_MOST_WINDOWS = 1 << 16
+_HEAD = np.dtype([("doc_id", "<i8"), ("rid", "<i8"), ("start", "<i8")])
 
 
 def _window_digests(text: bytes, length: int) -> np.ndarray:
-    """A 128-bit digest of each window, as pairs of numbers."""
+    """A 128-bit digest of each window, as rows of two numbers."""
     digest = xxhash.xxh3_128_digest
-    raw = b"".join(digest(text[i : i + length]) for i in range(len(text) - length + 1))
-    return np.frombuffer(raw, np.dtype([("a", "<u8"), ("b", "<u8")]))
+    raw = b"".join([digest(text[i : i + length]) for i in range(len(text) - length + 1)])
+    return np.frombuffer(raw, "<u8").reshape(-1, 2)
 
 
-def _shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """Suffix arrays over runs dealt by (key, salt).
+class _Columns:
+    """Rows of one Arrow schema, gathered by column."""
 
-    Rows with ``range`` null tell repeated stretches of a run's starts; the others
-    hold, for a split key, the sorted digests of windows of one range with, for
-    each, the run and window it came from (none for one known to repeat).
-    """
-    schema = f"{_FOUND}, key long, range int, digests binary, owners binary"
-    names = ["doc_id", "rid", "start", "windows", "key", "range", "digests", "owners"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    def __init__(self, **kinds: pa.DataType):
+        self.kinds = kinds
+        self.held: list[list] = [[] for _ in kinds]
 
-    def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in names]
+    def put(self, *values) -> None:
+        for column, value in zip(self.held, values):
+            column.append(value)
 
-        def put(*values) -> None:
-            for column, value in zip(out, values):
-                column.append(value)
+    def batch(self) -> pa.RecordBatch:
+        out = [pa.array(c, k) for c, k in zip(self.held, self.kinds.values())]
+        self.held = [[] for _ in self.kinds]
+        return pa.RecordBatch.from_arrays(out, names=list(self.kinds))
 
-        flags = repeated_starts([h["bytes"] for h in held], length)
+
+def _shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """Suffix arrays over runs dealt by (key, salt).
+
+    Rows with ``range`` null tell repeated stretches of a run's windows: from the
+    place ``start`` of its one text, or for a run met several times (doc_id null)
+    by its digest.  The others hold, for an anchor of several shards, the sorted
+    digests of windows of one range and the run and window each stands for (-1
+    for one known to repeat), with the places of the runs.
+    """
+    schema = f"{_FOUND}, digest binary, key long, range int, digests binary, owners binary, heads binary"
+    kinds = dict(doc_id=pa.int64(), rid=pa.int64(), start=pa.int64(), windows=pa.int32(), digest=pa.binary(), key=pa.int64())
+    kinds |= dict(range=pa.int32(), digests=pa.binary(), owners=pa.binary(), heads=pa.binary())
+
+    def solve(held: list[dict]) -> pa.RecordBatch:
+        out = _Columns(**kinds)
+        copies = [min(h["n"], 2) for h in held]
+        flags = repeated_starts([h["bytes"] for h, n in zip(held, copies) for _ in range(n)], length)
         by_key: dict[int, list[tuple]] = {}
-        for h, own in zip(held, flags):
-            if h["n"] == 1:
-                for begin, size in zip(*_stretches(own)):
-                    put(h["doc_id"], h["rid"], h["start"] + begin, size, h["key"], None, None, None)
+        for h, own in zip(held, (flags[i] for i in np.cumsum(copies) - copies)):
+            for begin, size in zip(*_stretches(own)):
+                if h["n"] == 1:
+                    out.put(h["doc_id"], h["rid"], h["start"] + begin, size, None, None, None, None, None, None)
+                else:
+                    out.put(None, None, begin, size, h["digest"], None, None, None, None, None)
             if h["parts"] > 1:
                 by_key.setdefault(h["key"], []).append((h, own))
         for key, group in by_key.items():
-            digests, owners = [], []
-            for h, own in group:
-                digests.append(_window_digests(h["bytes"], length))
-                mine = np.zeros(len(own), np.dtype([("doc", "<i8"), ("rid", "<i8"), ("at", "<i8"), ("open", "?")]))
-                mine["doc"], mine["rid"], mine["at"] = h["doc_id"], h["rid"], h["start"] + np.arange(len(own))
-                mine["open"] = ~own & (h["n"] == 1)
-                owners.append(mine)
-            d, o = np.concatenate(digests), np.concatenate(owners)
-            by = np.argsort(d, order=("a", "b"), kind="stable")
-            d, o = d[by], o[by]
-            fresh = np.ones(len(d), bool)
-            fresh[1:] = d[1:] != d[:-1]
-            d, o = d[fresh], o[fresh]
-            parts = group[0][0]["parts"]
-            where = (d["a"] >> np.uint64(40)).astype(np.int64) * parts >> 24
-            for r in np.unique(where).tolist():
-                own = where == r
-                put(None, None, None, None, key, r, d[own].tobytes(), o[own].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+            heads = np.array([(h["doc_id"], h["rid"], h["start"]) for h, _ in group], _HEAD).tobytes()
+            digests = np.concatenate([_window_digests(h["bytes"], length) for h, _ in group])
+            places = [np.where(own, -1, i * _MOST_WINDOWS + np.arange(len(own))) for i, (_, own) in enumerate(group)]
+            by = np.lexsort((digests[:, 1], digests[:, 0]))
+            digests, owners = digests[by], np.concatenate(places)[by]
+            fresh = np.ones(len(by), bool)
+            fresh[1:] = (digests[1:] != digests[:-1]).any(axis=1)
+            digests, owners = digests[fresh], owners[fresh]
+            ranges = (digests[:, 0] >> np.uint64(40)).astype(np.int64) * group[0][0]["parts"] >> 24
+            for r in np.unique(ranges).tolist():
+                own = slice(*np.searchsorted(ranges, [r, r + 1]))
+                put = digests[own].tobytes(), owners[own].astype("<i8").tobytes(), heads
+                out.put(None, None, None, None, None, key, r, *put)
+        return out.batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -249,47 +250,67 @@ def _shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
                 group = (row["key"], row["salt"])
                 if group != last:
                     if size >= shard_bytes:
-                        yield from solve(held)
+                        yield solve(held)
                         held, size = [], 0
                     last, seen = group, set()
                 if row["digest"] in seen:
                     continue
                 seen.add(row["digest"])
                 held.append(row)
-                size += len(row["bytes"])
+                size += len(row["bytes"]) * min(row["n"], 2)
         if held:
-            yield from solve(held)
+            yield solve(held)
 
     return contexts.mapInArrow(run, schema)
 
 
+def search(every: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How often each of the digests ``own`` is among the sorted digests ``every``, by binary search."""
+    fresh = np.ones(len(every), bool)
+    fresh[1:] = (every[1:] != every[:-1]).any(axis=1)
+    head = np.nonzero(fresh)[0]
+    times = np.diff(np.concatenate((head, [len(every)])))
+    different = every[head]
+    at = np.searchsorted(different[:, 0], own[:, 0])
+    stop = np.searchsorted(different[:, 0], own[:, 0], "right")
+    while True:
+        # Digests that agree in the first half only; next to never more than one step.
+        wrong = (at < stop) & (different[np.minimum(at, len(different) - 1), 1] != own[:, 1])
+        if not wrong.any():
+            return np.where(at < stop, times[np.minimum(at, len(different) - 1)], 0)
+        at = at + wrong
+
+
 def _merge_ranges(reports: DataFrame) -> DataFrame:
-    """Windows of split keys that another shard holds too, by binary search in the sorted runs."""
-    owner = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("at", "<i8"), ("open", "?")])
-    pair = np.dtype([("a", "<u8"), ("b", "<u8")])
+    """Windows of anchors of several shards that another shard holds too."""
 
-    def merge(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        shards = [(np.frombuffer(d, pair), np.frombuffer(o, owner)) for d, o in held]
-        every = np.sort(np.concatenate([d for d, _ in shards]), order=("a", "b"))
+    def merge(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        shards = [(np.frombuffer(d, "<u8").reshape(-1, 2), np.frombuffer(o, "<i8"), np.frombuffer(h, _HEAD)) for d, o, h in held]
+        every = np.concatenate([d for d, _, _ in shards])
+        every = every[np.lexsort((every[:, 1], every[:, 0]))]
         found = []
-        for d, o in shards:
-            more = np.searchsorted(every, d, "right") - np.searchsorted(every, d, "left") > 1
-            found.append(o[more & o["open"]])
-        o = np.concatenate(found)
+        for digests, owners, heads in shards:
+            single = owners >= 0
+            again = np.sort(owners[single][search(every, digests[single]) > 1])
+            fresh = np.ones(len(again), bool)
+            fresh[1:] = again[1:] != again[:-1] + 1
+            at = np.nonzero(fresh)[0]
+            head = heads[again[at] // _MOST_WINDOWS]
+            size = np.diff(np.concatenate((at, [len(again)])))
+            found.append((head["doc_id"], head["rid"], head["start"] + again[at] % _MOST_WINDOWS, size.astype(np.int32)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(o["doc"].astype(np.int64)), pa.array(o["rid"].astype(np.int64)), pa.array(o["at"].astype(np.int64)), pa.array(np.ones(len(o), np.int32))],
-            names=["doc_id", "rid", "start", "windows"],
+            [pa.array(np.ascontiguousarray(np.concatenate(c))) for c in zip(*found)], names=["doc_id", "rid", "start", "windows"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for batch in batches:
-            for key, r, d, o in zip(*(batch.column(n).to_pylist() for n in ("key", "range", "digests", "owners"))):
+            for key, r, *report in zip(*(batch.column(n).to_pylist() for n in ("key", "range", "digests", "owners", "heads"))):
                 if (key, r) != last and held:
                     yield merge(held)
                     held = []
                 last = (key, r)
-                held.append((d, o))
+                held.append(report)
         if held:
             yield merge(held)
 
@@ -297,62 +318,69 @@ def _merge_ranges(reports: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _FOUND)
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, shard_runs: int = SHARD_RUNS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, rid, start, windows): all stretches of starts whose ``length`` bytes also start elsewhere.
+def _extract(texts: DataFrame, length: int) -> DataFrame:
+    """The bytes of the wanted runs (column ``runs``) of every text."""
+    small_batches(texts.sparkSession)
+    kinds = dict(doc_id=pa.int64(), rid=pa.int64(), key=pa.int64(), digest=pa.binary(), n=pa.int32(), parts=pa.int32())
+    kinds |= dict(start=pa.int64(), bytes=pa.binary(), salt=pa.int32())
 
-    ``docs`` has doc_id, rid and text; doc_id and rid together name a text.
-    """
-    spark = docs.sparkSession
-    runs = materialize(_cut(docs.select("doc_id", "rid", "text"), length), "dedup-runs")
-    keyed = runs.where("key is not null")
-    keys = keyed.groupBy("key").agg(
-        F.sum("n").alias("total"), F.min("digest").alias("low"), F.max("digest").alias("high")
-    )
-    keys = keys.where("total > 1").select("key", (F.col("low") != F.col("high")).alias("several"))
-    shared = materialize(keyed.join(keys, "key"), "dedup-shared")
-    rep = F.struct("doc_id", "rid", "start", "windows")
-    kinds = materialize(
-        shared.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.first("several").alias("several"), F.min(rep).alias("rep")),
-        "dedup-kinds",
-    )
-    whole = kinds.where("n > 1").select("key", "digest")
-    found = runs.where("key is null").select("doc_id", "rid", "start", "windows")
-    found = found.unionByName(shared.join(whole, ["key", "digest"], "left_semi").select("doc_id", "rid", "start", "windows"))
-
-    several = kinds.where("several")
-    counts = several.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-    parts = F.ceil(F.col("kinds") / F.lit(shard_runs)).cast("int")
-    wanted = (
-        several.join(counts.select("key", parts.alias("parts")), "key")
-        .select("key", "digest", F.least("n", F.lit(2)).cast("int").alias("n"), "parts", "rep.*")
-        .groupBy("doc_id", "rid")
-        .agg(F.collect_list(F.struct("key", "digest", "n", "parts", "start", "windows")).alias("runs"))
-    )
-    small_batches(spark)
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "rid", "key", "digest", "n", "parts", "start", "bytes", "salt"]
-        kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in names]
+            out = _Columns(**kinds)
             for doc_id, rid, text, wants in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "rid", "text", "runs"))):
                 data = text.encode()
                 for w in wants:
                     part = data[w["start"] : w["start"] + w["windows"] + length - 1]
                     salt = int.from_bytes(w["digest"][:4], "little") % w["parts"]
-                    for column, value in zip(out, (doc_id, rid, w["key"], w["digest"], w["n"], w["parts"], w["start"], part, salt)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_)], names=names)
+                    out.put(doc_id, rid, w["key"], w["digest"], w["n"], w["parts"], w["start"], part, salt)
+            yield out.batch()
+
+    return texts.mapInArrow(run, "doc_id long, rid long, key long, digest binary, n int, parts int, start long, bytes binary, salt int")
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, shard_runs: int = SHARD_RUNS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, rid, start, windows): all stretches of starts whose ``length`` bytes also start elsewhere.
 
+    ``docs`` has doc_id, rid and text; doc_id and rid together name a text.
+    """
+    spark = docs.sparkSession
     texts = docs.select("doc_id", "rid", "text")
-    joined = texts.join(wanted, ["doc_id", "rid"]).select("doc_id", "rid", "text", "runs")
-    contexts = joined.mapInArrow(
-        extract, "doc_id long, rid long, key long, digest binary, n int, parts int, start long, bytes binary, salt int"
+    runs = materialize(_cut(texts, length), "dedup-runs")
+    keys = runs.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows")).where("total > 1")
+    keys = materialize(keys, "dedup-keys")
+    shared = materialize(
+        spread_join(runs, keys.select("key"), "key", hot_keys(keys, "key", "rows"), ["digest"], "left_semi"), "dedup-shared"
+    )
+    kinds = shared.groupBy("key", "digest").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.element_at("places", 1)).alias("rep"), F.first("windows").alias("windows")
     )
-    dealt = contexts.repartition(parallelism(spark), "key", "salt").sortWithinPartitions("key", "salt")
-    shards = materialize(_shards(dealt, length, shard_bytes), "dedup-shards")
-    found = found.unionByName(shards.where("range is null").select("doc_id", "rid", "start", "windows"))
-    return found.unionByName(_merge_ranges(shards.where("range is not null")))
+    kinds = materialize(kinds, "dedup-kinds")
+    many = materialize(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > shard_runs), "dedup-many")
+    parts = many.select("key", F.ceil(F.col("kinds") / F.lit(shard_runs)).cast("int").alias("parts"))
+    dealt = spread_join(kinds, parts, "key", hot_keys(many, "key", "kinds"), ["digest"], "left")
+    wanted = dealt.select(
+        "rep.*",
+        F.struct(
+            "key",
+            "digest",
+            F.least("n", F.lit(2)).cast("int").alias("n"),
+            F.coalesce("parts", F.lit(1)).alias("parts"),
+            F.col("rep.start").alias("start"),
+            "windows",
+        ).alias("run"),
+    )
+    wanted = wanted.groupBy("doc_id", "rid").agg(F.collect_list("run").alias("runs"))
+    contexts = _extract(texts.join(wanted, ["doc_id", "rid"]).select("doc_id", "rid", "text", "runs"), length)
+    contexts = contexts.repartition(parallelism(spark), "key", "salt").sortWithinPartitions("key", "salt")
+    shards = materialize(_shards(contexts, length, shard_bytes), "dedup-shards")
+    columns = ("doc_id", "rid", "start", "windows")
+    single = shards.where("range is null and digest is null").select(*columns)
+    whole = shards.where("digest is not null").select("digest", F.col("start").alias("begin"), F.col("windows").alias("size"))
+    copies = kinds.where("n > 1")
+    met = spread_join(shared.select("digest", "places"), whole, "digest", hot_keys(copies, "digest", "rows"), ["places"], "inner")
+    places = met.select(F.explode("places").alias("p"), "begin", "size")
+    copied = places.select("p.doc_id", "p.rid", (F.col("p.start") + F.col("begin")).alias("start"), F.col("size").alias("windows"))
+    return single.unionByName(copied).unionByName(_merge_ranges(shards.where("range is not null")))
 
 
 def _with_rid(docs: DataFrame) -> DataFrame:
@@ -406,9 +434,20 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, shard_runs: int = SHARD_R
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Contract query over the whole ``documents`` table."""
+    """Contract query over the whole ``documents`` table, then whether and what of a text is left.
+
+    ``text`` has what is left; a character that was cut apart shows as U+FFFD.
+    """
     found = deduplicate(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("removed"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+    )
 
 
 def brute_force(texts: list[str], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

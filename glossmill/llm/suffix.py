@@ -27,7 +27,7 @@ def suffix_array(data: np.ndarray, words: np.ndarray | None = None) -> tuple[np.
     """
     n = len(data)
     words = packed_words(data) if words is None else words
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     sorted_words = words[order]
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1

@@ -21,6 +21,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from conftest import SF
 from glossmill.llm import (
+    common,
     components,
     decontam,
     minhash,
@@ -286,6 +287,48 @@ def test_string_dedup(spark, runs):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_passages_that_repeat_are_cut_and_shown(spark, monkeypatch):
+    # 420 bytes are over the contract's 400 and go, 330 bytes are under them and stay.
+    rng = random.Random(3)
+
+    def prose(n):
+        return "".join(rng.choice("abcdefghij ") for _ in range(n))
+
+    long, short = prose(420), prose(330)
+    texts = [prose(900) + long + prose(700), prose(50) + long, prose(600) + short + prose(600), short + prose(500), prose(2000)]
+    monkeypatch.setattr(substring_dedup, "table", lambda *_: frame(spark, texts))
+    got = at(substring_dedup.op4_suffix_dedup(spark, ""), "n_removed", "removed", "text")
+    for i, t in enumerate(texts):
+        assert got[i] == ((420, True, t.replace(long, "")) if i < 2 else (0, False, t))
+
+
+def test_shards_are_merged_by_search(spark, docs, monkeypatch):
+    seen = []
+    real = substring_dedup.search
+    monkeypatch.setattr(substring_dedup, "search", lambda every, own: seen.append(len(own)) or real(every, own))
+    every = np.array([[1, 1], [1, 2], [1, 2], [5, 0], [7, 7]], np.uint64)
+    own = np.array([[1, 1], [1, 2], [2, 2], [5, 1], [7, 7]], np.uint64)
+    assert real(every, own).tolist() == [1, 2, 0, 0, 1]
+    reports = []
+    merge = substring_dedup._merge_ranges
+    monkeypatch.setattr(substring_dedup, "_merge_ranges", lambda r: reports.append(r.count()) or merge(r))
+    texts = [t for _, t in docs]
+    got = at(substring_dedup.deduplicate(frame(spark, texts), shard_runs=2), "n_removed")
+    assert got == {i: (w[1],) for i, w in enumerate(substring_dedup.brute_force([t or "" for t in texts]))}
+    assert reports[0] > 0
+
+
+def test_salted_joins_keep_all_rows(spark):
+    left = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(2000)], "k long, v long")
+    right = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c"), (5001, "d")], "k long, w string")
+    counts = left.groupBy("k").count()
+    hot = common.hot_keys(counts, "k", "count")
+    assert [k for k, _ in hot] == [0] and hot[0][1] > 1
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(map(str, left.join(right, "k", how).collect()))
+        assert sorted(map(str, common.spread_join(left, right, "k", hot, ["v"], how).select(*left.join(right, "k", how).columns).collect())) == want
+
+
 def test_string_dedup_of_odd_rows(spark, odd, monkeypatch):
     monkeypatch.setattr(substring_dedup, "PART_BYTES", 5000)
     got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"]) for r in substring_dedup.deduplicate(odd).collect())
