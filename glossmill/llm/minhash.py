@@ -3,16 +3,19 @@
 Each five-word shingle is hashed once; the high bits choose one of ``bins`` bins
 and the least hash of a bin stays.  An empty bin takes the value of a full bin
 that a fixed random walk from it meets first (optimal densification), so bins of
-two texts agree as often as their shingle sets are alike.  Of every bin only the
-low ``bits`` bits are kept, packed.  Likeness is the share of equal bins, with
-the share by which low bits agree by chance taken off.
+two texts agree as often as their shingle sets are alike.  Values are scrambled
+with the number of their bin, so that copies of one value are as independent as
+different values, and of every bin only the low ``bits`` bits are kept, packed.
+Likeness is the share of equal bins, with the share by which low bits agree by
+chance taken off.
 
 Fingerprints are fixed-size strings of a text alone: equal texts have equal ones.
 
 ``with_next`` finds for every row the row that follows it in descending doc_id.
-Rows are dealt by range into buckets whose bounds come from a quantile sketch of
-doc_id; the first row of each bucket is copied to the bucket before it, so one
-shuffle of the texts brings all neighbours together and no task sees the whole.
+Rows are dealt by range into buckets, as many as the size of the table asks for,
+whose bounds come from a quantile sketch of doc_id; the first row of each bucket
+is copied to the bucket before it, so one shuffle of the texts brings all
+neighbours together and no task sees the whole.  A task holds two texts at a time.
 
 Defined cases: a null text counts as empty; a text of fewer words is one shingle;
 a text without words has an empty fingerprint (all zeros), of likeness 1 to
@@ -48,6 +51,7 @@ class Sketcher:
             raise ValueError("bins must be a power of two and bits divide 8")
         self.bins, self.bits, self.shingle = bins, bits, shingle
         self.shift = np.uint64(64 - bins.bit_length() + 1)
+        self.marks = mix(np.arange(1, bins + 1, dtype=np.uint64))
         self.table = self._walks(np.arange(1, _TABLED + 1), np.arange(bins)).astype(np.int16 if bins < 1 << 15 else np.int64)
 
     def _walks(self, steps: np.ndarray, bins: np.ndarray) -> np.ndarray:
@@ -86,7 +90,7 @@ class Sketcher:
         least = np.full(self.bins, _EMPTY)
         first = np.concatenate(([0], np.nonzero(np.diff(bins))[0] + 1))
         least[bins[first]] = order[first]
-        low = (mix(self._densify(least)) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
+        low = (mix(self._densify(least) ^ self.marks) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
         per = 8 // self.bits
         packed = np.zeros(self.bins // per, np.uint8)
         for i in range(per):
@@ -119,6 +123,28 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half] if half else text
 
 
+#: Bytes of the table's files that a bucket stands for, and bounds in a group.
+BUCKET_BYTES = 64 << 20
+_GROUP = 256
+
+
+def buckets_of(docs: DataFrame) -> int:
+    """How many buckets the size of a table asks for, by the planner's estimate."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # An estimate of tables of unknown size is next to endless; a bucket of them is a task.
+    known = size if size < 1 << 60 else 0
+    return min(max(4 * parallelism(docs.sparkSession), known // BUCKET_BYTES), _GROUP * _GROUP)
+
+
+def bucket_of(value, cuts: list[int]):
+    """How many of ``cuts``, in order, are below a column: first among every so-manieth, then in its group."""
+    groups = [cuts[i : i + _GROUP] for i in range(0, len(cuts), _GROUP)]
+    listed = F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups])
+    group = F.size(F.filter(F.array(*[F.lit(g[-1]) for g in groups]), lambda c: c < value))
+    own = F.when(group < len(groups), F.size(F.filter(listed[F.least(group, F.lit(len(groups) - 1))], lambda c: c < value)))
+    return group * _GROUP + F.coalesce(own, F.lit(len(cuts) - _GROUP * len(groups)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, guest, doc_id, text), sorted in each task so that a row's next follows it.
 
@@ -126,15 +152,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    count = min(4 * parallelism(spark), 1024)
+    count = buckets_of(docs)
     known = rows.select("doc_id").where("doc_id is not null")
     cuts = sorted({int(x) for x in known.approxQuantile("doc_id", [i / count for i in range(1, count)], 0.25 / count)})
     bucket = F.lit(len(cuts) + 1)
     if cuts:
-        below = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(
-            F.lit(len(cuts)) - F.size(F.filter(below, lambda c: c < F.col("doc_id")))
-        )
+        below = bucket_of(F.col("doc_id"), cuts)
+        bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - below)
     dealt = rows.withColumn("bucket", bucket)
     heads = {
         r["bucket"]: r["head"]
@@ -152,7 +176,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = dealt.select("bucket", F.lit(False).alias("guest"), "doc_id", "text")
     return (
         own.unionByName(guests)
-        .repartition(parallelism(spark), "bucket")
+        .repartition(max(parallelism(spark), count // 4), "bucket")
         .sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
     )
 
