@@ -7,23 +7,26 @@ each such blob and appends the outcome, findings or none.  Findings then join
 back to every row (path or version of history) that holds the blob.
 
 A rule's version is a digest of its pattern and check, so changing a rule makes
-just its own pairs unseen.  A blob that very many rows share is scanned once; the
-ledger side of the join back holds only blobs with findings.
+just its own pairs unseen.  Rules have a cheap test for presence, which runs
+where a text lies: a text that passes none travels as its digest alone.  A blob
+that very many rows share is scanned once; joins on such a blob are salted.
 
 Defined cases: a null text is the empty blob; repeated rows each get their
 findings; scanning the same table again scans nothing; an empty table gives an
-empty result; spans are code points, stop exclusive.
+empty result; very long texts take time in proportion (see ``spans``); spans are
+code points, stop exclusive; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import table, text_or_empty, work_path
+from glossmill.llm.common import hot_keys, materialize, spread_join, table, text_or_empty, work_path
 from glossmill.llm.spans import SPAN, count_of, joined, matches, nothing
 
 KINDS = ("assign", "access", "hex")
@@ -47,9 +50,8 @@ class Rule:
         return hashlib.sha256(f"{self.kind}|{self.pattern}|{self.group}|{self.least}".encode()).hexdigest()[:16]
 
     def spans(self, text: Column) -> Column:
-        found = matches(text, self.pattern, self.kind, self.group or None)
-        part = "part" if self.group else "word"
-        kept = F.filter(found, lambda s: F.length(s[part]) >= self.least)
+        found = matches(text, self.pattern, self.kind)
+        kept = F.filter(found, lambda s: F.length(F.regexp_extract(s["word"], self.pattern, self.group)) >= self.least)
         slim = F.transform(kept, lambda s: F.struct(s["start"], s["kind"], s["stop"], F.lit(self.base).alias("base")))
         none = F.transform(nothing(), lambda s: F.struct(s["start"], s["kind"], s["stop"], F.lit(self.base).alias("base")))
         return F.when(text.rlike(self.present), slim).otherwise(none)
@@ -91,20 +93,24 @@ class Ledger:
 
 def scan_unseen(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> None:
     """Scan one copy of every blob of ``docs`` for the rule versions the ledger lacks, and append."""
-    blobs = docs.select(text_or_empty().alias("text")).withColumn("blob", F.sha2("text", 256))
+    text = F.col("text")
+    present = reduce(Column.__or__, [text.rlike(r.present) for r in rules])
+    rows = docs.select(text_or_empty().alias("text"))
+    blobs = rows.select(F.sha2("text", 256).alias("blob"), F.when(present, text).alias("text")).dropDuplicates(["blob"])
     known = ledger.read()
-    wanted = [r.name + ":" + r.version for r in rules]
-    have = known.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("have"))
-    if not known.limit(1).count():
-        fresh = blobs.dropDuplicates(["blob"]).withColumn("lacks", F.array(*map(F.lit, wanted)))
+    wanted = F.array(*[F.lit(f"{r.name}:{r.version}") for r in rules])
+    if known.limit(1).count():
+        have = known.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("have"))
+        lacks = F.array_except(wanted, F.coalesce("have", F.expr("cast(array() as array<string>)")))
+        fresh = blobs.join(have, "blob", "left").withColumn("lacks", lacks).where(F.size("lacks") > 0)
     else:
-        lacks = F.array_except(F.array(*map(F.lit, wanted)), F.coalesce("have", F.expr("cast(array() as array<string>)")))
-        fresh = blobs.dropDuplicates(["blob"]).join(have, "blob", "left").withColumn("lacks", lacks).where(F.size("lacks") > 0)
+        fresh = blobs.withColumn("lacks", wanted)
+    fresh = fresh.withColumn("text", F.coalesce("text", F.lit("")))
     found = F.array(
         *[
             F.when(
                 F.array_contains("lacks", f"{r.name}:{r.version}"),
-                F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), r.spans(F.col("text")).alias("spans")),
+                F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), r.spans(text).alias("spans")),
             )
             for r in rules
         ]
@@ -122,15 +128,22 @@ def findings(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -
         .groupBy("blob")
         .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     )
-    rows = docs.select(F.col("doc_id"), F.sha2(text_or_empty(), 256).alias("blob"))
+    rows = materialize(docs.select(F.col("doc_id"), F.sha2(text_or_empty(), 256).alias("blob")), "secret-rows")
+    copies = rows.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = hot_keys(materialize(copies, "secret-copies"), "blob", "n")
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int,base:boolean>>)")
-    return rows.join(by_blob, "blob", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    return spread_join(rows, by_blob, "blob", hot, ["doc_id"], "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
-    """Contract query over the whole ``documents`` table, with a fresh ledger."""
+    """Contract query over the whole ``documents`` table.
+
+    A new ledger first gets the base rules; when the others are added, only their
+    pairs are unseen.
+    """
     docs = table(spark, sf_dir, "documents")
     ledger = Ledger(spark, work_path(spark, "secret-ledger"))
+    scan_unseen(docs, ledger, tuple(r for r in RULES if r.base))
     scan_unseen(docs, ledger)
     found = findings(docs, ledger)
     base = F.filter("spans", lambda s: s["base"])
