@@ -1,19 +1,21 @@
 """Personal data by weak supervision, in SQL expressions only.
 
 Candidates are the base matches of four kinds (email, ip, card, phone) and looser
-forms of them (spelled-out mail addresses, national phone numbers, IPv6).  Three
-labelers vote on each: a strict form, a gazetteer (mail domains, card issuers,
-number plans, reserved networks) and the words before it; each says yes, no or
-nothing.  The votes of all candidates of the table are counted per pattern, a
-table of at most 4 x 27 x 8 rows whatever the corpus, and expectation-maximisation
-estimates from it how far each labeler can be trusted for each kind.  The
-posteriors train a logistic span classifier over votes, kind and shape, whose
-weights return as column arithmetic.  Base matches always stay; other candidates
+forms of them: spelled-out mail addresses, IPv6, national phone numbers, and runs
+of 12 to 19 digits that fail the check of card numbers (misread or masked ones,
+but also order and serial numbers).  Three labelers vote on each, yes, no or
+nothing: its form (a strict pattern or check), a gazetteer (mail domains, card
+issuers, number plans, reserved networks) and the words around it.  The votes of
+all candidates of the table are counted per pattern, a table of at most 4 x 27 x 8
+rows whatever the corpus, and expectation-maximisation estimates from it how far
+each labeler can be trusted for each kind.  The posteriors train a logistic span
+classifier over votes, kind and shape, whose weights return as column arithmetic.
+Every span comes with its probability.  Base matches always stay; other candidates
 stay at a probability of ``keep`` or more where they overlap no base match.
 
 The driver does the arithmetic of the fit on the counted patterns; rows are only
-ever met by the engine's own functions.  Patterns are possessive, so long texts
-take time in proportion.
+ever met by the engine's own functions.  Patterns are possessive and matches are
+placed in blocks (see ``spans``), so long texts take time in proportion.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are
 judged each; spans are code points, stop exclusive; an empty table fits nothing
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import materialize, table
-from glossmill.llm.spans import count_of, joined, luhn, matches, nothing
+from glossmill.llm.spans import apart, count_of, joined, luhn, matches, nothing, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -42,6 +44,12 @@ SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?i:at)[\])]\x20?[A
 IPV6 = r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])"
 NATIONAL = r"(?<![0-9A-Za-z+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z.-])"
 
+# Strict forms of the first labeler, for and against, by kind.
+FORMS = {
+    0: (r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9.-]++(?<=\.[A-Za-z]{2,24})$", r"\.\.|^[.-]|@-|[.-]@|@[0-9.]+$"),
+    1: (r"^(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})$", r"(?:^|\.)0[0-9]"),
+    3: (r"^\+[1-9][0-9]{0,2}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{2,4}[\x20.-]?[0-9]{2,5}$", r"([0-9])\1{6}|[-.()\x20]{3}"),
+}
 # Gazetteers of the second labeler.
 MAIL_ENDINGS = ("com", "org", "net", "edu", "gov", "int", "info", "io", "de", "fr", "es", "uk", "eu", "us", "ch", "at", "it", "nl", "be", "example")
 CARD_ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|4|5)|35|30|36|38)"
@@ -54,43 +62,48 @@ CUES = {
     3: r"(?i)(?:phone|call|tel|mobile|fax|t[ée]l[ée]fono|anruf)[^\n]{0,12}+$",
 }
 AGAINST = r"(?i)(?:version|build|isbn|serial|order|invoice|sku|section)[^\n]{0,6}+$"
-CONTEXT = 24
+#: What follows a match that is part of something longer.
+LONGER = r"^(?:[.:_-]?[0-9]|[A-Za-z_/])"
 
 
 def _digits(word: Column) -> Column:
     return F.regexp_replace(word, "[^0-9]", "")
 
 
-def _base(text: Column) -> Column:
-    """Base spans of all kinds that pass their check."""
+def _when(test: Column, found: Column) -> Column:
+    return F.when(test, found).otherwise(nothing())
+
+
+def _digit_runs(text: Column) -> Column:
+    """Maximal runs of 12 to 19 digits, single spaces and hyphens between them."""
+    runs = F.filter(matches(text, CARD, 2), lambda s: F.length(_digits(s["word"])).between(12, 19))
+    return _when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), runs)
 
-    def when(test: Column, found: Column) -> Column:
-        return F.when(test, found).otherwise(nothing())
+
+def _base(text: Column, runs: Column) -> Column:
+    """Base spans of all kinds that pass their check; ``runs`` has those of ``_digit_runs``."""
 
     def small(s: Column) -> Column:
         return F.forall(F.split(s["word"], r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(256)) <= 255)
 
-    def card(s: Column) -> Column:
-        digits = _digits(s["word"])
-        return F.length(digits).between(12, 19) & luhn(digits)
-
     return F.concat(
-        when(F.contains(text, F.lit("@")), matches(text, EMAIL, 0)),
-        when(text.rlike(r"[0-9]\.[0-9]"), F.filter(matches(text, IP, 1), small)),
-        when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), F.filter(matches(text, CARD, 2), card)),
-        when(
+        _when(F.contains(text, F.lit("@")), matches(text, EMAIL, 0)),
+        _when(text.rlike(r"[0-9]\.[0-9]"), F.filter(matches(text, IP, 1), small)),
+        F.filter(runs, lambda s: luhn(_digits(s["word"]))),
+        _when(
             F.contains(text, F.lit("+")),
             F.filter(matches(text, PHONE, 3), lambda s: F.length(_digits(s["word"])).between(9, 15)),
         ),
     )
 
 
-def _loose(text: Column) -> Column:
+def _loose(text: Column, runs: Column) -> Column:
     """Candidates of looser form."""
     return F.concat(
-        F.when(text.rlike(r"[\[(](?i:at)[\])]"), matches(text, SPELLED, 0)).otherwise(nothing()),
-        F.when(text.rlike(r"(?:[0-9a-fA-F]{1,4}:){7}"), matches(text, IPV6, 1)).otherwise(nothing()),
-        F.when(text.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), matches(text, NATIONAL, 3)).otherwise(nothing()),
+        _when(text.rlike(r"[\[(](?i:at)[\])]"), matches(text, SPELLED, 0)),
+        _when(text.rlike(r"(?:[0-9a-fA-F]{1,4}:){7}"), matches(text, IPV6, 1)),
+        F.filter(runs, lambda s: ~luhn(_digits(s["word"]))),
+        _when(text.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), matches(text, NATIONAL, 3)),
     )
 
 
@@ -99,23 +112,24 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, 0).otherwise(2)
 
 
-def _judged(text: Column, s: Column, base: bool) -> Column:
+def _judged(s: Column, base: bool) -> Column:
     """A candidate with its votes and shape, all small integers."""
-    kind, word = s["kind"], s["word"]
-    before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+    kind, word, before = s["kind"], s["word"], s["before"]
     digits = _digits(word)
     ending = F.lower(F.regexp_extract(word, r"([A-Za-z0-9-]+)$", 1))
-    form = F.lit(1) if base else _vote((kind == 3) & word.rlike(r"^\("), F.lit(False))
+    form = F.when(kind == 2, F.when(luhn(digits), 1).otherwise(0))
+    for k, (good, bad) in FORMS.items():
+        form = form.when(kind == k, _vote(word.rlike(good) & ~word.rlike(bad), word.rlike(bad)))
     listed = (
         F.when(kind == 0, _vote(ending.isin(*MAIL_ENDINGS), ending.rlike("^[0-9]+$")))
         .when(kind == 1, _vote(~word.rlike(RESERVED_NETS) & word.rlike(r"\."), word.rlike(r"^0\.")))
-        .when(kind == 2, _vote(digits.rlike(CARD_ISSUERS), digits.rlike("^0")))
+        .when(kind == 2, _vote(digits.rlike(CARD_ISSUERS), ~digits.rlike(CARD_ISSUERS)))
         .otherwise(_vote(digits.rlike("^(?:1|2[07]|3[0-469]|4[0-9])[2-9]?"), digits.rlike("^0{3}")))
     )
     cue = F.lit(False)
     for k, pattern in CUES.items():
         cue = cue | ((kind == k) & before.rlike(pattern))
-    context = _vote(cue, before.rlike(AGAINST))
+    context = _vote(cue, before.rlike(AGAINST) | s["after"].rlike(LONGER))
     shape = (
         F.when(F.length(word) > 24, 1).otherwise(0)
         + F.when(F.length(digits) * 2 > F.length(word), 2).otherwise(0)
@@ -137,31 +151,25 @@ def candidates(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__found``: base spans and the looser candidates apart from them, with votes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
-        docs.withColumn("__base", _base(text))
-        .withColumn("__more", _loose(text))
-        .withColumn(
-            "__more",
-            F.filter("__more", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))),
-        )
+        docs.withColumn("__runs", _digit_runs(text))
+        .withColumn("__base", _base(text, F.col("__runs")))
+        .withColumn("__more", apart(F.col("__base"), _loose(text, F.col("__runs"))))
         .withColumn(
             "__found",
-            F.concat(
-                F.transform("__base", lambda s: _judged(text, s, True)),
-                F.transform("__more", lambda s: _judged(text, s, False)),
-            ),
+            F.concat(F.transform("__base", lambda s: _judged(s, True)), F.transform("__more", lambda s: _judged(s, False))),
         )
-        .drop("__base", "__more")
+        .drop("__runs", "__base", "__more")
     )
 
 
-def estimate(patterns: list[tuple], rounds: int = 50) -> list[tuple[tuple, float, float]]:
+def estimate(patterns: list[tuple], rounds: int = 500) -> list[tuple[tuple, float, float]]:
     """(pattern, weight, posterior) by expectation-maximisation.
 
     A pattern is (kind, form, listed, context, shape); votes are independent given
     the truth, with a rate of yes, no and nothing for each labeler, kind and truth.
     """
     weights: dict[tuple, float] = {}
-    for *key, n in patterns:
+    for *key, n in sorted(patterns):
         weights[tuple(key)] = weights.get(tuple(key), 0) + n
     post = {k: 0.1 + 0.8 * (sum(v == 1 for v in k[1:4]) + 0.5) / (sum(v < 2 for v in k[1:4]) + 1) for k in weights}
     for _ in range(rounds):
@@ -237,27 +245,20 @@ def judge(found: DataFrame, keep: float = 0.5) -> DataFrame:
     )
     model = train(estimate([tuple(r) for r in counted.collect()]))
     model = model if len(model) > 1 else {"bias": 0.0}
-    stays = F.filter("__found", lambda s: s["base"] | (_probability(s, model) >= keep))
-    order = F.transform(stays, lambda s: F.struct(s["start"], s["kind"], s["stop"], s["base"]))
-    return found.withColumn("__spans", F.array_sort(order)).drop("__found")
+    known = F.transform(
+        "__found", lambda s: F.struct(s["start"], s["kind"], s["stop"], s["base"], _probability(s, model).alias("probability"))
+    )
+    stays = F.filter(known, lambda s: s["base"] | (s["probability"] >= keep))
+    return found.withColumn("__spans", F.array_sort(stays)).drop("__found")
 
 
 def redact(docs: DataFrame, keep: float = 0.5) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; n_chars follows where it exists."""
     found = judge(materialize(candidates(docs), "pii-found"), keep)
     labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        label = F.when(s["start"] >= state["at"], F.element_at(labels, s["kind"] + 1)).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], gap, label).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(
-        "__spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    )
     changed = F.size("__spans") > 0
     # A new column first: within one projection a lambda could take the new text for the old.
+    whole = replaced(F.col("text"), F.col("__spans"), labels)
     made = found.withColumn("__text", F.when(changed, whole).otherwise(F.col("text")))
     n_chars = F.when(changed, F.length("__text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     columns = {"text": F.col("__text"), "n_chars": n_chars}
@@ -267,7 +268,7 @@ def redact(docs: DataFrame, keep: float = 0.5) -> DataFrame:
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    """Contract query over the whole ``documents`` table."""
+    """Contract query over the whole ``documents`` table, then the probability of each span, in percent and in order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = judge(materialize(candidates(docs).select("doc_id", "__found"), "pii-found"))
     base = F.filter("__spans", lambda s: s["base"])
@@ -277,4 +278,5 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
         *counts,
         F.sha2(joined(base, KINDS), 256).alias("base_sha256"),
         joined(F.col("__spans"), KINDS).alias("spans"),
+        F.array_join(F.transform("__spans", lambda s: F.round(s["probability"] * 100).cast("int").cast("string")), ",").alias("percent"),
     )

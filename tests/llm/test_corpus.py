@@ -397,6 +397,11 @@ def test_personal_data(spark):
 
 
 def test_personal_data_of_odd_rows(spark, odd):
+    rows = odd.select("doc_id", "text").collect()
+    found = pii.judge(pii.candidates(odd).select("doc_id", "__found"))
+    base = found.select("doc_id", spans.joined(F.filter("__spans", lambda s: s["base"]), pii.KINDS).alias("b")).collect()
+    assert sorted((r["doc_id"] or -1, r["b"]) for r in base) == sorted((r["doc_id"] or -1, base_spans(r["text"], PII)[1]) for r in rows)
+    assert pii.judge(pii.candidates(odd.where("false"))).count() == 0
     clean = pii.redact(odd)
     assert clean.columns == odd.columns and clean.count() == odd.count()
     assert pii.redact(odd.where("false")).count() == 0
@@ -436,6 +441,92 @@ def test_secrets(spark, tmp_path):
     assert extra[0][0] == len(base_spans(HIDDEN[0], SECRETS)[0]) + 1
 
 
+def test_scans_of_odd_rows(spark, odd, tmp_path):
+    ledger = secret_scan.Ledger(spark, f"file://{tmp_path}/odd")
+    secret_scan.scan_unseen(odd, ledger)
+    got = secret_scan.findings(odd, ledger).collect()
+    rows = odd.select("doc_id", "text").collect()
+    assert ledger.read().count() == len(secret_scan.RULES) * len({r["text"] or "" for r in rows})
+    want = sorted((r["doc_id"] or -1, len(base_spans(r["text"], SECRETS)[0])) for r in rows)
+    assert sorted((r["doc_id"] or -1, sum(s["base"] for s in r["spans"])) for r in got) == want
+    none = secret_scan.Ledger(spark, f"file://{tmp_path}/none")
+    secret_scan.scan_unseen(odd.where("false"), none)
+    assert secret_scan.findings(odd.where("false"), none).count() == 0
+
+
+def test_places_of_many_matches(spark):
+    # More matches than a block of blocks, mark characters in the text, a match at either end.
+    for n in (1, 63, 64, 65, 4097, 9000):
+        text = "ab12" + "é\0x\1\U0001F600 7 " * n + "99"
+        want = [(m.start(), m.end(), m.group(), text[: m.start()][-24:] if i == 0 else None) for i, m in enumerate(re.finditer("[0-9]+", text))]
+        got = frame(spark, [text]).select(spans.matches(F.col("text"), "[0-9]+", 0).alias("m")).first()["m"]
+        assert [(m["start"], m["stop"], m["word"]) for m in got] == [w[:3] for w in want]
+        assert got[0]["before"] == want[0][3] and got[1]["before"].startswith("é") and got[-1]["after"] == ""
+
+
+def test_spans_apart_and_replaced(spark):
+    rng = random.Random(5)
+    for n in (0, 3, 400):
+        base = [(a, a + rng.randrange(1, 9)) for a in sorted(rng.sample(range(4000), n))]
+        more = [(a, a + rng.randrange(1, 9)) for a in sorted(rng.sample(range(4000), n))]
+        text = "".join(rng.choice("aé漢\n") for _ in range(4010))
+        kind = "array<struct<start:int,stop:int,kind:int>>"
+        df = spark.createDataFrame([(text, [(*x, 0) for x in base], [(*x, 1) for x in more])], f"text string, base {kind}, more {kind}")
+        wide = [f"transform({c}, s -> struct(s.start, s.stop, s.kind, '' as word, '' as before, '' as after)) as {c}" for c in ("base", "more")]
+        got = df.selectExpr("text", *wide).select(spans.apart(F.col("base"), F.col("more")).alias("m")).first()["m"]
+        assert [(s["start"], s["stop"]) for s in got] == [m for m in more if not any(b[0] < m[1] and m[0] < b[1] for b in base)]
+        if n:
+            both = sorted([(*x, 0) for x in base] + [(*x, 1) for x in more])
+            out, end = "", 0
+            for a, b, k in both:
+                out += text[end:a] + f"<{k}>" if a >= end else ""
+                end = max(end, b)
+            labels = F.array(F.lit("<0>"), F.lit("<1>"))
+            joined = F.array_sort(F.concat("base", "more"))
+            assert df.select(spans.replaced(F.col("text"), joined, labels)).first()[0] == out + text[end:]
+
+
+def test_votes_and_classifier_against_known_reliabilities():
+    # Three simulated labelers of one kind whose rates are known; truth is hidden from the fit.
+    rng = np.random.default_rng(11)
+    truth = rng.random(40_000) < 0.4
+    right, speak = (0.9, 0.8, 0.7), (0.9, 0.8, 0.5)
+    votes = [np.where(rng.random(len(truth)) < s, np.where(rng.random(len(truth)) < r, truth, ~truth).astype(int), 2) for r, s in zip(right, speak)]
+    counts = collections.Counter(zip(*(v.tolist() for v in votes)))
+    hits = collections.Counter(tuple(v) for v, t in zip(zip(*(x.tolist() for x in votes)), truth) if t)
+    posteriors = pii.estimate([(0, *k, 0, n) for k, n in counts.items()])
+    for (_, *key, _), n, p in posteriors:
+        if n > 500:
+            assert abs(p - hits[tuple(key)] / n) < 0.08
+    # The best labeler outweighs the worst where they disagree and the third is silent.
+    by = {k[1:4]: p for k, _, p in posteriors}
+    assert by[(1, 2, 0)] > 0.5 > by[(0, 2, 1)]
+    model = pii.train(posteriors)
+    for k, n, p in posteriors:
+        score = sum(model[f] for f in ("bias", *pii.features(k)))
+        if n > 500 and abs(p - 0.5) > 0.2:
+            assert (score > 0) == (p > 0.5)
+
+
+def test_votes_decide_on_looser_candidates(spark):
+    rng = random.Random(2)
+
+    def card(first, good):
+        while True:
+            d = first + "".join(rng.choice("0123456789") for _ in range(16 - len(first)))
+            if luhn(d) == good:
+                return d
+
+    texts = [f"pay by card {card('4', True)} now" for _ in range(60)]
+    texts += [f"order no {card('98', False)} now" for _ in range(60)]
+    texts += [f"mail bob{i} [at] host [dot] com or al{i}@host.com" for i in range(60)]
+    found = pii.judge(pii.candidates(frame(spark, texts)).select("doc_id", "__found"))
+    got = at(found, "__spans")
+    assert all([s["kind"] for s in got[i][0]] == [2] and got[i][0][0]["probability"] > 0.8 for i in range(60))
+    assert all(not got[i][0] for i in range(60, 120))
+    assert all([s["base"] for s in got[i][0]] == [False, True] for i in range(120, 180))
+
+
 def test_native_operators_plan_no_python(spark):
     for name in ("op5_pii", "op8_secrets"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
@@ -532,6 +623,23 @@ def test_shard_manifest_is_json(spark, tmp_path):
 # 9. fingerprints
 
 
+def test_fingerprints_of_short_texts():
+    maker = minhash.Sketcher()
+    for n in range(1, 21):
+        prints = [maker.of_text(" ".join(f"w{i}x{k}" for k in range(n))) for i in range(80)]
+        assert len(set(prints)) == 80
+        assert max(maker.likeness(prints[i], prints[j]) for i in range(80) for j in range(i)) < 0.2
+    a, b = [" ".join(f"w{k}" for k in range(i, i + 20)) for i in (0, 4)]
+    # 12 of 20 shingles are shared.
+    assert abs(maker.likeness(maker.of_text(a), maker.of_text(b)) - 12 / 20) < 0.2
+
+
+def test_buckets_by_bounds(spark):
+    for n in (1, 255, 256, 257, 600):
+        wrong = spark.range(-20, 1300).withColumn("b", minhash.bucket_of(F.col("id"), [2 * i for i in range(n)]))
+        assert wrong.where(f"b <> least(greatest((id + 1) div 2, 0), {n})").count() == 0
+
+
 def shingles(text, n=5):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split(" ") if False else re.findall(r"[^\x20\x09-\x0D]+", text.lower())
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
