@@ -544,7 +544,7 @@ def pages(spark):
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_warc_round_trip(spark, tmp_path, compression):
     path = f"file://{tmp_path}/w"
-    warc.write_archives(pages(spark), path, records_per_file=2, compression=compression)
+    warc.write_archives(pages(spark), path, compression=compression)
     got = warc.read_archives(spark, path, verify=True).collect()
     assert len(got) == 8
     kinds = collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
@@ -573,6 +573,51 @@ def test_warc_pushdown(spark, tmp_path):
     assert {r[2] for r in skipped} == {"response"}
 
 
+def test_warc_members_and_ranges(spark, tmp_path, monkeypatch):
+    import glob
+    import gzip
+
+    for kind in ("gzip", "none"):
+        monkeypatch.setattr(warc._Writer, "STEP", 1000)
+        rows = spark.range(40).selectExpr("id as page_id", "concat('http://h/', id) as url", "repeat(sha2(cast(id as string), 256), 40) as html")
+        warc.write_archives(rows.coalesce(1), f"file://{tmp_path}/{kind}", compression=kind)
+    packed = b"".join(gzip.open(f).read() for f in sorted(glob.glob(f"{tmp_path}/gzip/part-*.warc.gz")))
+    plain = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{tmp_path}/none/part-*.warc")))
+    assert sorted(packed.split(b"WARC/1.1")) == sorted(plain.split(b"WARC/1.1")) and packed.count(b"WARC/1.1") == 40
+    inflated = []
+    real = warc._Members._more
+    monkeypatch.setattr(warc._Members, "_more", lambda self, *n: inflated.append(out := real(self, *n)) or out)
+    for kind in ("gzip", "none"):
+        reader = warc._Reader({"path": f"file://{tmp_path}/{kind}", "maxfilesbytes": "3000", "payload": "false"})
+        parts = reader.partitions()
+        assert len(parts) > len(glob.glob(f"{tmp_path}/{kind}/part-*"))
+        assert sorted(r[0] for p in parts for r in reader.read(p)) == list(range(40))
+    # Of each record of some 2,900 bytes the first 1,024 are inflated.
+    assert sum(map(len, inflated)) == 40 * 1024
+    # What no manifest names is not read.
+    open(f"{tmp_path}/gzip/part-lost.warc.gz", "wb").write(b"rest of a lost task")
+    assert warc.read_archives(spark, f"file://{tmp_path}/gzip").count() == 40
+    # Archives of others: members without a length, plain files, no manifest.
+    (tmp_path / "other").mkdir()
+    for i, part in enumerate((b"".join(gzip.compress(b"WARC/1.1" + r) for r in plain.split(b"WARC/1.1")[1:]), gzip.compress(plain))):
+        (tmp_path / "other" / f"{i}.warc.gz").write_bytes(part)
+    (tmp_path / "other" / "2.warc").write_bytes(plain)
+    assert warc.read_archives(spark, f"file://{tmp_path}/other", verify=True).count() == 120
+
+
+def test_warc_rows_equal_in_all_columns(spark):
+    data = [(5, "u", "x")] * 3 + [(5, "v", "x"), (4, "z", "x"), (None, "z", "y"), (None, "z", "y")]
+    rows = warc.classify(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    got = collections.Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in rows)
+    assert got == {
+        (5, "u", "revisit", 5): 3,
+        (5, "v", "response", None): 1,
+        (4, "z", "revisit", 5): 1,
+        (None, "z", "response", None): 1,
+        (None, "z", "revisit", None): 1,
+    }
+
+
 def test_warc_small_payloads_are_responses(spark):
     kinds = at(warc.classify(pages(spark), min_bytes=5).withColumnRenamed("page_id", "doc_id"), "record_type")
     assert kinds[2] == ("response",) and kinds[1] == ("revisit",)
