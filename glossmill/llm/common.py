@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch carries to Python; bounds a worker's memory for long texts.
-ARROW_ROWS = 1000
+#: Rows and bytes that an Arrow batch carries to Python; they bound a worker's memory for long texts.
+ARROW_ROWS, ARROW_BYTES = 1000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,18 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch for the Python stages planned after this."""
+    """Bound the rows and bytes of an Arrow batch for the Python stages planned after this.
+
+    Plans read the setting when they run, so it stays set for the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where a session has
-    none (tests on one machine) is a temporary folder made and set.
+    It is ``spark.checkpoint.dir`` of the session.  Only where a session of one
+    machine has none (tests) is a temporary folder made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='glossmill-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
