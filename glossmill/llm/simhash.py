@@ -24,10 +24,11 @@ The 64-bit form at 4 bits is for fingerprints that others compute too.  For
 shingle sets is an angle of about arccos(2J / (1 + J)), 0.15 of all bits at 0.8,
 which is 19 of 128 with a deviation of 4.  It therefore takes 128 bits of the set
 of five-word shingles and links at 32 bits, three deviations above.  Copies go to
-the anchors of values within 2 bits of a block, which meets all pairs within 23
-bits and of the others those with a block of at most 2 differing bits, or of more
-whose anchors agree.  These links only name candidates: an edge is a pair whose
-shingle sets have a Jaccard likeness of 0.8 or more, counted in full.
+the anchors of values within 1 bit of a block, some 42 for a fingerprint.  That
+meets all pairs within 15 bits and of the others those of which one is within 1
+bit of a value with the other's anchor in some block: with 19 differing bits, 999
+of 1,000.  These links only name candidates: an edge is a pair whose shingle sets
+have a Jaccard likeness of 0.8 or more, counted in full.
 
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero and links like any other; fewer words than a shingle form one
@@ -57,7 +58,7 @@ SEED = 42
 BLOCKS = {1: ((22, 21, 21),), 2: ((16, 16, 16, 16), (16, 16, 16, 16))}
 #: Bits of 128 that differ at most between candidates of ``keep_one``, and bits of a block by which their anchors are found.
 NEAR_BITS = 32
-NEAR_REACH = 2
+NEAR_REACH = 1
 #: Bits of 128 beyond which no pair of a group of candidates is counted; six deviations above a likeness of 0.8.
 FAR_BITS = 44
 #: Likeness of texts of which ``keep_one`` keeps one, as a fraction.

@@ -825,6 +825,27 @@ def test_near_copies_of_the_least_likeness_go(spark):
     assert len(kept) <= 152
 
 
+def test_near_copies_by_bands_of_likeness(spark):
+    """Words changed here and there; of each band at least 0.9 of the pairs must lose one text."""
+    rng = random.Random(21)
+    bands = {0.8: [], 0.85: [], 0.9: [], 0.95: []}
+    texts = []
+    while any(len(b) < 40 for b in bands.values()):
+        own = words(rng.randrange(150, 500), len(texts) + 5000, 4000).split()
+        new = list(own)
+        for _ in range(rng.randrange(1, 1 + len(own) // 40)):
+            new[rng.randrange(len(new))] = f"edit{rng.randrange(10**6)}"
+        like = jaccard(" ".join(own), " ".join(new))
+        band = max((b for b in bands if b <= like), default=None)
+        if band and len(bands[band]) < 40:
+            bands[band].append(len(texts))
+            texts += [" ".join(own), " ".join(new)]
+    kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, texts)).collect()}
+    assert kept >= set(range(0, len(texts), 2))
+    for band, places in bands.items():
+        assert sum(i + 1 not in kept for i in places) >= 0.9 * len(places), band
+
+
 def test_only_texts_of_enough_likeness_go(spark):
     line = words(12, 999, 10**6)
     repeated = [words(300, i, 10**6) + f" {line}" * 60 for i in range(20)]
