@@ -57,8 +57,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(counts: DataFrame, key: str, rows: str) -> list[tuple]:
-    """(key, salts) of the keys that hold more than their share of a table's rows.
+def hot_keys(counts: DataFrame, key: str, rows: str) -> list:
+    """The keys that hold more than their share of a table's rows.
 
     ``counts`` is a materialised table with the number of rows of every key (those
     without repeats may be left out).  A share is a quarter of an even partition
@@ -66,23 +66,19 @@ def hot_keys(counts: DataFrame, key: str, rows: str) -> list[tuple]:
     """
     parts = 4 * parallelism(counts.sparkSession)
     total = counts.agg(F.sum(rows)).first()[0] or 0
-    share = max(total // parts, 64)
-    return [(r[0], -(-r[1] // share)) for r in counts.where(F.col(rows) > share).select(key, rows).collect()]
+    return [r[0] for r in counts.where(F.col(rows) > max(total // parts, 64)).select(key).collect()]
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list[tuple], by: list[str], how: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list, by: list[str], how: str) -> DataFrame:
     """An equi-join in which the rows of hot keys of ``left`` are dealt over salts, by a hash of the columns ``by``.
 
     Rows of ``right`` with a hot key are repeated once for each of its salts.
     """
-    if not hot:
-        return left.join(right, key, how)
-    kind = left.schema[key].dataType.simpleString()
-    small = F.broadcast(left.sparkSession.createDataFrame(hot, f"`{key}` {kind}, __salts long"))
-    salts = F.coalesce("__salts", F.lit(1).cast("long"))
-    dealt = left.join(small, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), salts)).drop("__salts")
-    each = right.join(small, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-    return dealt.join(each.drop("__salts"), [key, "__salt"], how).drop("__salt")
+    salts = parallelism(left.sparkSession)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    dealt = left.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0))
+    every = F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0))
+    return dealt.join(right.withColumn("__salt", F.explode(every)), [key, "__salt"], how).drop("__salt")
 
 
 def text_or_empty(column: str = "text"):

@@ -11,9 +11,9 @@ the windows of a text fall into runs, and equal windows always have equal anchor
     and a 128-bit digest of its bytes.  Runs of equal bytes in a task travel as
     one row with all its places.  Runs whose anchor is met once cannot repeat.
 2.  Every different run of the other anchors goes to a shard by the hash of its
-    anchor, twice if its bytes were met twice or more.  A shard builds its suffix
-    array, takes common prefixes of neighbours, and so finds all windows of its
-    runs that start elsewhere in it, copies and parts alike.
+    anchor, with the number of times its bytes were met.  A shard builds its
+    suffix array, in which a suffix counts so many times, takes common prefixes of
+    neighbours, and so finds all windows of its runs that start elsewhere.
 3.  No shard takes more than ``shard_runs`` runs of one anchor; the runs of a
     more frequent anchor are dealt over several.  Each of those reports the
     digests of its windows, sorted, in ranges; every window that a shard found
@@ -215,10 +215,8 @@ def _shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
 
     def solve(held: list[dict]) -> pa.RecordBatch:
         out = _Columns(**kinds)
-        copies = [min(h["n"], 2) for h in held]
-        flags = repeated_starts([h["bytes"] for h, n in zip(held, copies) for _ in range(n)], length)
         by_key: dict[int, list[tuple]] = {}
-        for h, own in zip(held, (flags[i] for i in np.cumsum(copies) - copies)):
+        for h, own in zip(held, repeated_starts([h["bytes"] for h in held], length, [h["n"] for h in held])):
             for begin, size in zip(*_stretches(own)):
                 if h["n"] == 1:
                     out.put(h["doc_id"], h["rid"], h["start"] + begin, size, None, None, None, None, None, None)
@@ -257,7 +255,7 @@ def _shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
                     continue
                 seen.add(row["digest"])
                 held.append(row)
-                size += len(row["bytes"]) * min(row["n"], 2)
+                size += len(row["bytes"])
         if held:
             yield solve(held)
 

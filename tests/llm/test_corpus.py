@@ -253,6 +253,9 @@ def test_repeated_starts(texts, length):
     datas = [t.encode() for t in texts]
     counts = collections.Counter(d[i : i + length] for d in datas for i in range(len(d) - length + 1))
     got = suffix.repeated_starts(datas, length)
+    some = list(dict.fromkeys(datas))
+    by_times = dict(zip(some, suffix.repeated_starts(some, length, [datas.count(d) for d in some])))
+    assert all(by_times[d].tolist() == f.tolist() for d, f in zip(datas, got))
     for d, flags in zip(datas, got):
         assert flags.tolist() == [counts[d[i : i + length]] > 1 for i in range(max(0, len(d) - length + 1))]
 
@@ -260,7 +263,7 @@ def test_repeated_starts(texts, length):
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=200).map(lambda b: bytes(x % 3 + 97 for x in b)))
 def test_suffix_array_order(data):
-    order, _ = suffix.suffix_array(np.frombuffer(data, np.uint8))
+    order, _, _ = suffix.suffix_array(np.frombuffer(data, np.uint8))
     assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
 
 
@@ -323,7 +326,7 @@ def test_salted_joins_keep_all_rows(spark):
     right = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c"), (5001, "d")], "k long, w string")
     counts = left.groupBy("k").count()
     hot = common.hot_keys(counts, "k", "count")
-    assert [k for k, _ in hot] == [0] and hot[0][1] > 1
+    assert hot == [0]
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(str, left.join(right, "k", how).collect()))
         assert sorted(map(str, common.spread_join(left, right, "k", hot, ["v"], how).select(*left.join(right, "k", how).columns).collect())) == want
