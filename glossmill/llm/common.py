@@ -46,15 +46,27 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/glossmill/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> str:
+    """The path below the shared folder to which ``df`` is written."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     The table survives the loss of any executor, unlike a local checkpoint.
     """
-    spark = df.sparkSession
-    path = work_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
+
+
+def on_driver(path: str, columns: list[str], where=None):
+    """Columns of a written table of bounded size as an Arrow table; it does not pass through the driver's JVM."""
+    from pyarrow import dataset, fs
+
+    store, root = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+    return dataset.dataset(root, filesystem=store, format="parquet").to_table(columns=columns, filter=where)
 
 
 def hot_keys(counts: DataFrame, key: str, rows: str) -> list:

@@ -11,8 +11,10 @@ not seen, turns them into scores.
 
 The class counts behind the ratios and the model come from a bounded sample of
 labelled rows: at most ``max_rows``, the ones of least hash of doc_id, drawn only
-from the training folds (crc32 of the doc_id as text, mod 5, is not 0).  Labels,
-language, source and id are never features.  Scoring covers every row.
+from the training folds (crc32 of the doc_id as text, mod 5, is not 0), and of
+those the first whose features take at most ``max_bytes``.  Features of the sample
+are written to the shared folder and read from there.  Labels, language, source
+and id are never features.  Scoring covers every row.
 
 Defined cases: a null text counts as empty; an empty text has no features and
 scores by the intercept alone; labels that are null or have no document are left
@@ -27,15 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import shielded, small_batches, table, text_or_empty, unshielded
+from glossmill.llm.common import on_driver, shielded, small_batches, table, text_or_empty, unshielded, written
 from glossmill.llm.hashing import mix, word_hashes
 
 LOG_BUCKETS = 18
 #: Most labelled rows used for fitting.
 MAX_ROWS = 12_000
+#: Most bytes of their features, four each; a row is in or out as a whole.
+MAX_BYTES = 128 << 20
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -110,19 +115,18 @@ def coordinate_descent(
     """Weights and intercept of the hinge-loss model over scaled unit rows, by its dual."""
     share = max(1e-9, float(np.mean(labels > 0)))
     upper = np.where(labels > 0, cost / (2 * share), cost / max(1e-9, 2 * (1 - share)))
-    values = []
-    for row in rows:
-        v = ratios[row]
-        values.append(v / (float(np.sqrt(v @ v)) or 1.0))
+    norms = np.array([float(np.sqrt(ratios[row] @ ratios[row])) for row in rows])
     weights, intercept = np.zeros(len(ratios)), 0.0
     alpha = np.zeros(len(rows))
     # A unit row with a constant column of 1 has squared length 2; a row without weight has 1.
-    square = np.array([float(v @ v) + 1.0 for v in values])
+    square = np.where(norms > 0, 2.0, 1.0)
+    norms[norms == 0] = 1.0
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            row, v, y = rows[i], values[i], labels[i]
+            row, y = rows[i], labels[i]
+            v = ratios[row] / norms[i]
             slope = y * (float(weights[row] @ v) + intercept) - 1.0
             new = min(max(alpha[i] - slope / square[i], 0.0), upper[i])
             step = (new - alpha[i]) * y
@@ -177,25 +181,34 @@ def is_held_out(doc_id):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """Fit on at most ``max_rows`` labelled documents of the training folds."""
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = known.where(~is_held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
+    order = F.xxhash64("doc_id").alias("order")
+    chosen = known.where(~is_held_out("doc_id")).select("*", order).orderBy("order", "doc_id", "quality").limit(max_rows)
     joined = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    names = ["order", "doc_id", "quality", "size", "row"]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [columns_of(t).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "quality", "row"]
-            )
-
-    source = joined.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
-    found = source.mapInArrow(extract, "doc_id long, quality int, row binary").collect()
-    found.sort(key=lambda r: (hash((r["doc_id"], 11)) & 0xFFFF, r["doc_id"], bytes(r["row"])))
-    rows = [np.frombuffer(r["row"], np.int32).astype(np.int64) for r in found]
-    return fit(rows, np.array([1.0 if r["quality"] > 0 else -1.0 for r in found]))
+            rows = [columns_of(t).astype(np.int32).tobytes() for t in batch.column(3).to_pylist()]
+            size = pa.array([len(r) for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], size, pa.array(rows, pa.binary())], names=names)
+
+    source = joined.select("order", F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
+    path = written(source.mapInArrow(extract, "order long, doc_id long, quality int, size long, row binary"), "quality-sample")
+    sizes = on_driver(path, ["order", "size"])
+    by = np.argsort(sizes["order"].to_numpy(), kind="stable")
+    within = np.cumsum(sizes["size"].to_numpy()[by]) <= max_bytes
+    if not within.any():
+        return fit([], np.zeros(0))
+    last = int(sizes["order"].to_numpy()[by][within][-1])
+    found = on_driver(path, ["doc_id", "quality", "row"], dataset.field("order") <= last).combine_chunks()
+    ids, quality, raw = (found[n].to_pylist() for n in ("doc_id", "quality", "row"))
+    place = sorted(range(len(ids)), key=lambda i: (hash((ids[i], 11)) & 0xFFFF, ids[i], raw[i]))
+    rows = [np.frombuffer(raw[i], np.int32) for i in place]
+    return fit(rows, np.array([1.0 if quality[i] > 0 else -1.0 for i in place]))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
