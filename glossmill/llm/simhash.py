@@ -440,7 +440,7 @@ def confirmed(docs: DataFrame, prints: DataFrame, groups: DataFrame, words_per_s
         if held:
             yield held.done()
 
-    members = prints.join(groups, "cell").groupBy("group", "node", *words).agg(F.min("doc_id").alias("doc_id"))
+    members = prints.join(groups.hint("merge"), "cell").groupBy("group", "node", *words).agg(F.min("doc_id").alias("doc_id"))
     members = materialize(members, "simhash-members")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS))
     block = members.where("doc_id is not null").select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("n"))
@@ -451,7 +451,8 @@ def confirmed(docs: DataFrame, prints: DataFrame, groups: DataFrame, words_per_s
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     texts = texts.select(F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(slot).alias("slot"), "text")
     sets = texts.mapInArrow(cut, "node long, shingles binary")
-    met = sets.join(members, "node").select("group", "node", *words, "shingles")
+    # A merge at every size: members grow with the table, and sets go on to their groups by another shuffle.
+    met = sets.join(members.hint("merge"), "node").select("group", "node", *words, "shingles")
     met = met.repartition(parallelism(docs.sparkSession), "group").sortWithinPartitions("group", "node")
     return met.mapInArrow(confirm, "node long, root long")
 
@@ -472,11 +473,11 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, threshold: int = NEAR_
     stars = confirmed(docs, prints, groups.unionByName(alone), words_per_shingle, size)
     stars = materialize(stars, "simhash-stars")
     named = prints.where("doc_id is not null").select("doc_id", "key", "node")
-    rooted = named.join(stars, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    rooted = named.join(stars.hint("merge"), "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "simhash-rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     late = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key"))
-    drop = rooted.join(first, "root").where(late).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"))
+    drop = rooted.join(first.hint("merge"), "root").where(late).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"))
     drop = materialize(drop.distinct(), "simhash-drop")
     keyed = docs.withColumn("__text", _text_key())
     kept = keyed.join(drop, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__text") == F.col("__key")), "left_anti")

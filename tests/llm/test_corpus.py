@@ -100,6 +100,65 @@ def test_quality_without_labels(spark, odd):
     assert quality.keep_good(odd.where("false"), odd, one).count() == 0
 
 
+def plain_nb_svm(rows, labels, cost=1.0, rounds=4000):
+    """The primal of the same model by subgradient steps: ratios of counts, unit rows, weighted hinge loss."""
+    size = 1 << quality.LOG_BUCKETS
+    counts = np.ones((2, size))
+    for row, y in zip(rows, labels):
+        for c in row:
+            counts[int(y > 0), c] += 1
+    ratios = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
+    ratios[counts.sum(axis=0) == 2] = 0
+    used = np.unique(np.concatenate(rows))
+    x = np.zeros((len(rows), len(used) + 1))
+    for i, row in enumerate(rows):
+        v = ratios[row]
+        x[i, np.searchsorted(used, row)] = v / (np.linalg.norm(v) or 1)
+        x[i, -1] = 1
+    share = np.mean(labels > 0)
+    weight = np.where(labels > 0, cost / (2 * share), cost / (2 * (1 - share)))
+    w, best = np.zeros(x.shape[1]), None
+    for t in range(rounds):
+        margin = labels * (x @ w)
+        value = 0.5 * w @ w + weight @ np.maximum(0, 1 - margin)
+        if best is None or value < best[0]:
+            best = (value, w.copy())
+        w = w - (w - x.T @ (weight * labels * (margin < 1))) / (t + 10)
+    return ratios, used, best
+
+
+def test_quality_model_is_that_of_a_plain_solver():
+    rng = random.Random(4)
+    texts = [words(rng.randrange(5, 40), i, 60) + (" GOOD Fine." if i % 3 and rng.random() < 0.8 else " bad !!") for i in range(120)]
+    labels = np.array([1.0 if i % 3 else -1.0 for i in range(120)])
+    rows = [quality.columns_of(t) for t in texts]
+    ratios, used, (value, w) = plain_nb_svm(rows, labels)
+    assert np.allclose(quality.log_count_ratios(rows, labels)[used], ratios[used])
+    got, intercept = quality.coordinate_descent(rows, ratios, labels, rounds=300)
+    share = np.mean(labels > 0)
+    loss = 0.5 * (got @ got + intercept**2)
+    for row, y in zip(rows, labels):
+        v = ratios[row] / (np.linalg.norm(ratios[row]) or 1)
+        loss += (1 / (2 * share) if y > 0 else 1 / (2 * (1 - share))) * max(0, 1 - y * (got[row] @ v + intercept))
+    assert loss <= value * 1.01
+    assert np.mean([np.sign(a) == np.sign(b) for a, b in zip(got[used], w) if abs(b) > 0.05]) > 0.95
+
+
+def test_quality_sample_is_bounded_by_rows_and_bytes(spark, docs, monkeypatch):
+    held = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: held.append((len(rows), sum(4 * len(r) for r in rows), len(labels))))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs] + [(docs[0][0], 1), (None, 1), (-5, 0)], "doc_id long, quality long")
+    table = frame(spark, [t for _, t in docs], [i for i, _ in docs])
+    quality.train(table, labels)
+    quality.train(table, labels, max_rows=20)
+    quality.train(table, labels, max_bytes=50_000)
+    quality.train(table.where("false"), labels)
+    every, few, small, none = held
+    train = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5]
+    assert every[0] == len(train) + (docs[0][0] in train) and few[0] == 20 and none[0] == 0
+    assert 0 < small[0] < every[0] and small[1] <= 50_000
+
+
 # 2. packing
 
 
