@@ -1,19 +1,24 @@
 """Size-tiered compaction of immutable shards under a versioned manifest.
 
-A store is a folder of parquet shards and manifests.  An arrival is appended as
-small shards that never change again.  Compaction groups shards of one size tier
-(sizes within a factor ``ratio``), in order of arrival, into merges of about the
-target size; each merge is one task that reads its shards and writes one file.
-A commit writes a new manifest version by an atomic rename that fails if another
-writer took the version, so readers always see a whole version and a failed job
-leaves only files that no manifest names.
-
-The manifest names shards, not rows.  Merges run in waves of ``wave`` tasks, so
-plans stay small however many shards there are, and no merge shuffles.
+A store is a folder of parquet shards, lists of shards and manifests.  An arrival
+is appended as small shards that never change again.  Compaction takes the shards
+of one size tier (sizes within a factor ``ratio``) and merges them into files of
+about the target size: one scan per tier, packed so that each of its tasks reads
+whole shards up to the target, whose tasks write one file each.  However many
+merges a tier has they are one job, no plan names them one by one and no row is
+shuffled.
+
+A manifest version names lists; a list names at most ``list_shards`` shards and
+never changes either, so a commit writes the lists it touches and no others.  The
+commit itself is an atomic rename that fails if another writer took the version,
+so readers always see a whole version and a failed job leaves only files that no
+manifest names.  Like any scan of files, reading and compacting give the planner
+the paths of all shards they read.
 
 Defined cases: columns of any name are kept as they are, nulls and repeated rows
-too; an empty table makes an empty version; shards at or above the target are
-left alone; a last group below ``fan_in`` shards waits for more arrivals.
+too; an empty table makes an empty version; shards of half the target or more
+are left alone; a tier of less than the target and fewer than ``fan_in`` shards
+waits for more arrivals.
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ import json
 import math
 import uuid
 from dataclasses import asdict, dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +45,7 @@ class Shard:
     bytes: int
     sequence: int
     merged: bool = False
+    listed: str = ""
 
 
 class CommitConflict(RuntimeError):
@@ -50,9 +55,13 @@ class CommitConflict(RuntimeError):
 class ShardStore:
     """Append, compact and read the shards below a path."""
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, ratio: float = 4.0, fan_in: int = 4, wave: int = 24):
+    SHARD = "path string, bytes long, sequence long, merged boolean"
+
+    def __init__(
+        self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, ratio: float = 4.0, fan_in: int = 4, list_shards: int = 10_000
+    ):
         self.spark, self.path = spark, path.rstrip("/")
-        self.target_bytes, self.ratio, self.fan_in, self.wave = target_bytes, ratio, fan_in, wave
+        self.target_bytes, self.ratio, self.fan_in, self.list_shards = target_bytes, ratio, fan_in, list_shards
         self._jvm = spark._jvm
         self._fs_path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -68,34 +77,58 @@ class ShardStore:
         """All committed versions, in order."""
         return [int(p.rpartition("/v")[2][:-5]) for p, _ in self._list(f"{self.path}/manifest", ".json")]
 
-    def manifest(self, version: int | None = None) -> dict:
-        """The named or the latest version: its number, schema and shards."""
+    def version(self, number: int | None = None) -> dict:
+        """The named or the latest version: its number, schema, next sequence and lists of shards."""
         have = self.versions()
         if not have:
-            return {"version": 0, "schema": None, "shards": []}
-        name = f"{self.path}/manifest/v{version or have[-1]:08d}.json"
-        lines = self.spark.read.text(name, wholetext=True).first()[0]
-        out = json.loads(lines)
-        out["shards"] = [Shard(**s) for s in out["shards"]]
-        return out
-
-    def _commit(self, before: dict, schema: str, shards: list[Shard]) -> int:
+            return {"version": 0, "schema": None, "next": 0, "lists": []}
+        name = f"{self.path}/manifest/v{number or have[-1]:08d}.json"
+        return json.loads(self.spark.read.text(name, wholetext=True).first()[0])
+
+    def shards(self, version: dict) -> list[Shard]:
+        """The shards of a version, in order of arrival."""
+        if not version["lists"]:
+            return []
+        rows = self.spark.read.schema(self.SHARD).json([f"{self.path}/lists/{n}" for n in version["lists"]])
+        found = rows.select("*", F.element_at(F.split("_metadata.file_name", "/"), -1).alias("listed"))
+        return sorted((Shard(*r) for r in found.collect()), key=lambda s: s.sequence)
+
+    def manifest(self, version: int | None = None) -> dict:
+        """The named or the latest version, with its shards."""
+        known = self.version(version)
+        return known | {"shards": self.shards(known)}
+
+    def _put(self, path: str, text: str) -> None:
+        stream = self._fs.create(self._fs_path(path), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def _commit(self, before: dict, schema: str, gone: list[Shard], new: list[tuple[str, int]], merged: bool = False) -> int:
+        """A version like ``before`` without the shards ``gone`` and with files as ``new`` ones; returns its number."""
+        touched = {s.listed for s in gone}
+        paths = {s.path for s in gone}
+        rest = [s for s in self.shards({"lists": sorted(touched)}) if s.path not in paths]
+        fresh = [Shard(p, n, before["next"] + i, merged) for i, (p, n) in enumerate(new)]
+        lists = [n for n in before["lists"] if n not in touched]
+        every = rest + fresh
+        for at in range(0, len(every), self.list_shards):
+            name = f"l-{uuid.uuid4().hex}.json"
+            rows = [{k: v for k, v in asdict(s).items() if k != "listed"} for s in every[at : at + self.list_shards]]
+            self._put(f"{self.path}/lists/{name}", "".join(json.dumps(r) + "\n" for r in rows))
+            lists.append(name)
         version = before["version"] + 1
         folder = f"{self.path}/manifest"
         self._fs.mkdirs(self._fs_path(folder))
-        draft = self._fs_path(f"{folder}/.{uuid.uuid4().hex}.tmp")
-        stream = self._fs.create(draft, False)
-        text = json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]})
-        stream.write(bytearray(text.encode()))
-        stream.close()
+        draft = f"{folder}/.{uuid.uuid4().hex}.tmp"
+        self._put(draft, json.dumps({"version": version, "schema": schema, "next": before["next"] + len(fresh), "lists": lists}))
         fs = self._jvm.org.apache.hadoop.fs
         context = fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         how = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
         how[0] = fs.Options.Rename.NONE
         try:
-            context.rename(draft, self._fs_path(f"{folder}/v{version:08d}.json"), how)
+            context.rename(self._fs_path(draft), self._fs_path(f"{folder}/v{version:08d}.json"), how)
         except Exception as error:
-            self._fs.delete(draft, False)
+            self._fs.delete(self._fs_path(draft), False)
             raise CommitConflict(f"version {version} of {self.path} is taken") from error
         return version
 
@@ -107,59 +140,45 @@ class ShardStore:
 
     def append(self, df: DataFrame, rows_per_shard: int = ARRIVAL_ROWS) -> int:
         """Write an arrival as small shards and commit it; returns the version."""
-        before = self.manifest()
-        first = max((s.sequence for s in before["shards"]), default=-1) + 1
-        new = [Shard(p, n, first + i) for i, (p, n) in enumerate(self._write(df, rows_per_shard))]
-        return self._commit(before, before["schema"] or df.schema.json(), before["shards"] + new)
+        before = self.version()
+        return self._commit(before, before["schema"] or df.schema.json(), [], self._write(df, rows_per_shard))
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
-        """Groups to merge: of one tier, in order, of about the target size."""
+        """The shards to merge, by tier."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
             if s.bytes < self.target_bytes // 2:
                 tiers.setdefault(int(math.log(max(s.bytes, 1), self.ratio)), []).append(s)
-        groups = []
-        for tier in sorted(tiers):
-            group: list[Shard] = []
-            for s in sorted(tiers[tier], key=lambda s: s.sequence):
-                group.append(s)
-                if sum(x.bytes for x in group) >= self.target_bytes:
-                    groups.append(group)
-                    group = []
-            if len(group) >= self.fan_in:
-                groups.append(group)
-        return groups
+        ready = (t for _, t in sorted(tiers.items()))
+        return [t for t in ready if len(t) >= self.fan_in or (len(t) > 1 and sum(s.bytes for s in t) >= self.target_bytes)]
 
     def compact(self) -> int:
         """Merge until no tier has enough shards left; returns the latest version."""
         while True:
             before = self.manifest()
-            groups = self.plan(before["shards"])
-            if not groups:
+            tiers = self.plan(before["shards"])
+            if not tiers:
                 return before["version"]
             schema = self._schema(before)
-            new: list[Shard] = []
-            for at in range(0, len(groups), self.wave):
-                new += [Shard(p, n, 0, True) for p, n in self._merge(groups[at : at + self.wave], schema)]
-            gone = {s.path for g in groups for s in g}
-            first = max(s.sequence for s in before["shards"]) + 1
-            new = [Shard(s.path, s.bytes, first + i, True) for i, s in enumerate(new)]
-            self._commit(before, before["schema"], [s for s in before["shards"] if s.path not in gone] + new)
-
-    def _merge(self, groups: list[list[Shard]], schema) -> list[tuple[str, int]]:
-        """One file for each group, all groups at once: a union with one partition for each.
-
-        A union of parts of one partition would itself take one partition, so
-        that rule of the planner is off while the merges are written.
+            new = [f for tier in tiers for f in self._merge(tier, schema)]
+            self._commit(before, before["schema"], [s for t in tiers for s in t], new, merged=True)
+
+    def _merge(self, tier: list[Shard], schema) -> list[tuple[str, int]]:
+        """Files of about the target size with the rows of a tier, each by a task of one scan.
+
+        The scan packs whole shards into tasks of ``target_bytes``; the settings
+        for that are the session's own again afterwards.
         """
-        parts = [self.spark.read.schema(schema).parquet(*[s.path for s in g]).coalesce(1) for g in groups]
-        rule, conf = "spark.sql.unionOutputPartitioning", self.spark.conf
-        before = conf.get(rule, "true")
-        conf.set(rule, "false")
+        packed = {"maxPartitionBytes": self.target_bytes, "openCostInBytes": 0, "minPartitionNum": 1}
+        names = {f"spark.sql.files.{k}": str(v) for k, v in packed.items()}
+        before = {n: self.spark.conf.get(n, None) for n in names}
+        for n, v in names.items():
+            self.spark.conf.set(n, v)
         try:
-            return self._write(reduce(DataFrame.unionAll, parts))
+            return self._write(self.spark.read.schema(schema).parquet(*[s.path for s in tier]))
         finally:
-            conf.set(rule, before)
+            for n, v in before.items():
+                self.spark.conf.set(n, v) if v is not None else self.spark.conf.unset(n)
 
     def _schema(self, manifest: dict):
         from pyspark.sql.types import StructType

@@ -690,7 +690,7 @@ def test_warc_small_payloads_are_responses(spark):
 
 
 def test_shards(spark, tmp_path, odd):
-    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=60_000, fan_in=2, wave=2)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=60_000, fan_in=2, list_shards=3)
     for part in range(4):
         store.append(odd.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)) == part), rows_per_shard=1)
     before = store.manifest()
@@ -702,22 +702,41 @@ def test_shards(spark, tmp_path, odd):
 
     assert content(store.read()) == content(odd) == content(store.read(before["version"]))
     with pytest.raises(sharding.CommitConflict):
-        store._commit(before, before["schema"], [])
+        store._commit(before, before["schema"], [], [])
     assert store.versions() == sorted(store.versions()) and store.compact() == last
     empty = sharding.ShardStore(spark, f"file://{tmp_path}/e")
     empty.append(odd.where("false"))
     assert empty.read().count() == 0 and empty.read().columns == odd.columns
 
 
-def test_merges_run_apart(spark, tmp_path):
+def test_merges_of_a_tier_are_one_job(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=20_000)
     store.append(spark.range(64_000).selectExpr("id", "sha2(cast(id as string), 256) as text").repartition(1), rows_per_shard=100)
-    groups = store.plan(store.manifest()["shards"])
-    before = len(store.manifest()["shards"])
+    before = store.manifest()["shards"]
+    (tier,) = store.plan(before)
+    assert len(tier) == len(before) == 640
+    kept = {n: spark.conf.get(n, None) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    calls = []
+    real = store._write
+    store._write = lambda df, rows=None: calls.append(df.rdd.getNumPartitions()) or real(df, rows)
     store.compact()
     after = store.manifest()["shards"]
-    assert len(groups) > 5 and len(after) == before - sum(map(len, groups)) + len(groups)
-    assert store.read().count() == 64_000
+    assert calls[0] > 50 and len(calls) <= 4 and len(after) <= calls[0]
+    assert {n: spark.conf.get(n, None) for n in kept} == kept
+    assert store.read().count() == 64_000 and store.read().select("id").distinct().count() == 64_000
+
+
+def test_commits_write_only_the_lists_they_touch(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", list_shards=2)
+    for i in range(3):
+        store.append(spark.range(3 * i, 3 * i + 3).repartition(1), rows_per_shard=1)
+    before = store.version()
+    assert len(before["lists"]) == 6 and before["next"] == 9
+    known = store.shards(before)
+    store._commit(before, before["schema"], [known[0]], [])
+    after = store.version()
+    assert len(set(before["lists"]) - set(after["lists"])) == 1
+    assert sorted(r[0] for r in store.read().collect()) == sorted(set(range(9)) - {r[0] for r in spark.read.parquet(known[0].path).collect()})
 
 
 def test_shard_manifest_is_json(spark, tmp_path):
