@@ -48,9 +48,10 @@ from glossmill.llm.suffix import repeated_starts
 
 LENGTH, PIECE = 400, 32
 #: Bytes of text a task works on at once, and of a shard's suffix array.
-PART_BYTES, SHARD_BYTES = 1 << 20, 2 << 20
-#: Most runs of one anchor in a shard.
+PART_BYTES, SHARD_BYTES = 1 << 20, 1 << 20
+#: Most runs of one anchor in a shard, and shards of one anchor for each range of their merge.
 SHARD_RUNS = 64
+RANGE_SHARDS = 16
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
 _NO_ID = -(1 << 63)
@@ -225,7 +226,7 @@ def _shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
             if h["parts"] > 1:
                 by_key.setdefault(h["key"], []).append((h, own))
         for key, group in by_key.items():
-            heads = np.array([(h["doc_id"], h["rid"], h["start"]) for h, _ in group], _HEAD).tobytes()
+            heads = np.array([(h["doc_id"], h["rid"], h["start"]) for h, _ in group], _HEAD)
             digests = np.concatenate([_window_digests(h["bytes"], length) for h, _ in group])
             places = [np.where(own, -1, i * _MOST_WINDOWS + np.arange(len(own))) for i, (_, own) in enumerate(group)]
             by = np.lexsort((digests[:, 1], digests[:, 0]))
@@ -233,11 +234,16 @@ def _shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
             fresh = np.ones(len(by), bool)
             fresh[1:] = (digests[1:] != digests[:-1]).any(axis=1)
             digests, owners = digests[fresh], owners[fresh]
-            ranges = (digests[:, 0] >> np.uint64(40)).astype(np.int64) * group[0][0]["parts"] >> 24
+            n_ranges = -(-group[0][0]["parts"] // RANGE_SHARDS)
+            ranges = (digests[:, 0] >> np.uint64(40)).astype(np.int64) * n_ranges >> 24
             for r in np.unique(ranges).tolist():
                 own = slice(*np.searchsorted(ranges, [r, r + 1]))
-                put = digests[own].tobytes(), owners[own].astype("<i8").tobytes(), heads
-                out.put(None, None, None, None, None, key, r, *put)
+                # Of the runs only those that the range's windows stand for.
+                known = owners[own] >= 0
+                used, place = np.unique(owners[own][known] // _MOST_WINDOWS, return_inverse=True)
+                stand = np.full(len(known), -1, "<i8")
+                stand[known] = place * _MOST_WINDOWS + owners[own][known] % _MOST_WINDOWS
+                out.put(None, None, None, None, None, key, r, digests[own].tobytes(), stand.tobytes(), heads[used].tobytes())
         return out.batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
