@@ -43,6 +43,7 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -409,6 +410,37 @@ class _Group:
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
 
 
+def bitmap_of(rows: DataFrame) -> bytes:
+    """A bit for each value of the column ``slot``, 0 to ``_SLOTS`` - 1, nulls apart; of fixed size however many rows there are."""
+    block = rows.where("slot is not null").select((F.col("slot") + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("n"))
+    bits = bytearray(_SLOTS // 8)
+    for row in block.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect():
+        bits[(row["n"] - 1) * 4096 : row["n"] * 4096] = row["bits"]
+    return bytes(bits)
+
+
+def _slot(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(_SLOTS))
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """``docs``, with ``__doc`` and ``__key``, without the rows that ``drop`` names by these columns.
+
+    A bitmap lets most rows that stay pass where they lie; only the others, those
+    that go and a few more, are sent to be joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(drop.select(_slot("__doc", "__key").alias("slot"))))
+
+    @F.pandas_udf("boolean")
+    def named(slots: pd.Series) -> pd.Series:
+        bits, at = np.frombuffer(shared.value, np.uint8), slots.to_numpy()
+        return pd.Series(bits[at >> 3] >> (at & 7) & 1 == 1)
+
+    marked = docs.withColumn("__named", F.col("__doc").isNotNull() & named(_slot("__doc", "__key")))
+    stay = marked.where(~F.col("__named"))
+    return stay.unionAll(marked.where("__named").join(drop, ["__doc", "__key"], "left_anti").select(*marked.columns)).drop("__named")
+
+
 def confirmed(docs: DataFrame, prints: DataFrame, groups: DataFrame, words_per_shingle: int, size: int) -> DataFrame:
     """(node, root) for the sets in ``groups`` (cell, group): components of pairs of likeness ``LIKE`` within a group.
 
@@ -442,12 +474,9 @@ def confirmed(docs: DataFrame, prints: DataFrame, groups: DataFrame, words_per_s
 
     members = prints.join(groups.hint("merge"), "cell").groupBy("group", "node", *words).agg(F.min("doc_id").alias("doc_id"))
     members = materialize(members, "simhash-members")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS))
-    block = members.where("doc_id is not null").select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("n"))
-    bits = bytearray(_SLOTS // 8)
-    for row in block.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect():
-        bits[(row["n"] - 1) * 4096 : row["n"] * 4096] = row["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(bits))
+    slot = _slot("doc_id")
+    bits = bitmap_of(members.where("doc_id is not null").select(slot.alias("slot")))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     texts = texts.select(F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(slot).alias("slot"), "text")
     sets = texts.mapInArrow(cut, "node long, shingles binary")
@@ -475,14 +504,15 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, threshold: int = NEAR_
     named = prints.where("doc_id is not null").select("doc_id", "key", "node")
     rooted = named.join(stars.hint("merge"), "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "simhash-rooted")
-    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    # Dealt anew, so that the engine can split the join of a group that very many rows share.
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first")).repartition("root")
     late = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key"))
     drop = rooted.join(first.hint("merge"), "root").where(late).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"))
     drop = materialize(drop.distinct(), "simhash-drop")
-    keyed = docs.withColumn("__text", _text_key())
-    kept = keyed.join(drop, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__text") == F.col("__key")), "left_anti")
+    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__key", _text_key())
+    kept = without(keyed, drop)
     if named.groupBy("doc_id", "key").count().where("count > 1").limit(1).count():
-        ids = kept.where("doc_id is not null").dropDuplicates(["doc_id", "__text"])
+        ids = kept.where("doc_id is not null").dropDuplicates(["doc_id", "__key"])
         kept = ids.unionByName(kept.where("doc_id is null"))
     return kept.select(*docs.columns)
 
