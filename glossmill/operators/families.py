@@ -13,30 +13,44 @@ from glossmill.schemas import CARD, require_columns
 REQUIRED = ("definition_en", "definition_ru", "part_of_speech")
 
 
-def groups(tokens: DataFrame, sentences: DataFrame, most: int | None = None) -> DataFrame:
-    """Per lemma its sentences in first-seen order, with the part of speech of the first use in each.
+def uses(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(lemma, sentence_id, pos): every sentence of every lemma, with the part of speech of the first use in it."""
+    own = content(tokens).groupBy("lemma", "sentence_id").agg(F.min_by("pos", "position").alias("pos"))
+    return own.join(sentences.where("sentence <> ''").select("sentence_id"), "sentence_id", "left_semi")
 
-    With ``most``, only the first sentences are gathered, so a frequent lemma
-    never makes a long list.
+
+def groups(tokens: DataFrame, sentences: DataFrame, most: int) -> DataFrame:
+    """Per lemma its first ``most`` sentences, counts of all, and the parts of speech of all.
+
+    Lemmas are counted and cut on ids alone; texts join only the sentences that
+    are left.  ``example_blocks`` gives all sentences, in lists of bounded length.
     """
-    uses = (
-        content(tokens)
-        .groupBy("lemma", "sentence_id")
-        .agg(F.min_by("pos", "position").alias("pos"))
-        .join(sentences.select("sentence_id", "sentence").where("sentence <> ''"), "sentence_id")
-    )
-    counts = uses.groupBy("lemma").agg(
+    own = uses(tokens, sentences)
+    first = Window.partitionBy("lemma").orderBy("sentence_id")
+    counts = own.groupBy("lemma").agg(
         F.count(F.lit(1)).alias("example_count"), F.array_sort(F.collect_set("pos")).alias("pos_variants")
     )
-    if most is not None:
-        first = Window.partitionBy("lemma").orderBy("sentence_id")
-        uses = uses.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most)
-    listed = uses.groupBy("lemma").agg(
-        F.array_sort(F.collect_list(F.struct("sentence_id", F.col("sentence").alias("text"), "pos"))).alias("examples")
-    )
+    kept = own.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most).drop("__n")
+    texts = kept.join(sentences.select("sentence_id", F.col("sentence").alias("text")), "sentence_id")
+    listed = texts.groupBy("lemma").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "text", "pos"))).alias("examples"))
     return listed.join(counts, "lemma").select("lemma", "examples", "pos_variants", "example_count")
 
 
+def example_blocks(tokens: DataFrame, sentences: DataFrame, size: int = 100) -> DataFrame:
+    """(lemma, block, offset, examples): all sentences of each lemma in order, ``size`` to a block, numbered from 0."""
+    place = F.row_number().over(Window.partitionBy("lemma").orderBy("sentence_id")) - 1
+    placed = uses(tokens, sentences).withColumn("block", F.floor(place / F.lit(size)).cast("int"))
+    texts = placed.join(sentences.select("sentence_id", F.col("sentence").alias("text")), "sentence_id")
+    listed = texts.groupBy("lemma", "block").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "text", "pos"))).alias("examples"))
+    return listed.select("lemma", "block", (F.col("block") * size).alias("offset"), "examples")
+
+
+def merge_blocks(cards: DataFrame) -> DataFrame:
+    """Cards of blocks (lemma, offset, indices from 1, ..) with indices into all examples of the lemma."""
+    moved = F.transform("indices", lambda i: i + F.col("offset"))
+    return cards.withColumn("indices", moved).drop("offset")
+
+
 def prompt(lemma: Column, examples: Column, shares: Column | None = None) -> Column:
     """The text of a request: the lemma, numbered examples and, if given, their parts of speech."""
     numbered = F.array_join(F.transform(examples, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")

@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 from glossmill.functions.text import expand_contractions, normalize_for_matching, target_in_text
 
+#: Most keys of headwords that go into a plan as literals.
+_FEW = 200
+
 
 def phrasal_verbs(tokens: DataFrame, pairs: DataFrame, reach: int = 3) -> DataFrame:
     """(book, sentence_id, phrasal, verb, particle): a verb with a particle up to ``reach`` places on.
 
     Each phrase counts once a sentence.  The dictionary is small and fixed, so it
-    is broadcast; the sentence's tokens are looked ahead in one window.
+    is broadcast; only its verbs and particles are gathered by sentence, and
+    places tell how far apart they are, so ``tokens`` must hold whole sentences.
     """
-    w = Window.partitionBy("book", "sentence_id").orderBy("position")
-    ahead = F.array(*[F.lead("lemma", i).over(w) for i in range(1, reach + 1)])
-    rows = tokens.withColumn("__ahead", F.array_compact(ahead)).select("book", "sentence_id", "lemma", "__ahead")
-    lookup = pairs.groupBy("verb").agg(F.collect_set("particle").alias("__particles"))
-    met = rows.join(F.broadcast(lookup), rows["lemma"] == lookup["verb"])
-    return (
-        met.select("book", "sentence_id", "verb", F.explode(F.array_intersect("__ahead", "__particles")).alias("particle"))
-        .select("book", "sentence_id", F.concat_ws(" ", "verb", "particle").alias("phrasal"), "verb", "particle")
-        .dropDuplicates(["book", "sentence_id", "phrasal"])
-    )
+    rows = tokens.select("book", "sentence_id", "position", "lemma")
+    verbs = rows.join(F.broadcast(pairs.withColumnRenamed("verb", "lemma")), "lemma")
+    verbs = verbs.select("book", "sentence_id", F.col("position").alias("__at"), F.col("lemma").alias("verb"), "particle")
+    particles = rows.join(F.broadcast(pairs.select(F.col("particle").alias("lemma")).distinct()), "lemma", "left_semi")
+    met = verbs.join(particles.withColumnRenamed("lemma", "particle"), ["book", "sentence_id", "particle"])
+    near = met.where((F.col("position") > F.col("__at")) & (F.col("position") <= F.col("__at") + reach))
+    phrase = F.concat_ws(" ", "verb", "particle").alias("phrasal")
+    return near.select("book", "sentence_id", phrase, "verb", "particle").dropDuplicates(["book", "sentence_id", "phrasal"])
 
 
 def phrase_stats(phrases: DataFrame, kind: str = "phrasal_verb") -> DataFrame:
@@ -31,8 +33,11 @@ def phrase_stats(phrases: DataFrame, kind: str = "phrasal_verb") -> DataFrame:
     return phrases.groupBy("phrasal").agg(F.count(F.lit(1)).alias("book_freq")).withColumn("item_type", F.lit(kind))
 
 
-def candidates(stats: DataFrame, phrases: DataFrame, most: int = 10, source: str = "dependency") -> DataFrame:
-    """(headword, type, count, sample_sentence_ids, source) with the first ``most`` sentences of each phrase."""
+def candidates(stats: DataFrame, phrases: DataFrame, most: int = 10, source: str = "dictionary") -> DataFrame:
+    """(headword, type, count, sample_sentence_ids, source) with the first ``most`` sentences of each phrase.
+
+    ``source`` tells how phrases were found: the built-in way is a dictionary, not a parse.
+    """
     first = Window.partitionBy("phrasal").orderBy("sentence_id")
     kept = phrases.select("phrasal", "sentence_id").distinct().withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most)
     samples = kept.groupBy("phrasal").agg(F.array_sort(F.collect_list("sentence_id")).alias("ids"))
@@ -56,21 +61,24 @@ def sentences_with(headwords: DataFrame, sentences: DataFrame, most: int = 10) -
 
     A single word is found by the first run of word characters it shares, a
     phrase by the letters around its first space; the exact test follows on those
-    pairs alone, so no headword meets every sentence.
+    pairs alone, so no headword meets every sentence.  Up to ``_FEW`` keys of
+    headwords are held against a sentence's own before those are spread to rows.
     """
     plain = normalize_for_matching(F.col("sentence"))
-    runs = F.regexp_extract_all(
-        F.lower(F.concat_ws(" ", plain, expand_contractions(plain))), F.lit("(?U)\\w+"), F.lit(0)
-    )
-    by_word = sentences.select("sentence_id", "sentence", F.explode(F.array_distinct(runs)).alias("__key"))
+    written_out = F.when(F.contains(plain, F.lit("'")), F.concat_ws(" ", plain, expand_contractions(plain))).otherwise(plain)
+    runs = F.regexp_extract_all(F.lower(written_out), F.lit("(?U)\\w+"), F.lit(0))
     heads = headwords.select("headword", F.lower(normalize_for_matching(F.trim("headword"))).alias("__h"))
     several = F.contains(F.col("__h"), F.lit(" "))
     single = heads.where(~several).select("headword", F.regexp_extract("__h", "(?U)(\\w+)", 1).alias("__key"))
-    singles = by_word.join(single, "__key")
-    gaps = F.regexp_extract_all(F.lower(plain), F.lit("(?=(. .))"), F.lit(1))
-    by_gap = sentences.select("sentence_id", "sentence", F.explode(F.array_distinct(gaps)).alias("__key"))
     pair = heads.where(several).select("headword", F.regexp_extract("__h", "(. .)", 1).alias("__key"))
-    pairs = singles.unionByName(by_gap.join(pair, "__key")).drop("__key")
+    gaps = F.regexp_extract_all(F.lower(plain), F.lit("(?=(. .))"), F.lit(1))
+
+    def met_by(found, keys: DataFrame) -> DataFrame:
+        few = [r[0] for r in keys.select("__key").distinct().limit(_FEW + 1).collect()]
+        own = F.array_distinct(found) if len(few) > _FEW else F.array_intersect(found, F.array(*map(F.lit, few)).cast("array<string>"))
+        return sentences.select("sentence_id", "sentence", F.explode(own).alias("__key")).join(keys, "__key")
+
+    pairs = met_by(runs, single).unionByName(met_by(gaps, pair)).drop("__key")
     met = pairs.where(target_in_text(F.col("headword"), F.col("sentence")))
     first = Window.partitionBy("headword").orderBy("sentence_id")
     return met.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most).drop("__n")

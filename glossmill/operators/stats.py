@@ -9,23 +9,42 @@ from glossmill import lexicon
 from glossmill.functions.scores import rarity
 from glossmill.operators.tokens import learnable
 from glossmill.schemas import require_columns
+from glossmill.sources.shared import materialize
+
+
+def _counts() -> list:
+    verb = F.count_if((F.col("pos") == "VERB") & F.col("__own"))
+    own = F.count_if("__own")
+    return [
+        own.alias("book_freq"),
+        F.count_distinct(F.when(F.col("__own"), F.col("sentence_id"))).alias("doc_count"),
+        verb.alias("verb_count"),
+        (own - verb).alias("other_pos_count"),
+        F.count_if(F.col("is_stop") & F.col("__own")).alias("stopword_count"),
+    ]
 
 
 def lemma_frequency(tokens: DataFrame, stop: bool = False, proper: bool = False, other: bool = False) -> DataFrame:
     """Per lemma: occurrences, sentences, verbs, others and stop words."""
     require_columns(tokens, ["lemma", "sentence_id", "is_stop", "pos", "is_alpha"], "tokens")
-    verb = F.count_if(F.col("pos") == "VERB")
-    return (
-        learnable(tokens, stop, proper, other)
-        .groupBy("lemma")
-        .agg(
-            F.count(F.lit(1)).alias("book_freq"),
-            F.count_distinct("sentence_id").alias("doc_count"),
-            verb.alias("verb_count"),
-            (F.count(F.lit(1)) - verb).alias("other_pos_count"),
-            F.count_if("is_stop").alias("stopword_count"),
-        )
-    )
+    return learnable(tokens, stop, proper, other).withColumn("__own", F.lit(True)).groupBy("lemma").agg(*_counts())
+
+
+def lemma_frequency_with_zipf(tokens: DataFrame) -> DataFrame:
+    """``lemma_frequency`` with global_zipf from the same corpus, in one pass over it.
+
+    All letter tokens are counted per lemma at once, those that count as learnable
+    apart.  The counts, a row a lemma, are written to the shared folder, so their
+    total and whatever ranks them read those and not the corpus again.
+    """
+    require_columns(tokens, ["lemma", "sentence_id", "is_stop", "pos", "is_alpha"], "tokens")
+    own = ~F.col("is_stop") & (F.col("pos") != "PROPN")
+    rows = tokens.where("is_alpha").withColumn("__own", own)
+    found = materialize(rows.groupBy("lemma").agg(*_counts(), F.count(F.lit(1)).alias("__n")), "lemma-counts")
+    total = found.agg(F.sum("__n").alias("__total"))
+    zipf = F.log10(F.col("__n") / F.col("__total") * 1e9).alias("global_zipf")
+    joined = found.where("book_freq > 0").crossJoin(F.broadcast(total))
+    return joined.select("lemma", "book_freq", "doc_count", "verb_count", "other_pos_count", "stopword_count", zipf)
 
 
 def corpus_zipf(tokens: DataFrame) -> DataFrame:

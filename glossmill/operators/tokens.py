@@ -27,15 +27,20 @@ class Annotator(Protocol):
 
 
 def sentences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(book, sentence_id, sentence): non-empty trimmed sentences, numbered within a book from 0."""
+    """(book, sentence_id, sentence): non-empty trimmed sentences, numbered within a book from 0.
+
+    A row is a book, and ids are unique if ``doc_id`` is.  A book of more sentences
+    than its numbers, or a number that ids cannot hold, is an error when it is read.
+    """
     found = F.filter(
         F.transform(F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s, F.lit(" \t\r"))),
         lambda s: s != "",
     )
     rows = docs.select(F.col(doc_id), F.posexplode(found).alias("at", "sentence"))
+    at = F.when(F.col("at") < SENTENCES_PER_BOOK, F.col("at")).otherwise(F.raise_error(F.lit("a book has too many sentences")).cast("int"))
     return rows.select(
         F.col(doc_id).cast("string").alias("book"),
-        (F.col(doc_id).cast("long") * SENTENCES_PER_BOOK + F.col("at")).alias("sentence_id"),
+        (F.col(doc_id).cast("long") * SENTENCES_PER_BOOK + at).alias("sentence_id"),
         "sentence",
     )
 

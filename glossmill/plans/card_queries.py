@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.operators import families, qc, report, tokens
@@ -29,13 +29,29 @@ def _groups(spark, sf_dir, most: int) -> DataFrame:
 
 @query(
     "agg_5",
-    f"""WITH {_USES} SELECT lemma, example_count, variants, string_agg(CAST(sentence_id AS VARCHAR) || '/' || pos, ',' ORDER BY sentence_id) AS listed
-    FROM placed JOIN many USING (lemma) WHERE n <= 50 GROUP BY ALL""",
+    f"""WITH {_USES} SELECT lemma, CAST((n - 1) // 100 AS INTEGER) AS block, example_count, variants,
+      string_agg(CAST(sentence_id AS VARCHAR) || '/' || pos, ',' ORDER BY sentence_id) AS listed FROM placed JOIN many USING (lemma) GROUP BY ALL""",
 )
 def agg_5(spark, sf_dir):
-    rows = _groups(spark, sf_dir, 50)
-    parts = F.transform("examples", lambda e: F.concat_ws("/", e["sentence_id"].cast("string"), e["pos"]))
-    return rows.select("lemma", "example_count", F.array_join("pos_variants", ",").alias("variants"), F.array_join(parts, ",").alias("listed"))
+    """All sentences of each lemma, in blocks of 100."""
+    docs = table(spark, sf_dir, "documents")
+    own = families.uses(tokens.tokenize(docs), tokens.sentences(docs))
+    place = F.row_number().over(Window.partitionBy("lemma").orderBy("sentence_id")) - 1
+    part = F.concat_ws("/", F.col("sentence_id").cast("string"), "pos")
+    blocks = own.withColumn("block", F.floor(place / 100).cast("int")).groupBy("lemma", "block").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_sort(F.collect_list(F.struct("sentence_id", part.alias("part")))).alias("parts"),
+        F.collect_set("pos").alias("variants"),
+    )
+    every = Window.partitionBy("lemma")
+    variants = F.array_sort(F.array_distinct(F.flatten(F.collect_list("variants").over(every))))
+    return blocks.select(
+        "lemma",
+        "block",
+        F.sum("n").over(every).alias("example_count"),
+        F.array_join(variants, ",").alias("variants"),
+        F.array_join(F.transform("parts", lambda p: p["part"]), ",").alias("listed"),
+    )
 
 
 @query(

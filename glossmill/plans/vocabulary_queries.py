@@ -20,7 +20,7 @@ def _tokens(spark, sf_dir) -> DataFrame:
 
 
 def _stats(found: DataFrame) -> DataFrame:
-    return stats.with_zipf(stats.lemma_frequency(found), stats.corpus_zipf(found))
+    return stats.lemma_frequency_with_zipf(found)
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
@@ -109,7 +109,7 @@ _MWE = _PHRASE_STATS + """, ids AS (SELECT phrasal, string_agg(CAST(sentence_id
   FROM (SELECT *, row_number() OVER (PARTITION BY phrasal ORDER BY sentence_id) AS n FROM phr) WHERE n <= 10 GROUP BY phrasal)"""
 
 
-@query("agg_3", f"WITH {_MWE} SELECT phrasal AS headword, 'phrasal' AS type, book_freq AS count, coalesce(ids, '') AS ids, 'dependency' AS source FROM ps LEFT JOIN ids USING (phrasal)")
+@query("agg_3", f"WITH {_MWE} SELECT phrasal AS headword, 'phrasal' AS type, book_freq AS count, coalesce(ids, '') AS ids, 'dictionary' AS source FROM ps LEFT JOIN ids USING (phrasal)")
 def agg_3(spark, sf_dir):
     found = phrases(spark, sf_dir)
     rows = mwe.candidates(mwe.phrase_stats(found), found)
@@ -151,13 +151,13 @@ def rnk_3(spark, sf_dir):
 
 @query(
     "rnk_4",
-    f"""WITH {oracle.ZIPF}, best AS (SELECT lemma FROM scored ORDER BY score DESC, lemma LIMIT 20),
+    f"""WITH {oracle.ZIPF}, best AS (SELECT lemma FROM scored ORDER BY score DESC, lemma LIMIT 100),
     pairs AS (SELECT DISTINCT t.lemma AS item, s.sentence, s.sentence_id AS ord FROM tok t JOIN best USING (lemma) JOIN sent s USING (sentence_id)) {_TOP_K}""",
 )
 def rnk_4(spark, sf_dir):
     found = _tokens(spark, sf_dir)
     ranked = stats.ranked(stats.by_frequency(_stats(found)))
-    rows = examples.for_candidates(ranked, found, tokens.sentences(table(spark, sf_dir, "documents")), top_n=20)
+    rows = examples.for_candidates(ranked, found, tokens.sentences(table(spark, sf_dir, "documents")), top_n=100)
     return rows.where("example is not null").select(F.col("lemma").alias("item"), "example")
 
 

@@ -98,8 +98,9 @@ def file_sha256(path: str) -> str:
 
 
 def table_checksum(df: DataFrame) -> DataFrame:
-    """One row (n, checksum) that does not depend on the order of rows."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("checksum"))
+    """One row (n, checksum) that does not depend on the order of rows; equal rows do not cancel out."""
+    each = F.xxhash64(*df.columns).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(each), F.lit(0)).cast("string").alias("checksum"))
 
 
 def manifest(tokens: DataFrame, sentences: DataFrame, **fields: object) -> dict:
