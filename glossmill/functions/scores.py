@@ -108,3 +108,8 @@ def baseline_margin(senses: Column) -> Column:
 def cost(input_tokens: Column, output_tokens: Column, price_in: Column, price_out: Column, factor: float = 1.0) -> Column:
     """Cost of a call at prices a million tokens."""
     return (input_tokens * price_in + output_tokens * price_out) / 1_000_000.0 * factor
+
+
+def is_confident(confidence, least: float = 0.3):
+    """Whether a sense was chosen with enough confidence; no confidence is not enough."""
+    return F.coalesce(confidence >= least, F.lit(False))

@@ -19,7 +19,7 @@ def uses(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
     return own.join(sentences.where("sentence <> ''").select("sentence_id"), "sentence_id", "left_semi")
 
 
-def groups(tokens: DataFrame, sentences: DataFrame, most: int) -> DataFrame:
+def groups(tokens: DataFrame, sentences: DataFrame, most: int = 100) -> DataFrame:
     """Per lemma its first ``most`` sentences, counts of all, and the parts of speech of all.
 
     Lemmas are counted and cut on ids alone; texts join only the sentences that

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +84,46 @@ class RegexAnnotator:
         )
 
 
+class LoadedAnnotator:
+    """Tokens by a model that each worker loads once, from batches of sentences.
+
+    ``load`` returns a function from a sentence to (surface, lemma, pos) of its
+    tokens; stop words and letters are judged by the engine.
+    """
+
+    _HELD: dict = {}
+
+    def __init__(self, load: Callable[[], Callable[[str], list[tuple[str, str, str]]]]):
+        self.load = load
+
+    def tokens(self, sentences: DataFrame) -> DataFrame:
+        load, held = self.load, LoadedAnnotator._HELD
+
+        @F.pandas_udf("array<struct<surface:string,lemma:string,pos:string>>")
+        def read(texts: pd.Series) -> pd.Series:
+            name = f"{load.__module__}.{load.__qualname__}"
+            if name not in held:
+                held[name] = load()
+            return texts.map(held[name])
+
+        rows = sentences.select("book", "sentence_id", F.posexplode(read("sentence")).alias("position", "t"))
+        return rows.select(
+            "book",
+            "sentence_id",
+            "position",
+            "t.*",
+            F.lower("t.surface").isin(*lexicon.STOP_WORDS).alias("is_stop"),
+            F.col("t.surface").rlike(f"^[{LETTERS}]+$").alias("is_alpha"),
+            F.lit(" ").alias("whitespace"),
+        )
+
+
+def plain_loader() -> Callable[[str], list[tuple[str, str, str]]]:
+    """A stand-in for a model: the built-in pattern, every token a noun."""
+    pattern = re.compile(TOKEN)
+    return lambda sentence: [(w, w.lower(), "NOUN") for w in pattern.findall(sentence)]
+
+
 def tokenize(docs: DataFrame, annotator: Annotator | None = None) -> DataFrame:
     """The tokens table of a table of documents."""
     return (annotator or RegexAnnotator()).tokens(sentences(docs))

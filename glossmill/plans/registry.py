@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from glossmill.plans import card_queries, gold_queries, source_queries, text_queries, vocabulary_queries
+from glossmill.plans import batch_queries, card_queries, gold_queries, source_queries, text_queries, vocabulary_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (text_queries, vocabulary_queries, card_queries, gold_queries, source_queries):
+for _part in (text_queries, vocabulary_queries, card_queries, gold_queries, source_queries, batch_queries):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)

@@ -106,12 +106,6 @@ def snk_4(spark, sf_dir):
     return tables.unfinished(events, tables.read_json_lines(spark, path, "event_id long"), "event_id")
 
 
-@query("snk_6", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '1' ELSE '0' END AS schema_version FROM events")
-def snk_6(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.lit("1")).alias("schema_version"))
-    return tables.with_schema_version(rows)
-
-
 @query("txt_13", f"WITH {oracle.TOKENS} SELECT sentence_id, position, surface FROM tok JOIN sent USING (sentence_id) WHERE is_alpha AND contains(sentence, surface)")
 def txt_13(spark, sf_dir):
     """Spans whose text is the word; every word stands in its sentence, so all rows are left."""
@@ -205,14 +199,6 @@ def flt_15(spark, sf_dir):
     return _cards(spark, sf_dir).where(bad).groupBy("lemma", F.lit("index below 1").alias("problem")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("bat_2", f"WITH {_CARDS} SELECT lemma, count(*) AS n FROM cards WHERE event_id % 11 <> 0 AND len(kept) > 0 GROUP BY lemma")
-def bat_2(spark, sf_dir):
-    """Results to cards through every check: valid fields, examples, the lemma in each of them."""
-    kept, _ = families.valid(_cards(spark, sf_dir))
-    strict = kept.where(F.size("examples") > 0).where(~qc.lemma_missing(F.col("lemma"), F.col("examples")))
-    return strict.groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
-
-
 _FRAMES = ("They were going to see", "It went on and on", "By the way I", "Let it go over there", "We look forward to", "Nothing here")
 _TARGETS = ("go", "go", "way", "over", "look", "go")
 
@@ -248,11 +234,6 @@ def rnk_15(spark, sf_dir):
     return constructions.guidance(constructions.detect(items, constructions.table(spark)), verbs)
 
 
-@query("rnk_13", "SELECT l_orderkey, l_linenumber, l_discount * 10 >= 0.3 AS confident FROM lineitem")
-def rnk_13(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10 >= 0.3).alias("confident"))
-
-
 @query(
     "bat_8",
     f"""WITH {oracle.TOKENS}, {_SENSES_SQL}, n AS (SELECT lemma, pos, count(*) AS k FROM se GROUP BY ALL)

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 from typing import Protocol
 
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from glossmill.schemas import KNOWN_WORDS
 
 
+#: Version that written cards and batches have.
+SCHEMA_VERSION = "1"
+
+
 class KnownWordsSource(Protocol):
     """Where known words are kept; other stores implement the same three calls."""
 
@@ -47,11 +52,16 @@ class CsvKnownWords:
         words.coalesce(1).write.mode("overwrite").csv(self.path, header=True)
 
 
-def known_words(spark: SparkSession, source: str) -> KnownWordsSource:
-    """The store of a source; addresses of sheets need a store of the caller's own."""
-    if source.startswith("gsheets://"):
-        raise NotImplementedError("no network store is built in; pass a KnownWordsSource")
-    return CsvKnownWords(spark, source)
+def known_words(spark: SparkSession, source: str, sheets=None) -> KnownWordsSource:
+    """The store of an address: ``gsheets://document/worksheet`` of the sheets given, else a CSV path."""
+    if not source.startswith("gsheets://"):
+        return CsvKnownWords(spark, source)
+    document, _, name = source.removeprefix("gsheets://").partition("/")
+    if not document or not name:
+        raise ValueError(f"no document and worksheet in {source}")
+    if sheets is None:
+        raise ValueError("no service of sheets is built in; pass one, or stores.Sheets")
+    return sheets.worksheet(name, document)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -59,6 +69,29 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """JSON lines in place of what is at ``path``, whole or not at all.
+
+    Lines are written beside their place and renamed into it, so ``rows`` may come from there.
+    """
+    spark = rows.sparkSession
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    draft, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    rows.write.json(draft)
+    there = fs.exists(of(path))
+    if there:
+        fs.rename(of(path), of(old))
+    fs.rename(of(draft), of(path))
+    if there:
+        fs.delete(of(old), True)
+
+
+def write_versioned(rows: DataFrame, path: str) -> None:
+    """JSON lines with the current schema_version, whatever version the rows had."""
+    write_json_lines(rows.withColumn("schema_version", F.lit(SCHEMA_VERSION)), path)
+
+
 def lemma_examples(lines: DataFrame, column: str = "value") -> DataFrame:
     """(lemma, ord, sentence_id, text) of a JSON map of examples, plain texts or objects."""
     plain = F.from_json(column, "map<string,array<string>>")
