@@ -3,10 +3,9 @@
 A store is a folder of parquet shards, lists of shards and manifests.  An arrival
 is appended as small shards that never change again.  Compaction takes the shards
 of one size tier (sizes within a factor ``ratio``) and merges them into files of
-about the target size: one scan per tier, packed so that each of its tasks reads
-whole shards up to the target, whose tasks write one file each.  However many
-merges a tier has they are one job, no plan names them one by one and no row is
-shuffled.
+about the target size: one scan per tier, dealt into as many tasks as the tier has
+times the target, each of which writes one file.  However many merges a tier has
+they are one job, no plan names them one by one and no row is shuffled.
 
 A manifest version names lists; a list names at most ``list_shards`` shards and
 never changes either, so a commit writes the lists it touches and no others.  The
@@ -17,8 +16,8 @@ the paths of all shards they read.
 
 Defined cases: columns of any name are kept as they are, nulls and repeated rows
 too; an empty table makes an empty version; shards of half the target or more
-are left alone; a tier of less than the target and fewer than ``fan_in`` shards
-waits for more arrivals.
+are left alone; a tier of fewer than ``fan_in`` shards, or of fewer than twice the
+files that would come of it, waits for more arrivals.
 """
 
 from __future__ import annotations
@@ -150,7 +149,8 @@ class ShardStore:
             if s.bytes < self.target_bytes // 2:
                 tiers.setdefault(int(math.log(max(s.bytes, 1), self.ratio)), []).append(s)
         ready = (t for _, t in sorted(tiers.items()))
-        return [t for t in ready if len(t) >= self.fan_in or (len(t) > 1 and sum(s.bytes for s in t) >= self.target_bytes)]
+        # At most half as many files come out as go in, so compaction ends.
+        return [t for t in ready if len(t) >= max(self.fan_in, 2 * -(-sum(s.bytes for s in t) // self.target_bytes))]
 
     def compact(self) -> int:
         """Merge until no tier has enough shards left; returns the latest version."""
@@ -166,16 +166,19 @@ class ShardStore:
     def _merge(self, tier: list[Shard], schema) -> list[tuple[str, int]]:
         """Files of about the target size with the rows of a tier, each by a task of one scan.
 
-        The scan packs whole shards into tasks of ``target_bytes``; the settings
-        for that are the session's own again afterwards.
+        The scan packs shards into pieces of an eighth of the target, and as many
+        neighbouring pieces as make the target are one task.  The settings for that
+        are the session's own again afterwards; where they cannot be changed the
+        pieces have another size and the files are as many.
         """
-        packed = {"maxPartitionBytes": self.target_bytes, "openCostInBytes": 0, "minPartitionNum": 1}
+        packed = {"maxPartitionBytes": max(self.target_bytes // 8, 1), "openCostInBytes": 0, "minPartitionNum": 1}
         names = {f"spark.sql.files.{k}": str(v) for k, v in packed.items()}
         before = {n: self.spark.conf.get(n, None) for n in names}
         for n, v in names.items():
             self.spark.conf.set(n, v)
         try:
-            return self._write(self.spark.read.schema(schema).parquet(*[s.path for s in tier]))
+            files = -(-sum(s.bytes for s in tier) // self.target_bytes)
+            return self._write(self.spark.read.schema(schema).parquet(*[s.path for s in tier]).coalesce(files))
         finally:
             for n, v in before.items():
                 self.spark.conf.set(n, v) if v is not None else self.spark.conf.unset(n)
