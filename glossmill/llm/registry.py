@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from glossmill.llm import (
     decontam,
     minhash,
@@ -28,7 +26,6 @@ QUERIES = {
     "op8_secrets": secret_scan.op8_secrets,
     "op9_fingerprints": minhash.op9_fingerprints,
     "op10_simhash": simhash.op10_simhash,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
