@@ -303,6 +303,19 @@ def test_spans_point_into_the_original():
     assert n == 2 and [text[a:b] for a, b in decontam.spans(text, starts, stops)] == ["one-TWO"]
 
 
+def test_pipeline_of_odd_rows_and_of_none(spark, odd, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"file://{tmp_path}/{name}.parquet")
+    for table in (odd, odd.where("false")):
+        table.write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
+        docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.materialize(stage(spark, docs, f"file://{tmp_path}"), name)
+            assert docs.columns == odd.columns
+        packed = corpus_pipeline.run(spark, f"file://{tmp_path}")
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
 # 4. repeated strings
 
 
