@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from glossmill.llm import (
+    bpe_tree,
     decontam,
+    filter_audit,
+    fim,
     minhash,
     packing,
     pii,
@@ -26,9 +29,14 @@ QUERIES = {
     "op8_secrets": secret_scan.op8_secrets,
     "op9_fingerprints": minhash.op9_fingerprints,
     "op10_simhash": simhash.op10_simhash,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_bpe_tree": bpe_tree.op13_bpe_tree,
 }
 
 ORACLES = {
     "op3_decontam": decontam.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
