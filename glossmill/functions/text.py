@@ -83,28 +83,6 @@ def target_in_text(target: Column, text: Column) -> Column:
     return F.when(~both, F.lit(False)).when(F.contains(trimmed, F.lit(" ")), phrase).otherwise(word_in_text(trimmed, text))
 
 
-def word_forms(lemma: Column) -> Column:
-    """Regular inflections of a lower-cased word, as a distinct array."""
-    w = F.lower(lemma)
-    last, stem = F.substring(w, -1, 1), F.expr  # noqa: F841
-    cut = F.regexp_replace(w, ".\\z", "")
-    consonant_y = w.rlike("[bcdfghjklmnpqrstvwxz]y\\z")
-    ends_e = w.rlike("e\\z")
-    hissing = w.rlike("(?:s|x|z|ch|sh)\\z")
-    doubled = w.rlike("\\A[a-z]*[bcdfghjklmnpqrstvwxz][aeiou][bdfgklmnprt]\\z")
-    none = F.expr("cast(array() as array<string>)")
-    return F.array_distinct(
-        F.concat(
-            F.array(w, F.concat(w, F.lit("s"))),
-            F.when(hissing, F.array(F.concat(w, F.lit("es")))).otherwise(none),
-            F.when(consonant_y, F.array(F.concat(cut, F.lit("ies")), F.concat(cut, F.lit("ied")), F.concat(w, F.lit("ing"))))
-            .when(ends_e, F.array(F.concat(w, F.lit("d")), F.concat(cut, F.lit("ing"))))
-            .otherwise(F.array(F.concat(w, F.lit("ed")), F.concat(w, F.lit("ing")))),
-            F.when(doubled, F.array(F.concat(w, last, F.lit("ed")), F.concat(w, last, F.lit("ing")))).otherwise(none),
-        )
-    )
-
-
 def strip_fences(text: Column) -> Column:
     """JSON text without the fences of a code block."""
     s = F.regexp_replace(text, "\\A\\s*```[A-Za-z]*\\s*\\n?", "")

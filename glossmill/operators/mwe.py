@@ -2,30 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import expand_contractions, normalize_for_matching, target_in_text
+from glossmill.operators.tokens import RegexAnnotator
 
 #: Most keys of headwords that go into a plan as literals.
 _FEW = 200
+#: Words that may stand between a verb and its particle.
+GAP = 5
+#: Parts of speech of an object between the two, and those that can end it.
+OBJECT = ("DET", "ADJ", "NUM", "NOUN", "PRON", "PROPN")
+OBJECT_END = ("NUM", "NOUN", "PRON", "PROPN")
 
 
-def phrasal_verbs(tokens: DataFrame, pairs: DataFrame, reach: int = 3) -> DataFrame:
-    """(book, sentence_id, phrasal, verb, particle): a verb with a particle up to ``reach`` places on.
+def particle_place(ahead: Column, particles: Column) -> Column:
+    """The place, from 1, of the first of ``particles`` that a verb reaches in the words ahead of it, else null.
 
-    Each phrase counts once a sentence.  The dictionary is small and fixed, so it
-    is broadcast; only its verbs and particles are gathered by sentence, and
-    places tell how far apart they are, so ``tokens`` must hold whole sentences.
+    A particle is reached next to the verb or behind a whole object: words that
+    can be in one, the last of which can end one.  The words ahead are read as
+    bits, so all places are tried at once: ``inner + 1`` carries through the run
+    of object words from the verb on, and the lowest bit left is the first hit.
     """
-    rows = tokens.select("book", "sentence_id", "position", "lemma")
-    verbs = rows.join(F.broadcast(pairs.withColumnRenamed("verb", "lemma")), "lemma")
-    verbs = verbs.select("book", "sentence_id", F.col("position").alias("__at"), F.col("lemma").alias("verb"), "particle")
-    particles = rows.join(F.broadcast(pairs.select(F.col("particle").alias("lemma")).distinct()), "lemma", "left_semi")
-    met = verbs.join(particles.withColumnRenamed("lemma", "particle"), ["book", "sentence_id", "particle"])
-    near = met.where((F.col("position") > F.col("__at")) & (F.col("position") <= F.col("__at") + reach))
+
+    def bits(test) -> Column:
+        marked = F.transform(ahead, lambda x, i: F.when(test(x), F.pow(F.lit(2), i)).otherwise(0.0))
+        return F.aggregate(marked, F.lit(0.0), lambda a, x: a + x).cast("long")
+
+    found = bits(lambda x: F.array_contains(particles, x["word"]))
+    inner = bits(lambda x: x["pos"].isin(*OBJECT))
+    ends = bits(lambda x: x["pos"].isin(*OBJECT_END))
+    reached = inner.bitwiseXOR(inner + 1)
+    hits = found.bitwiseAND(reached).bitwiseAND(F.shiftleft(ends, 1).bitwiseOR(F.lit(1)))
+    first = hits.bitwiseAND(-hits)
+    return F.when(hits != 0, F.bit_count(first - 1) + 1)
+
+
+def _phrases(rows: DataFrame, ahead: Column, keys: list[str]) -> DataFrame:
+    """(keys, __at, verb, particle): the particle that each verb of ``rows`` (with ``particles``) reaches first."""
+    placed = rows.withColumn("__ahead", ahead).withColumn("__place", particle_place(F.col("__ahead"), F.col("particles")))
+    return placed.where("__place is not null").select(
+        *keys, F.col("position").alias("__at"), F.col("lemma").alias("verb"), F.element_at("__ahead", F.col("__place"))["word"].alias("particle")
+    )
+
+
+def _dictionary(pairs: DataFrame) -> DataFrame:
+    """(lemma, particles): the particles of each verb of a dictionary in one row."""
+    return pairs.groupBy(F.col("verb").alias("lemma")).agg(F.collect_set("particle").alias("particles"))
+
+
+def _named(found: DataFrame) -> DataFrame:
     phrase = F.concat_ws(" ", "verb", "particle").alias("phrasal")
-    return near.select("book", "sentence_id", phrase, "verb", "particle").dropDuplicates(["book", "sentence_id", "phrasal"])
+    return found.select("book", "sentence_id", phrase, "verb", "particle").dropDuplicates(["book", "sentence_id", "phrasal"])
+
+
+def phrasal_verbs(sentences: DataFrame, pairs: DataFrame, gap: int = GAP, annotator: RegexAnnotator | None = None) -> DataFrame:
+    """(book, sentence_id, phrasal, verb, particle): verbs of a dictionary with their particles, objects between or not.
+
+    Verbs are found by lemma in every form, and each takes the first particle of
+    its own that it reaches ("gave the old lamp up"); each phrase counts once a
+    sentence.  Every word looks ahead in its own sentence's array, so nothing is
+    shuffled but the phrases found.  ``pairs`` has verb and particle.
+    """
+    own = annotator or RegexAnnotator()
+    rows = own.rows(sentences).where("pos not in ('PROPN', 'DET')").join(_dictionary(pairs), "lemma")
+    return _named(_phrases(rows, own.ahead(F.col("words"), F.col("position"), gap + 1), ["book", "sentence_id"]))
+
+
+def phrasal_verbs_of_tokens(tokens: DataFrame, pairs: DataFrame, gap: int = GAP, verbs_only: bool = True) -> DataFrame:
+    """``phrasal_verbs`` of a stored tokens table, with the lemmas and tags it has, from a model or the built-in rules.
+
+    The words ahead come from a window over the sentence, which ``tokens`` must
+    hold whole.  A model's tags say what is a verb; ``verbs_only`` asks for that.
+    """
+    window = Window.partitionBy("book", "sentence_id").orderBy("position").rowsBetween(1, gap + 1)
+    ahead = F.collect_list(F.struct(F.lower("surface").alias("word"), "pos")).over(window)
+    rows = tokens.select("book", "sentence_id", "position", "lemma", "pos", ahead.alias("__next")).join(_dictionary(pairs), "lemma")
+    if verbs_only:
+        rows = rows.where("pos = 'VERB'")
+    return _named(_phrases(rows, F.col("__next"), ["book", "sentence_id"]))
+
+
+def phrases_of_items(items: DataFrame, pairs: DataFrame, item: str = "item", gap: int = GAP, annotator: RegexAnnotator | None = None) -> DataFrame:
+    """(item, verb, particle): the first phrasal verb of the dictionary that an item's word is the verb of.
+
+    ``items`` has item, lemma and sentence; the dictionary is searched in the
+    item's own sentence, whatever form the word has there.
+    """
+    own = annotator or RegexAnnotator()
+    texts = items.select(F.lit("").alias("book"), F.col(item).alias("sentence_id"), F.col("lemma").alias("__target"), "sentence")
+    rows = own.rows(texts, "__target").where("lemma = __target and pos not in ('PROPN', 'DET')").join(_dictionary(pairs), "lemma")
+    found = _phrases(rows, own.ahead(F.col("words"), F.col("position"), gap + 1), ["sentence_id"])
+    first = found.groupBy(F.col("sentence_id").alias(item)).agg(F.min_by(F.struct("verb", "particle"), "__at").alias("p"))
+    return first.select(item, "p.verb", "p.particle")
 
 
 def phrase_stats(phrases: DataFrame, kind: str = "phrasal_verb") -> DataFrame:

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from glossmill import lexicon
 from glossmill.functions.scores import card_pos
-from glossmill.functions.text import word_forms, word_in_text
+from glossmill.functions.text import word_in_text
+from glossmill.inflection import irregular_forms, word_forms
 
 #: Least rates of a regression, and the most of serious findings.
 SCHEMA_RATE, EXAMPLE_RATE, POS_RATE, SERIOUS_RATE = 1.0, 0.98, 0.98, 0.0
 
 
 def lemma_missing(lemma: Column, examples: Column) -> Column:
-    """Whether an example has no form of the lemma; forms of words spelt alike do not count."""
-    forms = word_forms(lemma)
+    """Whether an example has no form of the lemma, regular or not; forms of words spelt alike do not count."""
+    forms = F.array_union(word_forms(lemma), irregular_forms(lemma))
     for word, other in lexicon.HOMONYMS.items():
         forms = F.when(F.lower(lemma) == word, F.array_except(forms, F.array(*map(F.lit, other)))).otherwise(forms)
     return F.exists(examples, lambda x: ~F.exists(forms, lambda f: word_in_text(f, x)))

@@ -53,6 +53,57 @@ def choose(pairs: DataFrame, item: str, weight: float = 0.0) -> DataFrame:
     )
 
 
+def choose_guided(
+    pairs: DataFrame, guidance: DataFrame, item: str, weight: float = 0.0, applied: tuple[str, ...] = ("SKIP",)
+) -> DataFrame:
+    """(item, synset_id, sense_label, confidence, construction_tag): the best sense of each item under its construction.
+
+    ``pairs`` has item, synset_id, supersense, rank, query and gloss, and boost if
+    ``weight`` is not 0; ``guidance`` is that of ``constructions.guidance``, a row
+    an item at most.  A construction is always told; what it does to the choice
+    is limited to the policies ``applied``, by default SKIP alone:
+
+    * SKIP: no candidate stays; the label is ``construction``.
+    * CONSTRAIN: candidates of forbidden categories are left out; of equal scores
+      a preferred sense or category wins.
+    * OVERRIDE: the first of its senses that is a candidate wins whatever its
+      score, and if none is, they are preferred as by CONSTRAIN.
+
+    Without a candidate or a positive score the sense is null and the label
+    ``unknown``.  All is decided within one aggregation by item; items without
+    guidance are chosen as ``choose`` does.
+    """
+    score = cosine(F.col("query"), F.col("gloss"))
+    if weight:
+        score = combined(score, F.col("boost"), weight)
+    rules = guidance.select(item, "construction", "policy", "forbid_supersenses", "prefer_synsets", "prefer_supersenses")
+    rows = pairs.join(rules, item, "left").withColumn("__policy", F.when(F.col("policy").isin(*applied), F.col("policy")))
+
+    def among(value: str, listed: str):
+        return F.coalesce(F.array_contains(listed, F.col(value)), F.lit(False))
+
+    guided = F.coalesce(F.col("__policy").isin("CONSTRAIN", "OVERRIDE"), F.lit(False))
+    skipped = F.coalesce(F.col("__policy") == "SKIP", F.lit(False))
+    forbidden = F.coalesce(F.col("__policy") == "CONSTRAIN", F.lit(False)) & among("supersense", "forbid_supersenses")
+    at = F.array_position("prefer_synsets", F.col("synset_id"))
+    forced = F.when((F.col("__policy") == "OVERRIDE") & (at > 0), F.size("prefer_synsets") - at + 1).otherwise(F.lit(0))
+    liked = guided & (among("synset_id", "prefer_synsets") | among("supersense", "prefer_supersenses"))
+    order = F.struct(
+        forced.alias("forced"), score.alias("score"), liked.cast("int").alias("liked"), (-F.col("rank")).alias("rank"), "synset_id", "supersense"
+    )
+    best = rows.groupBy(item).agg(
+        F.max(F.when(~skipped & ~forbidden, order)).alias("best"), F.first("construction").alias("construction_tag"), F.max(skipped).alias("skipped")
+    )
+    good = F.coalesce((F.col("best.score") > 0) | (F.col("best.forced") > 0), F.lit(False))
+    return best.select(
+        item,
+        F.when(good, F.col("best.synset_id")).alias("synset_id"),
+        F.when(F.col("skipped"), "construction").when(good, F.col("best.supersense")).otherwise("unknown").alias("sense_label"),
+        F.when(good, F.greatest("best.score", F.lit(0.0))).otherwise(F.lit(0.0)).alias("confidence"),
+        "construction_tag",
+    )
+
+
 def smart_candidates(scored: DataFrame, item: str, most: int = 15) -> DataFrame:
     """Senses worth showing: the first 60 % of places by score, then new categories, then boosted ones.
 

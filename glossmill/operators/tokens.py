@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill import lexicon
+from glossmill import inflection, lexicon
 from glossmill.functions.text import LETTERS
 from glossmill.schemas import require_columns
 
@@ -48,8 +48,11 @@ def sentences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     )
 
 
-def tag(surface: Column, position: Column) -> Column:
-    """A part of speech by closed classes and endings; a fallback, not a parser."""
+def tag(surface: Column, position: Column, irregular: Column) -> Column:
+    """A part of speech by closed classes, irregular forms and endings; a fallback, not a parser.
+
+    ``irregular`` is the part of speech of an irregular form, else null.
+    """
     lower = F.lower(surface)
     return (
         F.when(surface.rlike("^[0-9]+$"), "NUM")
@@ -58,6 +61,7 @@ def tag(surface: Column, position: Column) -> Column:
         .when(lower.isin(*JOINERS), "CCONJ")
         .when(lower.isin(*lexicon.IGNORED_FUNCTION_WORDS, *lexicon.KEPT_FUNCTION_WORDS), "ADP")
         .when((position > 0) & surface.rlike("^[A-Z]"), "PROPN")
+        .when(irregular.isNotNull(), irregular)
         .when(lower.rlike("ly$"), "ADV")
         .when(lower.rlike("(?:ing|ed)$"), "VERB")
         .when(lower.rlike("(?:ble|ous|ful|ive|al)$"), "ADJ")
@@ -65,23 +69,54 @@ def tag(surface: Column, position: Column) -> Column:
     )
 
 
+def lemma_of(lower: Column, pos: Column, is_stop: Column, irregular: Column) -> Column:
+    """The lemma of a tagged word: names as they are, then irregular forms, closed classes as they are, then endings."""
+    closed = is_stop | ~pos.isin(*lexicon.CONTENT_POS)
+    return F.when(pos == "PROPN", lower).otherwise(F.coalesce(irregular, F.when(closed, lower).otherwise(inflection.regular_lemma(lower))))
+
+
 class RegexAnnotator:
-    """Tokens by one pattern, within the engine's own functions."""
+    """Tokens by one pattern, lemmas by rules of endings and a dimension of irregular forms.
+
+    ``irregulars`` (form, lemma, pos) stands in for the built-in dimension; a
+    form must be there once.  The built-in one has some hundred rows, so the
+    optimizer sends it to all tasks and tokens are not shuffled.
+    """
+
+    def __init__(self, irregulars: DataFrame | None = None):
+        self.irregulars = irregulars
 
     def tokens(self, sentences: DataFrame) -> DataFrame:
+        return self.rows(sentences).select(
+            "book", "sentence_id", "position", "surface", "lemma", "pos", "is_stop", "is_alpha", F.lit(" ").alias("whitespace")
+        )
+
+    def rows(self, sentences: DataFrame, *more: str) -> DataFrame:
+        """Tokens with all words of their sentence (``words``), as an array that is not copied unless it is used."""
+        known = self.irregulars if self.irregulars is not None else inflection.irregular(sentences.sparkSession)
+        fixed = known.select(F.col("form").alias("__w"), F.col("lemma").alias("__lemma"), F.col("pos").alias("__pos"))
         words = F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0))
-        rows = sentences.select("book", "sentence_id", F.posexplode(words).alias("position", "surface"))
-        return rows.select(
-            "book",
-            "sentence_id",
-            "position",
-            "surface",
-            F.lower("surface").alias("lemma"),
-            tag(F.col("surface"), F.col("position")).alias("pos"),
-            F.lower("surface").isin(*lexicon.STOP_WORDS).alias("is_stop"),
-            F.col("surface").rlike(f"^[{LETTERS}]+$").alias("is_alpha"),
-            F.lit(" ").alias("whitespace"),
+        split = sentences.select("book", "sentence_id", *more, words.alias("words"))
+        rows = split.select("book", "sentence_id", *more, "words", F.posexplode("words").alias("position", "surface"))
+        tagged = (
+            rows.withColumn("__w", F.lower("surface"))
+            .join(fixed, "__w", "left")
+            .withColumn("pos", tag(F.col("surface"), F.col("position"), F.col("__pos")))
+            .withColumn("is_stop", F.col("__w").isin(*lexicon.STOP_WORDS))
+            .withColumn("is_alpha", F.col("surface").rlike(f"^[{LETTERS}]+$"))
         )
+        lemma = lemma_of(F.col("__w"), F.col("pos"), F.col("is_stop"), F.col("__lemma"))
+        return tagged.withColumn("lemma", lemma).drop("__w", "__lemma", "__pos")
+
+    def ahead(self, words: Column, position: Column, n: int) -> Column:
+        """The next ``n`` words behind a position as (word, pos)."""
+        verbs = [form for form, lemma, pos in inflection.irregular_rows() if pos == "VERB"]
+
+        def word(w: Column, i: Column) -> Column:
+            irregular = F.when(F.lower(w).isin(*verbs), "VERB")
+            return F.struct(F.lower(w).alias("word"), tag(w, i + 1, irregular).alias("pos"))
+
+        return F.transform(F.slice(words, position + 2, n), word)
 
 
 class LoadedAnnotator:

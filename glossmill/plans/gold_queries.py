@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions import scores
-from glossmill.operators import gold, report, senses
+from glossmill.operators import constructions, gold, report, senses
+from glossmill.plans import oracle
 from glossmill.plans.base import Registry, table
+from glossmill.plans.source_queries import framed, guidance_sql, guided
 from glossmill.sources import tables
 
 query = Registry()
@@ -60,17 +62,36 @@ def rnk_11(spark, sf_dir):
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
+#: The senses of rnk_10: label 3 is a sense that a construction names, and labels have categories in turn.
+_GROUPS = ("noun.act", "noun.food", "verb.motion")
+_SENSE = "CASE label WHEN 3 THEN 'over.r.01' WHEN 4 THEN 'surrender.v.01' ELSE 's' || label END"
+
+
 @query(
     "rnk_10",
-    f"WITH {_CENTROIDS}, b AS (SELECT vec_id, label, least(greatest(sim + 0.08 * (label % 3) * 0.2, 0.0), 1.0) AS score FROM s) SELECT vec_id, 's' || arg_max(label, (score, -label)) AS synset_id, round(max(score), 6) AS confidence FROM b GROUP BY vec_id HAVING max(score) > 0",
+    f"""WITH {_CENTROIDS}, {guidance_sql('embeddings', 'vec_id')},
+    b AS (SELECT vec_id, {_SENSE} AS synset_id, list_extract([{oracle.listed(_GROUPS)}], CAST(label % 3 AS INTEGER) + 1) AS supersense, label,
+      least(greatest(sim + 0.08 * (label % 3) * 0.2, 0.0), 1.0) AS score FROM s),
+    x AS (SELECT b.*, construction, coalesce(policy, '') AS policy,
+      CASE WHEN policy = 'OVERRIDE' AND list_contains(prefer_synsets, synset_id) THEN len(prefer_synsets) - list_position(prefer_synsets, synset_id) + 1 ELSE 0 END AS forced,
+      coalesce(policy IN ('CONSTRAIN', 'OVERRIDE') AND (list_contains(prefer_synsets, synset_id) OR list_contains(prefer_supersenses, supersense)), false) AS liked,
+      coalesce(policy = 'SKIP' OR (policy = 'CONSTRAIN' AND list_contains(forbid_supersenses, supersense)), false) AS barred FROM b LEFT JOIN g ON item = vec_id),
+    y AS (SELECT vec_id, any_value(construction) AS construction_tag, any_value(policy) AS policy,
+      arg_max([synset_id, supersense], (forced, score, CAST(liked AS INTEGER), -label)) FILTER (WHERE NOT barred) AS best,
+      max((forced, score)) FILTER (WHERE NOT barred) AS most FROM x GROUP BY vec_id),
+    z AS (SELECT *, coalesce(most[1] > 0 OR most[2] > 0, false) AS good FROM y)
+    SELECT vec_id, CASE WHEN good THEN best[1] END AS synset_id, CASE WHEN policy = 'SKIP' THEN 'construction' WHEN good THEN best[2] ELSE 'unknown' END AS sense_label,
+      round(CASE WHEN good THEN most[2] ELSE 0.0 END, 6) AS confidence, construction_tag FROM z""",
 )
 def rnk_10(spark, sf_dir):
+    """Senses of vectors whose framed sentences hold constructions, all policies applied."""
     vectors = table(spark, sf_dir, "embeddings")
-    glosses = _centroids(vectors).select(
-        F.concat(F.lit("s"), F.col("label").cast("string")).alias("synset_id"), F.col("label").alias("rank"), "gloss", (F.col("label") % 3 * 0.2).alias("boost")
-    )
+    label = F.col("label")
+    group = F.element_at(F.array(*map(F.lit, _GROUPS)), (label % 3 + 1).cast("int"))
+    glosses = _centroids(vectors).select(F.expr(_SENSE).alias("synset_id"), group.alias("supersense"), label.alias("rank"), "gloss", (label % 3 * 0.2).alias("boost"))
     pairs = vectors.select("vec_id", F.col("embedding").alias("query")).crossJoin(F.broadcast(glosses))
-    found = senses.choose(pairs, "vec_id", 0.08).where("synset_id is not null")
+    rules = guided(framed(vectors, "vec_id")).withColumnRenamed("item", "vec_id")
+    found = senses.choose_guided(pairs, rules, "vec_id", 0.08, constructions.POLICIES)
     return found.withColumn("confidence", F.round("confidence", 6))
 
 

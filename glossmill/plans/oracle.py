@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossmill import lexicon
+from glossmill import inflection, lexicon
 from glossmill.functions.text import LETTERS
 from glossmill.operators.tokens import DETERMINERS, JOINERS
 
@@ -12,6 +12,24 @@ def listed(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def regular_lemma(column: str) -> str:
+    """The lemma of a lower-cased form by its ending, with the rules of the engine."""
+    branches = []
+    for last, rules in inflection.LEMMA_RULES.items():
+        tests = "".join(
+            f" WHEN regexp_matches({column}, {_quoted(pattern)}) THEN " + (f"substr({column}, 1, length({column}) - {cut}) || {_quoted(put)}" if cut or put else column)
+            for pattern, cut, put in rules
+        )
+        branches.append(f" WHEN {column} LIKE '%{last}' THEN CASE{tests} END")
+    return f"CASE WHEN NOT regexp_matches({column}, '^[a-z]+$') THEN {column}{''.join(branches)} ELSE {column} END"
+
+
+IRREGULAR = "irr(form, irr_lemma, irr_pos) AS (VALUES " + ", ".join(f"('{f}', '{w}', '{p}')" for f, w, p in inflection.irregular_rows()) + ")"
+
 SENTENCES = r"""
 sent AS (
   SELECT CAST(doc_id AS VARCHAR) AS book, doc_id * 10000000 + unnest(range(len(ss))) AS sentence_id, unnest(ss) AS sentence
@@ -24,22 +42,29 @@ TOKENS = (
     + rf""", raw AS (
   SELECT book, sentence_id, CAST(unnest(range(len(ws))) AS INTEGER) AS position, unnest(ws) AS surface
   FROM (SELECT book, sentence_id, regexp_extract_all(sentence, '[{LETTERS}]+(?:''[a-z]+)?|[0-9]+|[^ \t\n\r\f\x0B0-9{LETTERS}]') AS ws FROM sent)),
-tok AS (
-  SELECT book, sentence_id, position, surface, lower(surface) AS lemma,
+@irregular@,
+tagged AS (
+  SELECT book, sentence_id, position, surface, lower(surface) AS w, irr_lemma,
     CASE WHEN regexp_matches(surface, '^[0-9]+$') THEN 'NUM'
          WHEN NOT regexp_matches(surface, '^[{LETTERS}]') THEN 'PUNCT'
          WHEN lower(surface) IN ({listed(DETERMINERS)}) THEN 'DET'
          WHEN lower(surface) IN ({listed(JOINERS)}) THEN 'CCONJ'
          WHEN lower(surface) IN ({listed([*lexicon.IGNORED_FUNCTION_WORDS, *lexicon.KEPT_FUNCTION_WORDS])}) THEN 'ADP'
          WHEN position > 0 AND regexp_matches(surface, '^[A-Z]') THEN 'PROPN'
+         WHEN irr_pos IS NOT NULL THEN irr_pos
          WHEN regexp_matches(lower(surface), 'ly$') THEN 'ADV'
          WHEN regexp_matches(lower(surface), '(?:ing|ed)$') THEN 'VERB'
          WHEN regexp_matches(lower(surface), '(?:ble|ous|ful|ive|al)$') THEN 'ADJ'
          ELSE 'NOUN' END AS pos,
     lower(surface) IN ({listed(lexicon.STOP_WORDS)}) AS is_stop,
     regexp_matches(surface, '^[{LETTERS}]+$') AS is_alpha, ' ' AS whitespace
-  FROM raw)
-"""
+  FROM raw LEFT JOIN irr ON lower(surface) = form),
+tok AS (
+  SELECT book, sentence_id, position, surface,
+    CASE WHEN pos = 'PROPN' THEN w WHEN irr_lemma IS NOT NULL THEN irr_lemma
+         WHEN is_stop OR pos NOT IN ('NOUN', 'VERB', 'ADJ', 'ADV') THEN w ELSE @regular@ END AS lemma, pos, is_stop, is_alpha, whitespace
+  FROM tagged)
+""".replace("@irregular@", IRREGULAR).replace("@regular@", regular_lemma("w"))
 )
 
 FREQUENCY = (

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossmill import lexicon
 from glossmill.functions import scores
-from glossmill.operators import constructions, examples, families, gold, qc, tokens
+from glossmill.operators import constructions, examples, families, gold, mwe, qc, tokens
 from glossmill.plans import oracle
 from glossmill.plans.base import Registry, table
 from glossmill.plans.card_queries import _CARDS, _cards, _results
-from glossmill.plans.text_queries import _chosen
+from glossmill.plans.text_queries import _chosen, walk_sql
 from glossmill.sources import books, tables
 from glossmill.sources.shared import shared_path
 
@@ -199,39 +200,89 @@ def flt_15(spark, sf_dir):
     return _cards(spark, sf_dir).where(bad).groupBy("lemma", F.lit("index below 1").alias("problem")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_FRAMES = ("They were going to see", "It went on and on", "By the way I", "Let it go over there", "We look forward to", "Nothing here")
-_TARGETS = ("go", "go", "way", "over", "look", "go")
+#: (word, sentence) of the items, in turn: patterns of each policy, phrasal verbs with and without an object, and none.
+FRAMES = (
+    ("go", "They were going to see"),
+    ("go", "It went on and on"),
+    ("way", "By the way I"),
+    ("over", "Let it go over there"),
+    ("look", "We look forward to"),
+    ("go", "Nothing here"),
+    ("give", "She gave the old lamp up to"),
+    ("look", "He looked it up in a"),
+    ("take", "The plane took off at"),
+    ("give", "They gave him of the"),
+    ("run", "She was running her new car into"),
+    ("set", "That sets up a"),
+)
+#: The built-in constructions, and one with all constraints.
+PATTERNS = (
+    *constructions.CONSTRUCTIONS,
+    ("LAMP", "give", "CONSTRAIN", r"\bhim\b", {"forbid_supersenses": ["noun.act"], "prefer_synsets": ["s1"], "prefer_supersenses": ["noun.food"]}),
+)
 
 
-def _guided(spark, sf_dir):
-    def chosen(names):
-        return F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+def framed(rows, item: str):
+    """(item, lemma, sentence) of a table: a frame each, in turn, with the item's number."""
 
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("item"), chosen(_TARGETS).alias("lemma"), F.concat_ws(" ", chosen(_FRAMES), "event_type").alias("sentence"))
+    def chosen(at: int):
+        return F.element_at(F.array(*(F.lit(f[at]) for f in FRAMES)), (F.col(item) % len(FRAMES) + 1).cast("int"))
 
+    return rows.select(F.col(item).alias("item"), chosen(0).alias("lemma"), F.concat_ws(" ", chosen(1), F.col(item).cast("string")).alias("sentence"))
 
-_RULES = ", ".join(f"('{n}', '{w}', '{p}', '(?i){r.replace(chr(39), chr(39) * 2)}', {i})" for i, (n, w, p, r) in enumerate(constructions.CONSTRUCTIONS))
-_MATCHES = f"""
-i AS (SELECT event_id AS item, {_chosen('event_id', _TARGETS)} AS lemma, {_chosen('event_id', _FRAMES)} || ' ' || event_type AS sentence FROM events),
-c(construction, lemma, policy, pattern, ord) AS (VALUES {_RULES}),
-m AS (SELECT item, construction, policy, regexp_extract(sentence, pattern) AS hit, sentence, ord FROM i JOIN c USING (lemma) WHERE regexp_matches(sentence, pattern)),
-p AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY length(hit) DESC, ord) AS INTEGER) AS place, CAST(strpos(sentence, hit) - 1 AS INTEGER) AS start FROM m)
-"""
 
+def guided(items):
+    """The guidance of framed items: patterns first, then phrasal verbs by dictionary."""
+    spark = items.sparkSession
+    pairs = lexicon.phrasal_pairs(spark)
+    return constructions.guidance(constructions.detect(items, constructions.table(spark, PATTERNS)), mwe.phrases_of_items(items, pairs), pairs)
 
-@query("rnk_14", f"WITH {_MATCHES} SELECT item, construction, policy, start, CAST(start + length(hit) AS INTEGER) AS stop, place FROM p")
-def rnk_14(spark, sf_dir):
-    return constructions.detect(_guided(spark, sf_dir), constructions.table(spark))
 
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
 
-@query(
-    "rnk_15",
-    f"WITH {_MATCHES} SELECT item, construction, policy, CASE WHEN construction = 'OVER_THERE' THEN 'over.r.01' END AS override FROM p WHERE place = 1 UNION ALL SELECT item, 'PHRASAL_GO_ON', 'CONSTRAIN', NULL FROM i WHERE item NOT IN (SELECT item FROM p)",
+
+_RULES = ", ".join(
+    f"('{n}', '{w}', '{p}', '(?i){r.replace(chr(39), chr(39) * 2)}', {i}, {', '.join(_listed(c.get(k, [])) for k in constructions.CONSTRAINTS)})"
+    for i, (n, w, p, r, c) in enumerate(PATTERNS)
 )
+_HINTS = ", ".join(f"('{v}', '{p}', {_listed(next(iter(m.values())))})" for v, ps in lexicon.PHRASAL_VERBS.items() for p, m in ps.items())
+
+
+def guidance_sql(source: str, item: str) -> str:
+    """SQL of the framed items of a table (i), their matches (rp) and guidance (g), and all that they need."""
+    words, texts = (f"list_extract([{oracle.listed([f[at] for f in FRAMES])}], CAST({item} % {len(FRAMES)} AS INTEGER) + 1)" for at in (0, 1))
+    constraints = ", ".join(constructions.CONSTRAINTS)
+    return (
+        f"""i AS (SELECT {item} AS item, {words} AS lemma, {texts} || ' ' || {item} AS sentence FROM {source}),
+    rc(construction, lemma, policy, pattern, ord, {constraints}) AS (VALUES {_RULES}),
+    rm AS (SELECT item, construction, policy, regexp_extract(sentence, pattern) AS hit, sentence, ord, {constraints} FROM i JOIN rc USING (lemma) WHERE regexp_matches(sentence, pattern)),
+    rp AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY length(hit) DESC, ord) AS INTEGER) AS place, CAST(strpos(sentence, hit) - 1 AS INTEGER) AS start FROM rm),
+    sent AS (SELECT '' AS book, item AS sentence_id, sentence FROM i)"""
+        + oracle.TOKENS[len(oracle.SENTENCES) :]
+        + f""", pv(verb, particle, prefer) AS (VALUES {_HINTS}), {walk_sql()},
+    f AS (SELECT sentence_id AS item, verb, particle FROM met JOIN i ON item = sentence_id AND verb = i.lemma WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY sentence_id ORDER BY verb_at) = 1),
+    g AS (SELECT item, construction, policy, {constraints} FROM rp WHERE place = 1
+      UNION ALL SELECT item, 'PHRASAL_' || upper(verb) || '_' || upper(particle), 'CONSTRAIN', [], prefer, [] FROM f JOIN pv USING (verb, particle) WHERE item NOT IN (SELECT item FROM rp))"""
+    )
+
+
+_SHOWN = ", ".join(f"array_to_string({c}, ',') AS {c}" for c in constructions.CONSTRAINTS)
+
+
+def _shown(rows):
+    return rows.withColumns({c: F.array_join(c, ",") for c in constructions.CONSTRAINTS})
+
+
+@query("rnk_14", f"WITH {guidance_sql('events', 'event_id')} SELECT item, construction, policy, start, CAST(start + length(hit) AS INTEGER) AS stop, place, {_SHOWN} FROM rp")
+def rnk_14(spark, sf_dir):
+    items = framed(table(spark, sf_dir, "events"), "event_id")
+    return _shown(constructions.detect(items, constructions.table(spark, PATTERNS)))
+
+
+@query("rnk_15", f"WITH {guidance_sql('events', 'event_id')} SELECT item, construction, policy, {_SHOWN} FROM g")
 def rnk_15(spark, sf_dir):
-    items = _guided(spark, sf_dir)
-    verbs = items.select("item", F.lit("go").alias("verb"), F.lit("on").alias("particle"))
-    return constructions.guidance(constructions.detect(items, constructions.table(spark)), verbs)
+    return _shown(guided(framed(table(spark, sf_dir, "events"), "event_id")))
 
 
 @query(

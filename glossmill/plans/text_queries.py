@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from glossmill import lexicon
+from glossmill import inflection, lexicon
 from glossmill.functions import scores, text
 from glossmill.operators import mwe, tokens
 from glossmill.plans import oracle
@@ -99,26 +101,35 @@ def txt_10(spark, sf_dir):
 
 
 #: The dictionary's pairs, and some that the invented prose has more often.
-PAIRS = lexicon.PHRASAL_VERBS | {"was": "in on at", "are": "in of by", "thing": "on of", "is": "in of at on"}
+PAIRS = lexicon.PHRASAL_VERBS | {"be": {"in": {}, "on": {}, "at": {}, "of": {}, "by": {}}, "thing": {"on": {}, "of": {}}}
 
 
 def pair_rows() -> str:
-    return ", ".join(f"('{v}', '{p}')" for v, ps in PAIRS.items() for p in ps.split())
+    return ", ".join(f"('{v}', '{p}')" for v, ps in PAIRS.items() for p in ps)
+
+
+def walk_sql() -> str:
+    """SQL of the particle that each verb of ``pv`` reaches in ``tok``: rows (book, sentence_id, verb_at, verb, particle, n), n = 1 the first."""
+    blocked = f"CAST(pos NOT IN ({oracle.listed(mwe.OBJECT)}) AS INTEGER)"
+    return f"""walk AS (SELECT book, sentence_id, position, lower(surface) AS word, lemma, pos, lag(pos) OVER w AS pos_before, {blocked} AS blocks, sum({blocked}) OVER w AS blocked
+  FROM tok WINDOW w AS (PARTITION BY sentence_id ORDER BY position)),
+met AS (SELECT a.book, a.sentence_id, a.position AS verb_at, verb, particle, row_number() OVER (PARTITION BY a.sentence_id, a.position ORDER BY b.position) AS n
+  FROM walk a JOIN pv ON a.lemma = verb AND a.pos NOT IN ('PROPN', 'DET')
+  JOIN walk b ON b.sentence_id = a.sentence_id AND b.position BETWEEN a.position + 1 AND a.position + {mwe.GAP + 1} AND b.word = particle
+  WHERE b.position = a.position + 1 OR (b.blocked - b.blocks = a.blocked AND b.pos_before IN ({oracle.listed(mwe.OBJECT_END)})))"""
 
 
 PHRASES = (
     oracle.TOKENS
-    + f""", pv(verb, particle) AS (VALUES {pair_rows()}),
-phr AS (SELECT DISTINCT a.book, a.sentence_id, verb || ' ' || particle AS phrasal, verb, particle
-  FROM tok a JOIN pv ON a.lemma = verb
-  JOIN tok b ON b.sentence_id = a.sentence_id AND b.position BETWEEN a.position + 1 AND a.position + 3 AND b.lemma = particle)
+    + f""", pv(verb, particle) AS (VALUES {pair_rows()}), {walk_sql()},
+phr AS (SELECT DISTINCT book, sentence_id, verb || ' ' || particle AS phrasal, verb, particle FROM met WHERE n = 1)
 """
 )
 
 
 def phrases(spark, sf_dir):
     pairs = lexicon.phrasal_pairs(spark, PAIRS)
-    return mwe.phrasal_verbs(tokens.tokenize(table(spark, sf_dir, "documents")), pairs)
+    return mwe.phrasal_verbs(tokens.sentences(table(spark, sf_dir, "documents")), pairs)
 
 
 @query("txt_12", f"WITH {PHRASES} SELECT * FROM phr")
@@ -188,20 +199,51 @@ def fn_4(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.target_in_text(F.lit("of the"), F.col("text")).alias("found"))
 
 
+def _forms_sql(w: str) -> str:
+    """SQL of the regular forms of a word, with the rules of the engine."""
+
+    def put(stem: str, endings) -> str:
+        return "[" + ", ".join(f"{stem} || '{e}'" for e in endings) + "]"
+
+    parts = [put(w, inflection.FORM_RULES[0][2])]
+    for pattern, cut, endings in inflection.FORM_RULES[1:]:
+        parts.append(f"CASE WHEN regexp_matches({w}, '{pattern}') THEN {put(f'substr({w}, 1, length({w}) - {cut})', endings)} ELSE [] END")
+    parts.append(f"CASE WHEN regexp_matches({w}, '{inflection.DOUBLING}') THEN {put(f'{w} || {w}[-1]', inflection.DOUBLED)} ELSE [] END")
+    return reduce(lambda a, b: f"list_concat({a}, {b})", parts)
+
+
+_WORDS_SEEN = "SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS w FROM part UNION ALL SELECT irr_lemma FROM irr)"
+
+
 @query(
     "fn_5",
-    """WITH w AS (SELECT DISTINCT lower(regexp_extract(p_name, '[A-Za-z]+')) AS w FROM part),
-    f AS (SELECT w, list_concat([w, w || 's'],
-      CASE WHEN regexp_matches(w, '(?:s|x|z|ch|sh)$') THEN [w || 'es'] ELSE [] END,
-      CASE WHEN regexp_matches(w, '[bcdfghjklmnpqrstvwxz]y$') THEN [w[:-2] || 'ies', w[:-2] || 'ied', w || 'ing']
-           WHEN w LIKE '%e' THEN [w || 'd', w[:-2] || 'ing'] ELSE [w || 'ed', w || 'ing'] END,
-      CASE WHEN regexp_matches(w, '^[a-z]*[bcdfghjklmnpqrstvwxz][aeiou][bdfgklmnprt]$') THEN [w || w[-1] || 'ed', w || w[-1] || 'ing'] ELSE [] END) AS forms FROM w WHERE w <> '')
-    SELECT w AS lemma, array_to_string(list_sort(list_distinct(forms)), ',') AS forms FROM f""",
+    f"""WITH {oracle.IRREGULAR}, w AS ({_WORDS_SEEN}), i AS (SELECT irr_lemma AS w, list(DISTINCT form) AS own FROM irr WHERE form <> irr_lemma GROUP BY irr_lemma)
+    SELECT w AS lemma, array_to_string(list_sort(list_distinct(list_concat({_forms_sql('w')}, coalesce(own, [])))), ',') AS forms FROM w LEFT JOIN i USING (w)""",
 )
 def fn_5(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.lower(F.regexp_extract("p_name", "([A-Za-z]+)", 1)).alias("lemma")).distinct()
-    forms = F.array_join(F.array_sort(text.word_forms(F.col("lemma"))), ",")
-    return names.where("lemma <> ''").select("lemma", forms.alias("forms"))
+    """All forms of the words of the part names and of every irregular word."""
+    irregulars = inflection.irregular(spark)
+    names = table(spark, sf_dir, "part").select(F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), F.lit(0))).alias("lemma"))
+    words = names.unionByName(irregulars.select("lemma")).distinct()
+    return inflection.all_forms(words, irregulars).select("lemma", F.array_join("forms", ",").alias("forms"))
+
+
+_ATTESTED = f"WITH {oracle.TOKENS}, words AS (SELECT DISTINCT lower(surface) AS form FROM tok WHERE regexp_matches(lower(surface), '^[a-z]+$'))"
+
+
+@query(
+    "txt_4_index",
+    f"""{_ATTESTED}, bases AS (SELECT form AS lemma FROM words WHERE length(form) > 2),
+    inflected AS (SELECT lemma, unnest(list_distinct({_forms_sql('lemma')})) AS form FROM bases),
+    found AS (SELECT form, lemma, 0 AS kind FROM words JOIN inflected USING (form) WHERE form <> lemma AND {oracle.regular_lemma('form')} <> lemma || 'e' UNION ALL SELECT form, irr_lemma, 1 FROM words JOIN irr USING (form)),
+    ruled AS (SELECT *, lemma = {oracle.regular_lemma('form')} AS own FROM found)
+    SELECT form, lemma FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY kind DESC, own DESC, length(lemma) DESC, lemma) AS n FROM ruled) WHERE n = 1""",
+)
+def txt_4_index(spark, sf_dir):
+    """The inverse inflection index of the words of all documents."""
+    found = tokens.tokenize(table(spark, sf_dir, "documents")).select(F.lower("surface").alias("form"))
+    words = found.where(F.col("form").rlike("^[a-z]+$")).distinct()
+    return inflection.lemma_index(words, inflection.irregular(spark))
 
 
 @query("fn_6", "SELECT item_id, regexp_matches(text, '(?i)\\bthe\\b') AS found FROM benchmark")

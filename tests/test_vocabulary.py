@@ -100,7 +100,7 @@ def test_sentences_and_tokens(spark):
     back = {r["sentence"] for r in tokens.reconstruct(made).collect()}
     assert "The cat , 3 mats !" in back
     pairs = spark.createDataFrame([("gave", "up")], "verb string, particle string")
-    assert rows(mwe.phrasal_verbs(made, pairs).select("book", "phrasal")) == [("1", "gave up")]
+    assert rows(mwe.phrasal_verbs_of_tokens(made, pairs, verbs_only=False).select("book", "phrasal")) == [("1", "gave up")]
 
 
 def test_running_offsets(spark):
@@ -279,14 +279,3 @@ def test_parsed_labels(spark):
     assert parsed('{"chosen_synset_id":"b","confidence":0.5}') is None
     assert parsed('{"chosen_synset_id":"b","flags":["none_of_the_above"]}') is not None
     assert parsed('{"chosen_synset_id":"a","confidence":1.5}') is None and parsed("no") is None
-
-
-def test_constructions(spark):
-    from glossmill.operators import constructions
-
-    items = spark.createDataFrame([(1, "go", "He is going to go on."), (2, "over", "Look OVER there"), (3, "go", "nothing")], "item int, lemma string, sentence string")
-    found = rows(constructions.detect(items, constructions.table(spark)))
-    assert found == [(1, "BE_GOING_TO", "SKIP", 3, 14, 1), (1, "GO_ON", "CONSTRAIN", 15, 20, 2), (2, "OVER_THERE", "OVERRIDE", 5, 15, 1)]
-    verbs = spark.createDataFrame([(1, "go", "on"), (3, "go", "on")], "item int, verb string, particle string")
-    guided = rows(constructions.guidance(constructions.detect(items, constructions.table(spark)), verbs))
-    assert guided == [(1, "BE_GOING_TO", "SKIP", None), (2, "OVER_THERE", "OVERRIDE", "over.r.01"), (3, "PHRASAL_GO_ON", "CONSTRAIN", None)]
