@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.operators import families, qc
+from glossmill.sources.shared import exists, materialize, shared_path
 
 #: A model: (key, prompt) to (key, response); a key without a row got no answer.
 Ask = Callable[[DataFrame], DataFrame]
@@ -105,34 +106,43 @@ def parse_results(
     errors = failed.unionByName(invalid).unionByName(dropped)
     errors.write.mode("overwrite").json(f"{path}/log")
     log = spark.read.schema(errors.schema).json(f"{path}/log")
-    gate(log, valid.count(), thresholds)
+    gate(log, spark.read.schema(numbered.schema).parquet(f"{path}/drafts").count(), thresholds)
     under_contract(kept).drop("card_id").withColumn("schema_version", F.lit("1")).write.mode("overwrite").parquet(f"{path}/cards")
     return spark.read.parquet(f"{path}/cards"), log
 
 
+#: Digits of a cache key that name its bucket: 16 to the power of it buckets.
+BUCKET_DIGITS = 2
+
+
 def cached(requests: DataFrame, ask: Ask, path: str) -> DataFrame:
     """(key, response, source): answers to ``requests`` (key, prompt), asked only where the cache below ``path`` has none.
 
-    The cache is keyed by the SHA-256 of key and prompt and is appended before
-    anything is returned.  ``source`` is cache or network; no answer is a null.
+    The cache is keyed by the SHA-256 of key and prompt, lies in buckets by its
+    first digits, and is appended before anything is returned.  A call reads the
+    buckets that its own requests fall into and no others, so few requests read
+    little of a large cache; bucket names, 256 at most, are all that passes the
+    driver.  Of an entry that is there twice, the least answer counts.  ``source``
+    is cache or network; no answer is a null.
     """
     spark = requests.sparkSession
-    named = requests.withColumn("cache_key", F.sha2(F.concat_ws("|", "key", "prompt"), 256))
-    kind = "cache_key string, key string, response string"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    have = spark.read.schema(kind).json(path) if there else spark.createDataFrame([], kind)
+    key = F.sha2(F.concat_ws("|", "key", "prompt"), 256)
+    named = materialize(requests.select("key", "prompt", key.alias("cache_key"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket")), "requests")
+    kind = "cache_key string, key string, response string, bucket string"
+    if exists(spark, path):
+        own = [r[0] for r in named.select("bucket").distinct().collect()]
+        have = spark.read.schema(kind).parquet(path).where(F.col("bucket").isin(own))
+    else:
+        have = spark.createDataFrame([], kind)
     # What is in the cache now, before this call's own answers are appended.
-    hits = named.join(have.select("cache_key", "response").dropDuplicates(["cache_key"]), "cache_key")
-    hits.select("key", "response", F.lit("cache").alias("source")).write.parquet(held := f"{path}-hits-{time.time_ns()}")
-    missing = named.join(have, "cache_key", "left_anti")
-    answers = ask(missing.select("key", "prompt")).where("response is not null")
-    new = missing.join(answers, "key").select("cache_key", "key", "response")
-    new.write.parquet(fresh := f"{path}-new-{time.time_ns()}")
-    new = spark.read.schema(kind).parquet(fresh)
-    new.write.mode("append").json(path)
-    asked = missing.select("key").join(new.select("key", "response"), "key", "left").withColumn("source", F.lit("network"))
-    return spark.read.schema("key string, response string, source string").parquet(held).unionByName(asked)
+    found = have.join(named.select("bucket", "cache_key").distinct(), ["bucket", "cache_key"], "left_semi")
+    hits = materialize(found.groupBy("cache_key").agg(F.min("response").alias("response")), "hits")
+    missing = named.join(hits.select("cache_key"), "cache_key", "left_anti")
+    answers = ask(missing.select("key", "prompt").distinct()).where("response is not null")
+    new = materialize(missing.join(answers, "key").select("cache_key", "key", "response", "bucket").dropDuplicates(["cache_key"]), "answers")
+    new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    both = hits.withColumn("source", F.lit("cache")).unionByName(new.select("cache_key", "response", F.lit("network").alias("source")))
+    return named.select("key", "cache_key").join(both, "cache_key", "left").select("key", "response", F.coalesce("source", F.lit("network")).alias("source"))
 
 
 def retry(cards: DataFrame, examples: DataFrame, ask: Ask, cache: str, policy: Policy = Policy()) -> tuple[DataFrame, DataFrame]:
@@ -182,15 +192,41 @@ def cluster(blocks: DataFrame, ask: Ask, cache: str) -> DataFrame:
     return families.merge_blocks(cards.withColumn("indices", own).drop("__n"))
 
 
-def labelled(items: DataFrame, ask: Callable[[DataFrame, int], DataFrame], read: Callable[[Column], Column], tries: int = 3) -> DataFrame:
+def labelled(
+    items: DataFrame, ask: Callable[[DataFrame, int], DataFrame], read: Callable[[Column], Column], tries: int = 3, journal: str | None = None
+) -> DataFrame:
     """(key, attempts, answer): ``items`` (key, prompt) asked until an answer can be read, at most ``tries`` times.
 
     From the second time on the prompt asks for valid JSON only; what cannot be read then is null.
+
+    Each try is written to the journal, a row a request by the digest of its try,
+    key and prompt, before anything reads it: answers are parsed from there, and
+    the next try starts from there.  So a plan that is computed again, or a run
+    that is started again with the same ``journal``, asks nothing twice, and a
+    model whose answers vary gives each item one row.  A request without an
+    answer is a row too.  Without a path the journal is a fresh one in the shared folder.
     """
-    done, left = None, items
+    spark = items.sparkSession
+    journal = journal or shared_path(spark, "journal")
+    kind = items.schema["key"].dataType.simpleString()
+    schema = f"digest string, key {kind}, prompt string, response string"
+    done, left = None, items.select("key", "prompt")
     for n in range(1, tries + 1):
+        path = f"{journal}/try-{n}"
         prompt = F.col("prompt") if n == 1 else F.concat("prompt", F.lit("\n\nAnswer with valid JSON only."))
-        got = left.join(ask(left.select("key", prompt.alias("prompt")), n), "key", "left").withColumn("answer", read(F.col("response")))
+        asked = left.select("key", "prompt", prompt.alias("__asked"))
+        named = asked.withColumn("digest", F.sha2(F.concat_ws("|", F.lit(str(n)), F.col("key").cast("string"), "__asked"), 256)).dropDuplicates(["digest"])
+        if exists(spark, path):
+            have = spark.read.schema(schema).parquet(path)
+            missing = named.join(have.select("digest"), "digest", "left_anti")
+        else:
+            missing = named
+        missing = materialize(missing, "requests")
+        if not missing.isEmpty():
+            answers = ask(missing.select("key", F.col("__asked").alias("prompt")), n).groupBy("key").agg(F.first("response", ignorenulls=True).alias("response"))
+            missing.join(answers, "key", "left").select("digest", "key", "prompt", "response").write.mode("append").parquet(path)
+        got = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+        got = got.join(named.select("digest"), "digest", "left_semi").withColumn("answer", read(F.col("response")))
         part = got.where("answer is not null").select("key", F.lit(n).alias("attempts"), "answer")
         done = part if done is None else done.unionByName(part)
         left = got.where("answer is null").select("key", "prompt")

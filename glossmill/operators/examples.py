@@ -22,44 +22,30 @@ def top_sentences(
     ``pairs`` has item, ord (first-seen order) and sentence.  First come sentences
     of preferred length, then, counting those again, of the wider range, then the
     rest; equal texts count once at the end, so fewer than ``k`` may come out.
+
+    A range is only drawn on when the one before it is used up, so the ``k`` first
+    of each are all that can be chosen.  Ranks of at most ``k`` are cut within each
+    task before the shuffle, so of a frequent item's sentences only ``k`` a range
+    and task travel, and no group is longer than three times ``k``.
     """
     centre = (low + high) / 2
     length = F.length("sentence")
-    base = (
-        pairs.where("sentence <> ''")
-        .withColumn("__d", F.abs(length - F.lit(centre)))
-        .withColumn("__a", length.between(low, high))
-        .withColumn("__b", length.between(wide_low, wide_high))
-    )
-    first = Window.partitionBy(item, "__a").orderBy("__d", "ord")
-    second = Window.partitionBy(item, "__b").orderBy("__d", "ord")
-    of_item = Window.partitionBy(item)
-    n_a = F.least(F.lit(k), F.sum(F.col("__a").cast("int")).over(of_item))
-    counted = (
-        base.withColumn("__ra", F.row_number().over(first))
-        .withColumn("__rb", F.row_number().over(second))
-        .withColumn("__na", n_a)
-        .withColumn("__nb", F.least(F.lit(k) - n_a, F.sum(F.col("__b").cast("int")).over(of_item)))
-    )
-    in_a = F.col("__a") & (F.col("__ra") <= k)
-    in_b = F.col("__b") & (F.col("__rb") <= F.lit(k) - F.col("__na"))
-    same_text = Window.partitionBy(item, "sentence")
-    marked = (
-        counted.withColumn("__in_a", in_a)
-        .withColumn("__in_b", in_b)
-        .withColumn("__used", F.max((in_a | in_b).cast("int")).over(same_text) == 1)
-    )
-    rest = Window.partitionBy(item, "__used").orderBy("__d", "ord")
-    in_c = ~F.col("__used") & (F.row_number().over(rest) <= F.lit(k) - F.col("__na") - F.col("__nb"))
-    chosen = marked.withColumn("__in_c", in_c)
-    phases = F.array_compact(
-        F.array(
-            F.when(F.col("__in_a"), F.lit(1)), F.when(F.col("__in_b"), F.lit(2)), F.when(F.col("__in_c"), F.lit(3))
-        )
-    )
-    rows = chosen.withColumn("__p", F.explode(phases))
-    ordered = F.array_sort(F.collect_list(F.struct("__p", "__d", "ord", "sentence")))
-    return rows.groupBy(item).agg(F.array_distinct(F.transform(ordered, lambda x: x["sentence"])).alias("examples"))
+    within = F.array_compact(F.array(F.when(length.between(low, high), F.lit(1)), F.when(length.between(wide_low, wide_high), F.lit(2))))
+    classes = F.when(F.size(within) > 0, within).otherwise(F.array(F.lit(3)))
+    rows = pairs.where("sentence <> ''").select(item, "ord", "sentence", F.abs(length - F.lit(centre)).alias("__d"), F.explode(classes).alias("__c"))
+    best = Window.partitionBy(item, "__c").orderBy("__d", "ord")
+    kept = rows.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k)
+    ordered = F.array_sort(F.collect_list(F.struct("__c", "__d", "ord", "sentence")))
+    listed = kept.groupBy(item).agg(ordered.alias("__s"))
+
+    def of_class(c: int):
+        return F.filter("__s", lambda x: x["__c"] == c)
+
+    preferred = of_class(1)
+    wider = F.slice(of_class(2), F.lit(1), F.lit(k) - F.size(preferred))
+    rest = F.slice(of_class(3), F.lit(1), F.lit(k) - F.size(preferred) - F.size(wider))
+    chosen = F.concat(preferred, wider, rest)
+    return listed.select(item, F.array_distinct(F.transform(chosen, lambda x: x["sentence"])).alias("examples"))
 
 
 def for_candidates(
@@ -68,7 +54,7 @@ def for_candidates(
     """``candidates`` with example: joined sentences for the ``top_n`` first by score, null for others."""
     best = candidates.orderBy(F.desc("score"), "lemma").limit(top_n).select("lemma") if top_n > 0 else candidates.select("lemma")
     pairs = (
-        tokens.join(F.broadcast(best), "lemma", "left_semi")
+        tokens.join(best, "lemma", "left_semi")
         .select("lemma", "sentence_id")
         .distinct()
         .join(sentences.select("sentence_id", "sentence"), "sentence_id")

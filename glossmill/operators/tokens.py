@@ -180,8 +180,8 @@ def reconstruct(tokens: DataFrame, keys: tuple[str, ...] = ("book", "sentence_id
     return tokens.groupBy(*keys).agg(F.trim(joined).alias("sentence"))
 
 
-def running_offsets(counts: DataFrame, key: str, value: str, buckets: int = 256) -> DataFrame:
-    """``counts`` with ``offset``: the sum of ``value`` over all rows of lesser ``key``.
+def running_offsets(counts: DataFrame, key: str, value: str, buckets: int = 256, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``counts`` with ``offset``: the sum of ``value`` over all rows of lesser ``key``, equal ones in order of ``ties``.
 
     Rows are dealt into ranges of the key by a quantile sketch.  Only the sums of
     the ranges, at most ``buckets`` + 1 rows, meet in one place.
@@ -194,7 +194,8 @@ def running_offsets(counts: DataFrame, key: str, value: str, buckets: int = 256)
     before = sums.select(
         "__bucket", (F.sum("__sum").over(Window.orderBy("__bucket")) - F.col("__sum")).alias("__before")
     )
-    own = F.sum(value).over(Window.partitionBy("__bucket").orderBy(key)) - F.col(value)
+    until = Window.partitionBy("__bucket").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.sum(value).over(until) - F.col(value)
     return (
         dealt.withColumn("__own", own)
         .join(F.broadcast(before), "__bucket")

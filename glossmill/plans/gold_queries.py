@@ -280,7 +280,14 @@ def smp_2(spark, sf_dir):
     return gold.stratified(_parts(spark, sf_dir), "p_partkey", 150).select("p_partkey", "difficulty")
 
 
-@query("smp_3")
+@query(
+    "smp_3",
+    """WITH RECURSIVE s AS (SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY md5(p_brand || '|42'), p_brand) AS k FROM part GROUP BY p_brand),
+    r AS (SELECT CAST(floor(count(*) * 0.25) AS BIGINT) AS room FROM part),
+    w(k, used, taken) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), false UNION ALL
+      SELECT s.k, CAST(CASE WHEN w.used + s.n <= room THEN w.used + s.n ELSE w.used END AS BIGINT), w.used + s.n <= room FROM w JOIN s ON s.k = w.k + 1, r)
+    SELECT p_partkey, p_brand, CASE WHEN taken THEN 'dev' ELSE 'test' END AS split FROM part JOIN s USING (p_brand) JOIN w USING (k)""",
+)
 def smp_3(spark, sf_dir):
     return gold.split_by_source(_parts(spark, sf_dir), "p_brand").select("p_partkey", "p_brand", "split")
 

@@ -155,6 +155,27 @@ def src_2(spark, sf_dir):
     return books.html_text(table(spark, sf_dir, "pages"))
 
 
+@query(
+    "src_2_epub",
+    """SELECT CAST(page_id // 20 AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS INTEGER) AS place,
+      'OPS/chapter' || (page_id % 20) || '.xhtml' AS name, 'Chapter ' || (page_id % 20) || ' ' || url AS text FROM pages""",
+)
+def src_2_epub(spark, sf_dir):
+    """Archives of twenty pages each, packed in order of their names, read back in reading order: chapter 10 after 2."""
+    import html
+
+    import pandas as pd
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("page_id")
+        spine = [f"chapter{i % 20}.xhtml" for i in frame["page_id"]]
+        pages = [(n, f"<html><head><title>no</title></head><body><h1>Chapter {i % 20}</h1><p>{html.escape(u)}</p></body></html>") for n, i, u in zip(spine, frame["page_id"], frame["url"])]
+        return pd.DataFrame({"path": [str(frame["book"].iat[0])], "content": [books.pack_epub(sorted(pages), spine)]})
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.floor(F.col("page_id") / 20).alias("book"))
+    return books.epub_chapters(pages.groupBy("book").applyInPandas(pack, "path string, content binary"))
+
+
 @query("fn_1")
 def fn_1(spark, sf_dir):
     """Compatibility folding has no built-in, so it is an Arrow-batched function."""

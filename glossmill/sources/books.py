@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from pathlib import PurePosixPath
+from urllib.parse import quote, unquote
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -50,12 +54,96 @@ def html_text(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("text", strip(F.col(html))).drop(html)
 
 
-def epub_text(content: bytes, separator: str = "\n\n") -> str:
-    """The visible text of an EPUB's pages in order of their names."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = sorted(n for n in book.namelist() if n.lower().endswith((".html", ".xhtml", ".htm")))
-        texts = [visible_text(book.read(n).decode("utf-8", "replace")) for n in names]
-    return separator.join(t for t in texts if t)
+class BookError(ValueError):
+    """A book that cannot be read, or that holds no text."""
+
+
+_CONTAINER = "{urn:oasis:names:tc:opendocument:xmlns:container}"
+_PACKAGE = "{http://www.idpf.org/2007/opf}"
+_PAGE_TYPES = ("application/xhtml+xml", "text/html")
+
+
+def reading_order(book: zipfile.ZipFile) -> list[str]:
+    """Names of an EPUB's pages as its package lists them: the spine, then pages of the manifest that are not in it.
+
+    Pages for navigation alone come only if the spine has them.
+    """
+    root = ElementTree.fromstring(book.read("META-INF/container.xml"))
+    package = root.find(f"{_CONTAINER}rootfiles/{_CONTAINER}rootfile").attrib["full-path"]
+    tree = ElementTree.fromstring(book.read(package))
+    items = {i.attrib["id"]: i.attrib for i in tree.iterfind(f"{_PACKAGE}manifest/{_PACKAGE}item")}
+    spine = [i.attrib["idref"] for i in tree.iterfind(f"{_PACKAGE}spine/{_PACKAGE}itemref")]
+    rest = [i for i, a in items.items() if i not in set(spine) and "nav" not in a.get("properties", "").split()]
+    pages = [items[i]["href"] for i in spine + rest if i in items and items[i].get("media-type") in _PAGE_TYPES]
+    names = set(book.namelist())
+    found = [posixpath.normpath(posixpath.join(posixpath.dirname(package), unquote(p))) for p in pages]
+    return [n for n in dict.fromkeys(found) if n in names]
+
+
+def epub_pages(content: bytes | None) -> list[tuple[str, str]]:
+    """(name, text) of the pages with text of an EPUB, in reading order; BookError if it is no EPUB or has none."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as book:
+            pages = [(n, visible_text(book.read(n).decode("utf-8", "replace"))) for n in reading_order(book)]
+    except (zipfile.BadZipFile, zlib.error, KeyError, AttributeError, ElementTree.ParseError, NotImplementedError, RuntimeError) as error:
+        raise BookError(f"not a readable EPUB: {error}") from error
+    pages = [(name, text) for name, text in pages if text]
+    if not pages:
+        raise BookError("no text in the EPUB")
+    return pages
+
+
+def epub_chapters(files: DataFrame) -> DataFrame:
+    """(path, place, name, text) of EPUBs given as (path, content): their pages in reading order, from 0.
+
+    A file that cannot be read, or that holds no text, is an error that names it.
+    One book at a time is unpacked in a task.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                pages = _named_pages(path, content)
+                names, texts = zip(*pages)
+                yield pd.DataFrame({"path": path, "place": range(len(pages)), "name": names, "text": texts})
+
+    return files.select("path", "content").mapInPandas(run, "path string, place int, name string, text string")
+
+
+def epub_texts(files: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """(path, text) of EPUBs given as (path, content): all pages in reading order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(p, separator.join(t for _, t in _named_pages(p, c))) for p, c in zip(frame["path"], frame["content"])], columns=["path", "text"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, text string")
+
+
+def _named_pages(path: str, content: bytes | None) -> list[tuple[str, str]]:
+    try:
+        return epub_pages(content)
+    except BookError as error:
+        raise BookError(f"{path}: {error}") from error
+
+
+def pack_epub(pages: list[tuple[str, str]], spine: list[str] | None = None) -> bytes:
+    """An EPUB of (name, html) pages; ``spine`` names them in reading order, as given if not told."""
+    order = spine if spine is not None else [name for name, _ in pages]
+    ids = {name: f"p{i}" for i, (name, _) in enumerate(pages)}
+    manifest = "".join(f'<item id="{ids[n]}" href="{quote(n)}" media-type="application/xhtml+xml"/>' for n, _ in pages)
+    refs = "".join(f'<itemref idref="{ids[n]}"/>' for n in order)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
+        book.writestr(
+            "META-INF/container.xml",
+            f'<container xmlns="{_CONTAINER[1:-1]}" version="1.0"><rootfiles><rootfile full-path="OPS/package.opf"/></rootfiles></container>',
+        )
+        book.writestr("OPS/package.opf", f'<package xmlns="{_PACKAGE[1:-1]}" version="3.0"><manifest>{manifest}</manifest><spine>{refs}</spine></package>')
+        for name, html in pages:
+            book.writestr(f"OPS/{name}", html)
+    return out.getvalue()
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -66,14 +154,9 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_epub(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of EPUB files."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"path": frame["path"], "text": [epub_text(c) for c in frame["content"]]})
-
+    """(path, text) of EPUB files, read by Spark from any file system; a folder or a pattern reads all of its books."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, text string")
+    return epub_texts(files)
 
 
 def read_book(spark: SparkSession, path: str, newlines: bool = True) -> DataFrame:
