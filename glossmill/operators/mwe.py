@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill import inflection
 from glossmill.functions.text import expand_contractions, normalize_for_matching, target_in_text
 from glossmill.operators.tokens import RegexAnnotator
 
@@ -40,11 +41,17 @@ def particle_place(ahead: Column, particles: Column) -> Column:
 
 
 def _phrases(rows: DataFrame, ahead: Column, keys: list[str]) -> DataFrame:
-    """(keys, __at, verb, particle): the particle that each verb of ``rows`` (with ``particles``) reaches first."""
-    placed = rows.withColumn("__ahead", ahead).withColumn("__place", particle_place(F.col("__ahead"), F.col("particles")))
-    return placed.where("__place is not null").select(
-        *keys, F.col("position").alias("__at"), F.col("lemma").alias("verb"), F.element_at("__ahead", F.col("__place"))["word"].alias("particle")
-    )
+    """(keys, __at, verb, particle): the particle that each verb of ``rows`` (with ``particles``) reaches first.
+
+    The words ahead are bound once, in a lambda, so they are tagged once however
+    often the automaton looks at them, and the generator keeps filters above it.
+    """
+
+    def reached(words: Column) -> Column:
+        return F.struct(F.element_at(words, particle_place(words, F.col("particles")))["word"].alias("particle"))
+
+    found = F.filter(F.transform(F.array(ahead), reached), lambda x: x["particle"].isNotNull())
+    return rows.select(*keys, F.col("position").alias("__at"), "verb", F.inline(found))
 
 
 def _dictionary(pairs: DataFrame) -> DataFrame:
@@ -52,6 +59,22 @@ def _dictionary(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("verb").alias("lemma")).agg(F.collect_set("particle").alias("particles"))
 
 
+def _verb_forms(pairs: DataFrame) -> DataFrame:
+    """(form, verb, particles): every form that a verb of a dictionary may have, right or not; the lemma decides."""
+    own = _dictionary(pairs)
+    forms = inflection.all_forms(own, inflection.irregular(pairs.sparkSession))
+    return forms.select(F.explode("forms").alias("form"), F.col("lemma").alias("verb"), "particles")
+
+
+#: A token of a form of a verb is that verb, and no name.
+_IS_VERB = "CASE WHEN lemma = verb THEN pos NOT IN ('PROPN', 'DET') ELSE false END"
+
+
+def _near() -> Column:
+    """Whether any particle of a verb is among the words ahead of it; most verbs have none, and nothing is tagged for them."""
+    return F.arrays_overlap(F.transform("words", lambda w: F.lower(w)), "particles")
+
+
 def _named(found: DataFrame) -> DataFrame:
     phrase = F.concat_ws(" ", "verb", "particle").alias("phrasal")
     return found.select("book", "sentence_id", phrase, "verb", "particle").dropDuplicates(["book", "sentence_id", "phrasal"])
@@ -62,12 +85,12 @@ def phrasal_verbs(sentences: DataFrame, pairs: DataFrame, gap: int = GAP, annota
 
     Verbs are found by lemma in every form, and each takes the first particle of
     its own that it reaches ("gave the old lamp up"); each phrase counts once a
-    sentence.  Every word looks ahead in its own sentence's array, so nothing is
+    sentence.  Every word brings the few words ahead of it along, so nothing is
     shuffled but the phrases found.  ``pairs`` has verb and particle.
     """
     own = annotator or RegexAnnotator()
-    rows = own.rows(sentences).where("pos not in ('PROPN', 'DET')").join(_dictionary(pairs), "lemma")
-    return _named(_phrases(rows, own.ahead(F.col("words"), F.col("position"), gap + 1), ["book", "sentence_id"]))
+    rows = own.rows(sentences, ahead=gap + 1, only=_verb_forms(pairs)).where(_IS_VERB).where(_near())
+    return _named(_phrases(rows, own.tagged_words(F.col("words")), ["book", "sentence_id"]))
 
 
 def phrasal_verbs_of_tokens(tokens: DataFrame, pairs: DataFrame, gap: int = GAP, verbs_only: bool = True) -> DataFrame:
@@ -78,7 +101,7 @@ def phrasal_verbs_of_tokens(tokens: DataFrame, pairs: DataFrame, gap: int = GAP,
     """
     window = Window.partitionBy("book", "sentence_id").orderBy("position").rowsBetween(1, gap + 1)
     ahead = F.collect_list(F.struct(F.lower("surface").alias("word"), "pos")).over(window)
-    rows = tokens.select("book", "sentence_id", "position", "lemma", "pos", ahead.alias("__next")).join(_dictionary(pairs), "lemma")
+    rows = tokens.select("book", "sentence_id", "position", "lemma", "pos", ahead.alias("__next")).join(_dictionary(pairs), "lemma").withColumnRenamed("lemma", "verb")
     if verbs_only:
         rows = rows.where("pos = 'VERB'")
     return _named(_phrases(rows, F.col("__next"), ["book", "sentence_id"]))
@@ -92,8 +115,8 @@ def phrases_of_items(items: DataFrame, pairs: DataFrame, item: str = "item", gap
     """
     own = annotator or RegexAnnotator()
     texts = items.select(F.lit("").alias("book"), F.col(item).alias("sentence_id"), F.col("lemma").alias("__target"), "sentence")
-    rows = own.rows(texts, "__target").where("lemma = __target and pos not in ('PROPN', 'DET')").join(_dictionary(pairs), "lemma")
-    found = _phrases(rows, own.ahead(F.col("words"), F.col("position"), gap + 1), ["sentence_id"])
+    rows = own.rows(texts, "__target", ahead=gap + 1, only=_verb_forms(pairs)).where("verb = __target").where(_IS_VERB).where(_near())
+    found = _phrases(rows, own.tagged_words(F.col("words")), ["sentence_id"])
     first = found.groupBy(F.col("sentence_id").alias(item)).agg(F.min_by(F.struct("verb", "particle"), "__at").alias("p"))
     return first.select(item, "p.verb", "p.particle")
 

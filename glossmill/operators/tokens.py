@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -48,23 +49,29 @@ def sentences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     )
 
 
-def tag(surface: Column, position: Column, irregular: Column) -> Column:
+def tag(surface: Column, lower: Column, position: Column, irregular: Column) -> Column:
     """A part of speech by closed classes, irregular forms and endings; a fallback, not a parser.
 
-    ``irregular`` is the part of speech of an irregular form, else null.
+    ``lower`` is the lower-cased surface, ``irregular`` the part of speech of an
+    irregular form, else null.  A token is letters, digits or one other
+    character, so its first character tells which.
     """
-    lower = F.lower(surface)
+    first = F.substring(surface, 1, 1)
+
+    def ends(*endings: str) -> Column:
+        return reduce(lambda a, b: a | b, (F.endswith(lower, F.lit(e)) for e in endings))
+
     return (
-        F.when(surface.rlike("^[0-9]+$"), "NUM")
-        .when(~surface.rlike(f"^[{LETTERS}]"), "PUNCT")
+        F.when(first.between("0", "9"), "NUM")
+        .when(~first.rlike(f"[{LETTERS}]"), "PUNCT")
         .when(lower.isin(*DETERMINERS), "DET")
         .when(lower.isin(*JOINERS), "CCONJ")
         .when(lower.isin(*lexicon.IGNORED_FUNCTION_WORDS, *lexicon.KEPT_FUNCTION_WORDS), "ADP")
-        .when((position > 0) & surface.rlike("^[A-Z]"), "PROPN")
+        .when((position > 0) & first.between("A", "Z"), "PROPN")
         .when(irregular.isNotNull(), irregular)
-        .when(lower.rlike("ly$"), "ADV")
-        .when(lower.rlike("(?:ing|ed)$"), "VERB")
-        .when(lower.rlike("(?:ble|ous|ful|ive|al)$"), "ADJ")
+        .when(ends("ly"), "ADV")
+        .when(ends("ing", "ed"), "VERB")
+        .when(ends("ble", "ous", "ful", "ive", "al"), "ADJ")
         .otherwise("NOUN")
     )
 
@@ -91,32 +98,44 @@ class RegexAnnotator:
             "book", "sentence_id", "position", "surface", "lemma", "pos", "is_stop", "is_alpha", F.lit(" ").alias("whitespace")
         )
 
-    def rows(self, sentences: DataFrame, *more: str) -> DataFrame:
-        """Tokens with all words of their sentence (``words``), as an array that is not copied unless it is used."""
+    def rows(self, sentences: DataFrame, *more: str, ahead: int = 0, only: DataFrame | None = None) -> DataFrame:
+        """Tokens with the columns ``more`` of their sentence and, in ``words``, as many of the next words as ``ahead`` says.
+
+        No token carries its whole sentence, so a sentence of very many words stays
+        linear.  ``only`` (form, ..) keeps tokens of these lower-cased forms, with its
+        columns; the others are left out before anything is tagged.
+        """
         known = self.irregulars if self.irregulars is not None else inflection.irregular(sentences.sparkSession)
         fixed = known.select(F.col("form").alias("__w"), F.col("lemma").alias("__lemma"), F.col("pos").alias("__pos"))
         words = F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0))
-        split = sentences.select("book", "sentence_id", *more, words.alias("words"))
-        rows = split.select("book", "sentence_id", *more, "words", F.posexplode("words").alias("position", "surface"))
+        split = sentences.select("book", "sentence_id", *more, words.alias("__words"))
+        if ahead:
+            each = F.transform("__words", lambda w, i: F.struct(w.alias("surface"), F.slice("__words", i + 2, ahead).alias("words")))
+            rows = split.select("book", "sentence_id", *more, F.posexplode(each).alias("position", "__t"))
+            rows = rows.select("book", "sentence_id", *more, "position", "__t.*")
+        else:
+            rows = split.select("book", "sentence_id", *more, F.posexplode("__words").alias("position", "surface"))
+        rows = rows.withColumn("__w", F.lower("surface"))
+        if only is not None:
+            rows = rows.join(only.withColumnRenamed("form", "__w"), "__w")
         tagged = (
-            rows.withColumn("__w", F.lower("surface"))
-            .join(fixed, "__w", "left")
-            .withColumn("pos", tag(F.col("surface"), F.col("position"), F.col("__pos")))
+            rows.join(fixed, "__w", "left")
+            .withColumn("pos", tag(F.col("surface"), F.col("__w"), F.col("position"), F.col("__pos")))
             .withColumn("is_stop", F.col("__w").isin(*lexicon.STOP_WORDS))
             .withColumn("is_alpha", F.col("surface").rlike(f"^[{LETTERS}]+$"))
         )
         lemma = lemma_of(F.col("__w"), F.col("pos"), F.col("is_stop"), F.col("__lemma"))
         return tagged.withColumn("lemma", lemma).drop("__w", "__lemma", "__pos")
 
-    def ahead(self, words: Column, position: Column, n: int) -> Column:
-        """The next ``n`` words behind a position as (word, pos)."""
+    def tagged_words(self, words: Column) -> Column:
+        """Words that follow another of their sentence as (word, pos)."""
         verbs = [form for form, lemma, pos in inflection.irregular_rows() if pos == "VERB"]
 
-        def word(w: Column, i: Column) -> Column:
-            irregular = F.when(F.lower(w).isin(*verbs), "VERB")
-            return F.struct(F.lower(w).alias("word"), tag(w, i + 1, irregular).alias("pos"))
+        def word(w: Column) -> Column:
+            lower = F.lower(w)
+            return F.struct(lower.alias("word"), tag(w, lower, F.lit(1), F.when(lower.isin(*verbs), "VERB")).alias("pos"))
 
-        return F.transform(F.slice(words, position + 2, n), word)
+        return F.transform(words, word)
 
 
 class LoadedAnnotator:
