@@ -14,7 +14,9 @@ the partial results are joined by the digest of the text, so nothing is dropped.
 
 Defined cases: a null or wordless document has no words and no hits; null and
 wordless items have no windows; items of equal text each count; equal item_ids
-count once; empty tables give empty or clean results.
+count once; items without an id count as one item, whose words are hit like any
+other's and which stands as a null last in the list of items and in no digest;
+empty tables give empty or clean results.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ class Scanner:
         np.add.at(mark, last, -1)
         hit = np.concatenate(([False], np.cumsum(mark)[:-1] > 0, [False]))
         edges = np.nonzero(hit[1:] != hit[:-1])[0]
-        items = sorted({x for i in {f[1] for f in found} for x in self.items[i]})
+        items = sorted({x for i in {f[1] for f in found} for x in self.items[i]}, key=lambda x: (x is None, x))
         return len(words), int(hit.sum()), items, edges[::2].tolist(), edges[1::2].tolist()
 
 
@@ -99,8 +101,10 @@ def _window_table(items: DataFrame, window: int) -> DataFrame:
                 texts += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["id", "text"])
 
-    source = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("id"), text_or_empty().alias("text"))
-    return source.mapInArrow(cut, "id string, text string").groupBy("text").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    source = items.select(F.col("item_id").cast("string").alias("id"), text_or_empty().alias("text"))
+    # Sets leave nulls out, but not in a struct.
+    ids = F.array_sort(F.transform(F.collect_set(F.struct("id")), lambda x: x["id"])).alias("ids")
+    return source.mapInArrow(cut, "id string, text string").groupBy("text").agg(ids)
 
 
 def _scan(docs: DataFrame, rows: list, keep: list[str]) -> DataFrame:
@@ -161,7 +165,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = 1
         import pandas as pd
 
         a, b = _merge_runs([x for s in frame["starts"] for x in s], [x for s in frame["stops"] for x in s])
-        items = sorted({x for s in frame["items"] for x in s})
+        items = sorted({x for s in frame["items"] for x in s}, key=lambda x: (x is None, x))
         return pd.DataFrame({"__key": [key[0]], "n_hit": [sum(b) - sum(a)], "items": [items], "starts": [a], "stops": [b]})
 
     merged = parts.groupBy("key").applyInPandas(join, "__key string, n_hit long, items array<string>, starts array<long>, stops array<long>")
