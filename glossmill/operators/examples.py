@@ -64,6 +64,24 @@ def for_candidates(
     return candidates.join(found, "lemma", "left")
 
 
+def for_phrases(stats: DataFrame, phrases: DataFrame, sentences: DataFrame, k: int = 3) -> DataFrame:
+    """``stats`` (phrasal, ..) with example: joined sentences of each phrase, null where it has none.
+
+    Each task cuts to ``k`` sentences a phrase and range before anything is shuffled by phrase.
+    """
+    pairs = phrases.select("phrasal", "sentence_id").distinct().join(sentences.select("sentence_id", "sentence"), "sentence_id")
+    found = top_sentences(pairs.withColumn("ord", F.col("sentence_id")), "phrasal", max(1, k))
+    return stats.join(found.select("phrasal", F.array_join("examples", JOINER).alias("example")), "phrasal", "left")
+
+
+def write_deck(cards: DataFrame, path: str, tasks: int | None = None) -> None:
+    """CSV files with a header below ``path``, one a task; ``tasks`` gathers them into fewer, 1 into one file.
+
+    By default rows are written where they are, whatever their number.
+    """
+    (cards.coalesce(tasks) if tasks else cards).write.csv(path, header=True)
+
+
 def optimal_sentence(pairs: DataFrame, item: str, low: int = 50, high: int = 150, wide_low: int = 20, wide_high: int = 300) -> DataFrame:
     """(item, sentence): the median length of the preferred range, else the closest of the wider, else the median."""
     length = F.length("sentence")

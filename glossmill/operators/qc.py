@@ -6,6 +6,7 @@ import difflib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -180,6 +181,36 @@ def duplicate_senses(cards: DataFrame, threshold: float = 0.85, block: int = 100
     return rows.join(kept, keys, "left_anti").select(cards.columns)
 
 
+def valid_schema(fields: dict[str, Column], examples: Column, indices: Column) -> Column:
+    """Whether a card's text fields are filled, it has examples, and its indices are a list of whole numbers in JSON."""
+    filled = [F.coalesce(F.trim(value), F.lit("")) != "" for value in fields.values()]
+    whole = F.coalesce(indices, F.lit("")).rlike("^\\s*\\[\\s*(-?[0-9]+\\s*(,\\s*-?[0-9]+\\s*)*)?\\]\\s*$")
+    return reduce(lambda a, b: a & b, filled) & (F.coalesce(F.size(examples), F.lit(-1)) > 0) & whole
+
+
+def lemma_in_text(lemma: Column, text: Column) -> Column:
+    """Whether a text has a form of a lemma as a word, or the lemma as a part of any word."""
+    forms = F.array_union(word_forms(lemma), irregular_forms(lemma))
+    either = F.contains(F.lower(text), F.lower(lemma)) | F.exists(forms, lambda f: word_in_text(f, text))
+    return F.coalesce(either, F.lit(False))
+
+
+def share_check(rows: DataFrame, failed: Column, most: float) -> DataFrame:
+    """One row (total, failures, rate, passed): the share of rows that fail, and whether it is within its threshold; no rows pass."""
+    counts = rows.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.count_if(failed), F.lit(0)).alias("failures"))
+    rate = F.when(F.col("total") > 0, F.col("failures") / F.col("total")).otherwise(F.lit(0.0))
+    return counts.withColumn("rate", rate).withColumn("passed", F.col("rate") <= most)
+
+
+def findings(rows: DataFrame, key: str, column: str, parts: tuple[str, ...] = (), words: tuple[str, ...] = (), equal: tuple[str, ...] = ()) -> DataFrame:
+    """(key, test, value): a row for every value that a text holds as a part, as a whole word, or is equal to, cases apart for parts."""
+    text = F.col(column)
+    tests = [F.when(F.contains(text, F.lit(v)), F.struct(F.lit("part").alias("test"), F.lit(v).alias("value"))) for v in parts]
+    tests += [F.when(word_in_text(F.lit(v), text), F.struct(F.lit("word").alias("test"), F.lit(v).alias("value"))) for v in words]
+    tests += [F.when(text == v, F.struct(F.lit("equal").alias("test"), F.lit(v).alias("value"))) for v in equal]
+    return rows.select(key, F.inline(F.array_compact(F.array(*tests))))
+
+
 def error_rates(errors: DataFrame, cards: int, thresholds: dict[str, float], other: float = 0.0) -> DataFrame:
     """(error_type, n, rate, threshold, failed) of a table of errors beside a number of cards."""
     total = errors.agg((F.count(F.lit(1)) + F.lit(cards)).alias("__total"))

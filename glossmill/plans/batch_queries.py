@@ -90,15 +90,14 @@ def bat_5(spark, sf_dir):
 @query(
     "bat_6",
     f"""WITH {_USES} SELECT lemma, CAST((n - 1) // 100 AS INTEGER) AS block, CAST(min(n) AS INTEGER) AS first_index, CAST(max(n) AS INTEGER) AS last_index
-    FROM placed WHERE lemma IN (SELECT lemma FROM many WHERE example_count > 50) GROUP BY ALL""",
+    FROM placed GROUP BY ALL""",
 )
 def bat_6(spark, sf_dir):
-    """Lemmas of over 50 sentences in blocks of 100; the model chooses all of a block, out-of-range numbers are left out."""
+    """All lemmas in blocks of 100 sentences; the model chooses all of a block, out-of-range numbers are left out."""
     docs = table(spark, sf_dir, "documents")
     blocks = families.example_blocks(tokens.tokenize(docs), tokens.sentences(docs))
-    often = blocks.groupBy("lemma").agg(F.sum(F.size("examples")).alias("n")).where("n > 50").select("lemma")
     every = ",".join(str(i) for i in range(102))
-    cards = batch.cluster(blocks.join(often, "lemma", "left_semi"), _ask(f'"definition_en":"x","selected_example_indices":[{every}]'), shared_path(spark, "cluster"))
+    cards = batch.cluster(blocks, _ask(f'"definition_en":"x","selected_example_indices":[{every}]'), shared_path(spark, "cluster"))
     return cards.select("lemma", "block", F.array_min("indices").alias("first_index"), F.array_max("indices").alias("last_index"))
 
 
@@ -121,15 +120,23 @@ def bat_10(spark, sf_dir):
     return spark.read.csv(paths.deck("book"), header=True)
 
 
-@query("bat_11", "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'cache' ELSE 'model' END AS source, count(*) AS n, CAST(sum(length(regexp_replace(lower(p_name), '[^a-z]', '', 'g'))) AS DOUBLE) AS letters FROM part GROUP BY ALL")
+_GRAMS = "flatten(list_transform(regexp_extract_all(lower(t), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 1), lambda i: md5(substr('<' || w || '>', i, 3)))))"
+
+
+@query(
+    "bat_11",
+    f"""WITH n AS (SELECT p_partkey AS k, p_name || p_partkey AS t FROM part), g AS (SELECT k, unnest({_GRAMS}) AS h FROM n),
+    d AS (SELECT k, i, CAST(sum(position(substr(h, i, 1) IN '0123456789abcdef') * 2 - 17) AS DOUBLE) AS x FROM g, (SELECT unnest(range(1, {records.DIMENSIONS + 1})) AS i) GROUP BY k, i),
+    s AS (SELECT k, sqrt(sum(x * x)) AS size FROM d GROUP BY k)
+    SELECT CAST(k AS VARCHAR) AS key, CASE WHEN k % 2 = 0 THEN 'cache' ELSE 'model' END AS source, i AS place, round(x / size, 9) AS x FROM d JOIN s USING (k)""",
+)
 def bat_11(spark, sf_dir):
     """Vectors of half of the names, then of all."""
     cache = shared_path(spark, "vectors")
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("text"))
-    records.embedded(names.where(F.col("key").cast("long") % 2 == 0), cache, records.letters)
-    found = records.embedded(names, cache, records.letters)
-    total = F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x))
-    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), total.alias("letters"))
+    records.embedded(names.where(F.col("key").cast("long") % 2 == 0), cache, records.subwords)
+    found = records.embedded(names, cache, records.subwords).select("key", "source", F.posexplode("vector").alias("place", "x"))
+    return found.select("key", "source", (F.col("place") + 1).cast("long").alias("place"), F.round("x", 9).alias("x"))
 
 
 @query("bat_12", "SELECT event_id, CAST(least(event_id % 4 + 1, 3) AS INTEGER) AS attempts, CASE WHEN event_id % 4 < 3 THEN 's' || (event_id % 4) END AS synset_id FROM events")

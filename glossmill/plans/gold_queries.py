@@ -129,8 +129,8 @@ def jn_8(spark, sf_dir):
 
 
 def _votes(spark, sf_dir) -> DataFrame:
-    """Outputs of three judges for every order: its first line items."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    """Outputs of the judges of every order: its line items."""
+    rows = table(spark, sf_dir, "lineitem")
     flags = F.when(F.col("l_discount") > 0.095, F.array(F.lit("needs_more_context"))).otherwise(F.expr("cast(array() as array<string>)"))
     return rows.select(
         F.col("l_orderkey").alias("example_id"),
@@ -142,7 +142,7 @@ def _votes(spark, sf_dir) -> DataFrame:
 
 
 _VOTES = """
-v AS (SELECT l_orderkey AS example_id, l_linenumber AS judge, l_returnflag AS synset_id, l_quantity / 50 AS confidence, l_discount > 0.095 AS flagged FROM lineitem WHERE l_linenumber <= 3),
+v AS (SELECT l_orderkey AS example_id, l_linenumber AS judge, l_returnflag AS synset_id, l_quantity / 50 AS confidence, l_discount > 0.095 AS flagged FROM lineitem),
 w AS (SELECT *, count(*) OVER (PARTITION BY example_id, synset_id) AS votes, count(*) OVER (PARTITION BY example_id) AS n, avg(confidence) OVER (PARTITION BY example_id, synset_id) AS mean FROM v),
 x AS (SELECT *, max(votes) OVER (PARTITION BY example_id) AS top FROM w),
 y AS (SELECT example_id, max(n) AS n, max(top) AS top, count(DISTINCT CASE WHEN votes = top THEN synset_id END) AS ties, max(CAST(flagged AS INT)) = 1 AS flagged, max(confidence) AS most FROM x GROUP BY example_id),

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from glossmill import lexicon
 from glossmill.functions import scores
+from glossmill.functions.text import LETTERS
 from glossmill.operators import constructions, examples, families, gold, mwe, qc, tokens
 from glossmill.plans import oracle
 from glossmill.plans.base import Registry, table
 from glossmill.plans.card_queries import _CARDS, _cards, _results
-from glossmill.plans.text_queries import _chosen, walk_sql
+from glossmill.plans.text_queries import PHRASES, _chosen, phrases, walk_sql
+from glossmill.plans.vocabulary_queries import TOP_K, TOP_K_ROWS
 from glossmill.sources import books, tables
 from glossmill.sources.shared import shared_path
 
@@ -93,7 +95,7 @@ def src_15(spark, sf_dir):
 def snk_2(spark, sf_dir):
     path = shared_path(spark, "deck")
     rows = table(spark, sf_dir, "part").withColumn("example", F.lit(None).cast("string"))
-    examples.anki(rows, "p_name", "deck").coalesce(1).write.csv(path, header=True)
+    examples.write_deck(examples.anki(rows, "p_name", "deck"), path)
     return spark.read.csv(path, header=True)
 
 
@@ -107,17 +109,17 @@ def snk_4(spark, sf_dir):
     return tables.unfinished(events, tables.read_json_lines(spark, path, "event_id long"), "event_id")
 
 
-@query("txt_13", f"WITH {oracle.TOKENS} SELECT sentence_id, position, surface FROM tok JOIN sent USING (sentence_id) WHERE is_alpha AND contains(sentence, surface)")
+@query(
+    "txt_13",
+    f"WITH {oracle.TOKENS} SELECT sentence_id, position, surface || '§' AS surface, CAST(0 AS INTEGER) AS start, CAST(length(surface) + 1 AS INTEGER) AS stop FROM tok WHERE is_alpha AND position % 7 = 3 AND length(surface) > 0",
+)
 def txt_13(spark, sf_dir):
-    """Spans whose text is the word; every word stands in its sentence, so all rows are left."""
+    """Words whose span does not hold them: every seventh is spoilt, and no other."""
     docs = table(spark, sf_dir, "documents")
     sents = tokens.sentences(docs)
     rows = tokens.RegexAnnotator().tokens(sents).where("is_alpha").join(sents.select("sentence_id", "sentence"), "sentence_id")
-    span = gold.char_span(F.col("sentence"), F.col("surface"), F.col("position"))
-    found = rows.withColumn("span", span).where(
-        F.substring(F.col("sentence"), F.col("span.start") + 1, F.col("span.stop") - F.col("span.start")) == F.col("surface")
-    )
-    return found.select("sentence_id", "position", "surface")
+    spoilt = F.when(F.col("position") % 7 == 3, F.concat("surface", F.lit("§"))).otherwise(F.col("surface"))
+    return gold.span_mismatches(rows.withColumn("surface", spoilt)).select("sentence_id", "position", "surface", "span.*")
 
 
 _SENSES = [(w, p, f"{w}.{p}.0{i}", i) for w, p, n in (("the", "n", 3), ("of", "n", 1), ("and", "v", 2)) for i in range(1, n + 1)]
@@ -173,24 +175,26 @@ def fn_33(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(cost, 9).alias("cost"))
 
 
-@query("fn_36", f"WITH {_CARDS} SELECT lemma, len(kept) > 0 AND event_id % 11 <> 0 AS good, count(*) AS n FROM cards GROUP BY ALL")
+@query("fn_36", f"WITH {_CARDS} SELECT lemma, len(kept) > 0 AND event_id % 11 <> 0 AND event_id % 2 = 0 AS good, count(*) AS n FROM cards GROUP BY ALL")
 def fn_36(spark, sf_dir):
-    filled = [F.coalesce(F.trim(c), F.lit("")) != "" for c in families.REQUIRED]
-    good = filled[0] & filled[1] & filled[2] & (F.size("examples") > 0) & F.col("selected_example_indices").isNotNull()
+    """Nouns' indices are cleaned before, verbs' still hold a text and fail."""
+    fields = {c: F.col(c) for c in ("lemma", *families.REQUIRED)}
+    raw = F.col("selected_example_indices")
+    cleaned = F.when(F.col("part_of_speech") == "noun", F.to_json(families.indices(raw))).otherwise(raw)
+    good = qc.valid_schema(fields, F.col("examples"), cleaned)
     return _cards(spark, sf_dir).groupBy("lemma", good.alias("good")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fn_37", f"WITH {_CARDS} SELECT lemma, count(*) AS n FROM cards WHERE len(kept) > 0 GROUP BY lemma")
 def fn_37(spark, sf_dir):
-    hit = F.exists("examples", lambda x: F.contains(F.lower(x), F.lower("lemma")))
+    hit = F.exists("examples", lambda x: qc.lemma_in_text(F.col("lemma"), x))
     return _cards(spark, sf_dir).where(hit).groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("agg_12", f"WITH {_CARDS} SELECT round(count(*) FILTER (error IS NOT NULL) / CAST(count(*) AS DOUBLE), 9) AS rate, count(*) FILTER (error IS NOT NULL) / CAST(count(*) AS DOUBLE) <= 0.25 AS passed FROM ev")
 def agg_12(spark, sf_dir):
     parsed = families.parse(_results(spark, sf_dir))
-    rate = F.count_if(F.col("error").isNotNull()) / F.count(F.lit(1))
-    return parsed.agg(F.round(rate, 9).alias("rate"), (rate <= 0.25).alias("passed"))
+    return qc.share_check(parsed, F.col("error").isNotNull(), 0.25).select(F.round("rate", 9).alias("rate"), "passed")
 
 
 @query("flt_15", f"WITH {_CARDS} SELECT lemma, 'index below 1' AS problem, count(*) AS n FROM cards WHERE r = 0 GROUP BY lemma")
@@ -289,22 +293,23 @@ def rnk_15(spark, sf_dir):
     "bat_8",
     f"""WITH {oracle.TOKENS}, {_SENSES_SQL}, n AS (SELECT lemma, pos, count(*) AS k FROM se GROUP BY ALL)
     SELECT book || ':' || sentence_id || ':' || position AS example_id, book AS source_id, CAST(k AS INTEGER) AS sense_count, CASE WHEN k <= 1 THEN 1.0 ELSE least(2.0 / k, 0.5) END AS baseline_margin
-    FROM (SELECT book, sentence_id, position, lemma, CASE pos WHEN 'DET' THEN 'n' WHEN 'CCONJ' THEN 'v' ELSE 'n' END AS pos FROM tok WHERE lemma IN ('the', 'of', 'and')) t JOIN n USING (lemma, pos) WHERE k >= 2""",
+    FROM (SELECT book, sentence_id, position, lemma, CASE pos WHEN 'DET' THEN 'n' WHEN 'CCONJ' THEN 'v' ELSE 'n' END AS pos FROM tok) t JOIN n USING (lemma, pos) WHERE k >= 2""",
 )
 def bat_8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     pos = F.when(F.col("pos") == "CCONJ", "v").otherwise("n")
-    rows = tokens.tokenize(docs).where("lemma in ('the', 'of', 'and')").withColumn("pos", pos).withColumn("synset_id", F.concat_ws(".", "lemma", "pos", F.lit("01")))
+    rows = tokens.tokenize(docs).withColumn("pos", pos).withColumn("synset_id", F.concat_ws(".", "lemma", "pos", F.lit("01")))
     senses = spark.createDataFrame(_SENSES, "lemma string, pos string, synset_id string, rank int").drop("rank")
     found = gold.extract(rows, tokens.sentences(docs), senses)
     return found.select("example_id", "source_id", "sense_count", "baseline_margin")
 
 
-@query("jn_3", "SELECT c_custkey, max(o_totalprice) AS best FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+@query("jn_3", f"WITH {PHRASES}, ps AS (SELECT phrasal, count(*) AS book_freq, 'phrasal_verb' AS item_type FROM phr GROUP BY phrasal), pairs AS (SELECT phrasal AS item, sentence, sentence_id AS ord FROM phr JOIN sent USING (sentence_id) WHERE phrasal <> 'be of') {TOP_K}, ex AS ({TOP_K_ROWS}) SELECT phrasal, book_freq, item_type, example FROM ps LEFT JOIN ex ON item = phrasal")
 def jn_3(spark, sf_dir):
-    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    best = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("best"))
-    return customers.select("c_custkey").join(best, "c_custkey", "left")
+    """Statistics of phrases with their examples; the sentences of one phrase are not at hand."""
+    found = phrases(spark, sf_dir)
+    sentences = tokens.sentences(table(spark, sf_dir, "documents"))
+    return examples.for_phrases(mwe.phrase_stats(found), found.where("phrasal <> 'be of'"), sentences)
 
 
 @query("jn_6", f"WITH {oracle.SENTENCES} SELECT source, count(*) AS n FROM sent JOIN documents ON book = CAST(doc_id AS VARCHAR) WHERE length(sentence) > 40 GROUP BY source")
@@ -314,8 +319,10 @@ def jn_6(spark, sf_dir):
     return found.join(docs.select(F.col("doc_id").cast("string").alias("book"), "source"), "book").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("flt_17", "SELECT doc_id FROM documents WHERE contains(text, '882') OR contains(lower(text), 'theander')")
+@query(
+    "flt_17",
+    f"""SELECT doc_id, 'part' AS test, '882' AS value FROM documents WHERE contains(text, '882') UNION ALL SELECT doc_id, 'part', 'theander' FROM documents WHERE contains(text, 'theander') UNION ALL SELECT doc_id, 'equal', text FROM documents WHERE text = ''
+    UNION ALL SELECT doc_id, 'word', 'and' FROM documents WHERE regexp_matches(text, '(?i)(?:^|[^0-9_{LETTERS}])and(?:[^0-9_{LETTERS}]|$)')""",
+)
 def flt_17(spark, sf_dir):
-    text = F.col("text")
-    hit = F.contains(text, F.lit("882")) | F.contains(F.lower(text), F.lit("theander"))
-    return table(spark, sf_dir, "documents").where(hit).select("doc_id")
+    return qc.findings(table(spark, sf_dir, "documents"), "doc_id", "text", parts=("882", "theander"), words=("and",), equal=("",))

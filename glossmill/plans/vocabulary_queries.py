@@ -72,7 +72,7 @@ def rnk_1(spark, sf_dir):
 @query("flt_3", f"WITH {oracle.FREQUENCY}, {_KNOWN_SQL} SELECT freq.lemma, book_freq FROM freq LEFT JOIN known USING (lemma) WHERE coalesce(status, '') NOT IN ('known')")
 def flt_3(spark, sf_dir):
     found = stats.lemma_frequency(_tokens(spark, sf_dir))
-    return known.by_status(found, F.broadcast(_known(spark)), ("known",)).select("lemma", "book_freq")
+    return known.by_status(found, _known(spark), ("known",)).select("lemma", "book_freq")
 
 
 @query("flt_4", f"WITH {oracle.FREQUENCY}, {_KNOWN_SQL} SELECT freq.lemma, book_freq FROM freq LEFT JOIN known USING (lemma) WHERE coalesce(status, '') NOT IN ('known', 'ignore')")
@@ -128,7 +128,7 @@ def rnk_8(spark, sf_dir):
     return mwe.deck(mwe.candidates(mwe.phrase_stats(found), found), top_k=5).select("headword", "count")
 
 
-_TOP_K = """
+TOP_K = """
 , a AS (SELECT *, length(sentence) AS l, abs(length(sentence) - 100.0) AS d FROM pairs WHERE sentence <> ''),
 b AS (SELECT *, l BETWEEN 50 AND 150 AS ina, l BETWEEN 20 AND 300 AS inb FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY item, ina ORDER BY d, ord) AS ra, row_number() OVER (PARTITION BY item, inb ORDER BY d, ord) AS rb,
@@ -137,9 +137,9 @@ d AS (SELECT *, ina AND ra <= 3 AS pa, inb AND rb <= 3 - na AS pb, least(3 - na,
 e AS (SELECT *, max(CAST(pa OR pb AS INT)) OVER (PARTITION BY item, sentence) = 1 AS used FROM d),
 f AS (SELECT *, NOT used AND row_number() OVER (PARTITION BY item, used ORDER BY d, ord) <= 3 - na - nb AS pc FROM e),
 g AS (SELECT item, 1 AS p, d, ord, sentence FROM f WHERE pa UNION ALL SELECT item, 2, d, ord, sentence FROM f WHERE pb UNION ALL SELECT item, 3, d, ord, sentence FROM f WHERE pc),
-h AS (SELECT *, row_number() OVER (PARTITION BY item, sentence ORDER BY p, d, ord) AS again FROM g)
-SELECT item, string_agg(sentence, ' <br><br> ' ORDER BY p, d, ord) AS example FROM h WHERE again = 1 GROUP BY item
-"""
+h AS (SELECT *, row_number() OVER (PARTITION BY item, sentence ORDER BY p, d, ord) AS again FROM g)"""
+TOP_K_ROWS = "SELECT item, string_agg(sentence, ' <br><br> ' ORDER BY p, d, ord) AS example FROM h WHERE again = 1 GROUP BY item"
+_TOP_K = f"{TOP_K} {TOP_K_ROWS}"
 
 
 @query("rnk_3", f"WITH {oracle.SENTENCES}, pairs AS (SELECT book AS item, sentence, sentence_id AS ord FROM sent) {_TOP_K}")
@@ -221,7 +221,7 @@ def flt_8(spark, sf_dir):
 @query("jn_1", f"WITH {oracle.FREQUENCY}, {_KNOWN_SQL} SELECT freq.lemma, status FROM freq LEFT JOIN known USING (lemma)")
 def jn_1(spark, sf_dir):
     found = stats.lemma_frequency(_tokens(spark, sf_dir))
-    return found.join(F.broadcast(_known(spark).select("lemma", "status")), "lemma", "left").select("lemma", "status")
+    return found.join(_known(spark).select("lemma", "status"), "lemma", "left").select("lemma", "status")
 
 
 @query("jn_5", f"WITH {oracle.TOKENS} SELECT sentence, count(*) AS n FROM tok JOIN sent USING (sentence_id) GROUP BY sentence_id, sentence")
@@ -290,5 +290,5 @@ def agg_7(spark, sf_dir):
 )
 def plan_vocabulary(spark, sf_dir):
     """Tokens to ranked candidates: scores are taken before known words go."""
-    found = known.by_status(_ranked(spark, sf_dir), F.broadcast(_known(spark)))
+    found = known.by_status(_ranked(spark, sf_dir), _known(spark))
     return stats.top(found, 100).select("lemma", "book_freq", F.round("score", 9).alias("score"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill import lexicon
 from glossmill.operators.gold import CONFIDENT
+from glossmill.sources.shared import exists
 
 LABEL = "synset_id string, confidence double, flags array<string>, raw_text string, cached_tokens int, judge_count int"
 
@@ -32,17 +34,69 @@ def needs_referee() -> Column:
     return (F.coalesce("confidence", F.lit(0.0)) < CONFIDENT) | flagged
 
 
-def letters(text: Column) -> Column:
-    """A vector of how often each letter stands in a text; a stand-in for a model."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("double") for c in map(chr, range(97, 123))])
+#: Numbers of a subword vector: one for each digit of a gram's hash.
+DIMENSIONS = 32
+
+
+def subwords(text: Column) -> Column:
+    """A unit vector of a text from the three-letter pieces of its words, by a random projection.
+
+    Each piece, with marks at a word's ends, is hashed, and each digit of the hash
+    adds to one number of the vector: the digits are the random directions, the
+    same on every machine, and nothing is trained or stored.  Texts that share
+    pieces come out near, and a text without words is all zeros.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+    def pieces(word: Column) -> Column:
+        marked = F.concat(F.lit("<"), word, F.lit(">"))
+        return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.md5(F.substr(marked, i, F.lit(3))))
+
+    hashes = F.flatten(F.transform(words, pieces))
+
+    def number(hashed: Column, place: Column) -> Column:
+        return F.instr(F.lit("0123456789abcdef"), F.substr(hashed, place, F.lit(1))) * 2 - 17
+
+    def summed(all_hashes: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.lit(DIMENSIONS)), lambda d: F.aggregate(all_hashes, F.lit(0), lambda a, h: a + number(h, d)).cast("double")
+        )
+
+    def unit(vector: Column) -> Column:
+        size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+        return F.when(size > 0, F.transform(vector, lambda x: x / size)).otherwise(vector)
+
+    # Bound in lambdas, so that pieces are hashed once and summed once.
+    return F.element_at(F.transform(F.transform(F.array(hashes), summed), unit), 1)
+
+
+def by_model(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[Column], Column]:
+    """``embed`` for ``embedded`` by a model that each worker loads once and calls with batches of texts.
+
+    ``load`` is a function of a module; it returns one from texts to vectors.
+    """
+
+    def embed(text: Column) -> Column:
+        @F.pandas_udf("array<double>")
+        def run(texts: pd.Series) -> pd.Series:
+            name = f"{load.__module__}.{load.__qualname__}"
+            if name not in _LOADED:
+                _LOADED[name] = load()
+            return pd.Series(list(_LOADED[name](texts.fillna("").tolist())))
+
+        return run(text)
+
+    return embed
+
+
+#: Models of this worker.
+_LOADED: dict = {}
 
 
 def embedded(texts: DataFrame, path: str, embed: Callable[[Column], Column]) -> DataFrame:
     """(key, vector, source): vectors of ``texts`` (key, text), made only where the store at ``path`` has none and then kept there."""
     spark = texts.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    there = exists(spark, path)
     named = texts.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     kind = "digest string, vector array<double>, round int"
     have = spark.read.schema(kind).parquet(path) if there else spark.createDataFrame([], kind)

@@ -7,6 +7,7 @@ import json
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 from typing import Protocol
 
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 
 from glossmill.schemas import KNOWN_WORDS
 
-
 #: Version that written cards and batches have.
 SCHEMA_VERSION = "1"
 
@@ -49,7 +49,8 @@ class CsvKnownWords:
         return rows.withColumns(missing)
 
     def save(self, words: DataFrame) -> None:
-        words.coalesce(1).write.mode("overwrite").csv(self.path, header=True)
+        """The words in place of what is stored, one file a task; they may come from this store."""
+        replace_files(self.spark, self.path, lambda draft: words.write.csv(draft, header=True))
 
 
 def known_words(spark: SparkSession, source: str, sheets=None) -> KnownWordsSource:
@@ -69,16 +70,15 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def write_json_lines(rows: DataFrame, path: str) -> None:
-    """JSON lines in place of what is at ``path``, whole or not at all.
+def replace_files(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """What ``write`` writes, in place of what is at ``path``, whole or not at all.
 
-    Lines are written beside their place and renamed into it, so ``rows`` may come from there.
+    Files are written beside their place and renamed into it, so what is written may be read from there.
     """
-    spark = rows.sparkSession
     of = spark._jvm.org.apache.hadoop.fs.Path
     fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
     draft, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    rows.write.json(draft)
+    write(draft)
     there = fs.exists(of(path))
     if there:
         fs.rename(of(path), of(old))
@@ -87,6 +87,11 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
         fs.delete(of(old), True)
 
 
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """JSON lines in place of what is at ``path``, whole or not at all; ``rows`` may come from there."""
+    replace_files(rows.sparkSession, path, rows.write.json)
+
+
 def write_versioned(rows: DataFrame, path: str) -> None:
     """JSON lines with the current schema_version, whatever version the rows had."""
     write_json_lines(rows.withColumn("schema_version", F.lit(SCHEMA_VERSION)), path)

@@ -229,3 +229,76 @@ def test_books_without_text_are_errors(spark):
             books.epub_chapters(spark.createDataFrame([("bad.epub", content)], "path string, content binary")).collect()
     navigation = books.pack_epub([("nav.xhtml", "<p>list</p>"), ("a b.xhtml", "<p>text</p>")], ["a b.xhtml"])
     assert books.epub_pages(navigation) == [("OPS/a b.xhtml", "text"), ("OPS/nav.xhtml", "list")]
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_schema_of_a_card(spark):
+    def good(indices, text="d", examples=("e",)):
+        made = F.array(*map(F.lit, examples)) if examples else F.expr("cast(array() as array<string>)")
+        return value(spark, qc.valid_schema({"definition_en": F.lit(text), "lemma": F.lit("w")}, made, F.lit(indices)))
+
+    assert good("[1, 2]") and good("[]") and good(" [-3] ")
+    assert not any((good('["1"]'), good("[1.5]"), good(None), good("1"), good("[1]", " "), good("[1]", None), good("[1]", "d", ())))
+
+
+def test_lemma_in_text(spark):
+    def held(lemma, text):
+        return value(spark, qc.lemma_in_text(F.lit(lemma), F.lit(text)))
+
+    assert held("go", "She went home") and held("act", "a reaction") and held("Try", "he tried") and not held("go", "He came") and held("go", None) is False
+
+
+def test_share_and_findings(spark):
+    rows = spark.createDataFrame([(1, "a 882"), (2, ""), (3, "the cat's 1882"), (4, None)], "k int, t string")
+    got = qc.share_check(rows, F.col("t") == "", 0.2).first()
+    assert (got["total"], got["failures"], got["rate"], got["passed"]) == (4, 1, 0.25, False)
+    none = qc.share_check(rows.where("false"), F.col("t") == "", 0.0).first()
+    assert (none["total"], none["failures"], none["rate"], none["passed"]) == (0, 0, 0.0, True)
+    found = qc.findings(rows, "k", "t", parts=("882",), words=("cat", "the"), equal=("",)).collect()
+    assert sorted(map(tuple, found)) == [(1, "part", "882"), (2, "equal", ""), (3, "part", "882"), (3, "word", "cat"), (3, "word", "the")]
+
+
+def test_spans_that_miss_their_word(spark):
+    rows = spark.createDataFrame([("a cat sat", "cat", 1), ("a cat sat", "dog", 1), (None, "cat", 0), ("", "x", 0)], "sentence string, surface string, position int")
+    assert sorted(str(r["surface"]) for r in gold.span_mismatches(rows).collect()) == ["cat", "dog", "x"]
+
+
+def shout():
+    return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+
+def test_vectors_of_near_texts_are_near(spark):
+    from glossmill import records
+
+    texts = ["counting the old lamps", "counted the old lamp", "zebra quickly", "", None, "!!"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string")
+    store = shared_path(spark, "vectors")
+    got = {r["key"]: r["vector"] for r in records.embedded(rows, store, records.subwords).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(got[a], got[b]))
+    assert all(len(v) == records.DIMENSIONS for v in got.values()) and abs(dot("0", "0") - 1) < 1e-9
+    assert dot("0", "1") > dot("0", "2") + 0.2 and got["3"] == got["4"] == got["5"] == [0.0] * records.DIMENSIONS
+    again = records.embedded(rows.where("key = '1'"), store, records.subwords).first()
+    assert again["source"] == "cache" and again["vector"] == got["1"]
+    made = {r["key"]: r["vector"] for r in records.embedded(rows, shared_path(spark, "other"), records.by_model(shout)).collect()}
+    assert made["2"] == [13.0, 1.0] and made["4"] == [0.0, 1.0]
+
+
+def test_phrases_with_examples(spark):
+    stats = spark.createDataFrame([("give up", 3), ("look up", 1)], "phrasal string, book_freq int")
+    found = spark.createDataFrame([("give up", 1), ("give up", 1), ("give up", 2)], "phrasal string, sentence_id int")
+    sents = spark.createDataFrame([(1, "x" * 100), (2, "y" * 99), (3, "z")], "sentence_id int, sentence string")
+    got = {r["phrasal"]: r["example"] for r in examples.for_phrases(stats, found, sents).collect()}
+    assert got == {"give up": "x" * 100 + examples.JOINER + "y" * 99, "look up": None}
+
+
+def test_known_words_may_come_from_their_own_store(spark):
+    from glossmill.sources import tables
+
+    store = tables.known_words(spark, shared_path(spark, "known"))
+    assert not store.exists()
+    store.save(spark.createDataFrame([(f"w{i}", "known") for i in range(50)], "lemma string, status string").repartition(4))
+    store.save(store.load().where("lemma <> 'w7'").withColumn("status", F.lit("learning")))
+    assert store.load().count() == 49 and store.load().select("status").distinct().collect()[0][0] == "learning"
