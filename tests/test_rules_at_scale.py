@@ -266,13 +266,12 @@ def test_spans_that_miss_their_word(spark):
     assert sorted(str(r["surface"]) for r in gold.span_mismatches(rows).collect()) == ["cat", "dog", "x"]
 
 
-def shout():
-    return lambda texts: [[float(len(t)), 1.0] for t in texts]
-
-
 def test_vectors_of_near_texts_are_near(spark):
     from glossmill import records
 
+    def shout():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
     texts = ["counting the old lamps", "counted the old lamp", "zebra quickly", "", None, "!!"]
     rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string")
     store = shared_path(spark, "vectors")
