@@ -96,7 +96,7 @@ def test_retries_come_from_the_cache_and_replace_cards_only_if_good(spark, tmp_p
 
 def test_blocks_count_on_where_the_one_before_ended(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"The word{i} ran.") for i in range(7)], "doc_id long, text string")
-    blocks = families.example_blocks(tokens.tokenize(docs), tokens.sentences(docs), 3).where("lemma = 'ran'")
+    blocks = families.example_blocks(tokens.tokenize(docs), tokens.sentences(docs), 3).where("lemma = 'run'")
     ask = lambda requests: requests.select("key", F.lit(response(card(indices=[1, 3, 4]))).alias("response"))
     got = batch.cluster(blocks, ask, f"file://{tmp_path}/c").collect()
     assert sorted((r["block"], r["indices"]) for r in got) == [(0, [1, 3]), (1, [4, 6]), (2, [7])]
