@@ -39,7 +39,7 @@ import sys
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,7 @@ WINDOW = 64
 #: The longest contraction that the splitting pattern looks ahead for, and one.
 GUARD = 4
 #: Words that a worker remembers, and bytes of a text that are split at a time.
-KNOWN_WORDS, SLICE = 1 << 20, 1 << 20
+KNOWN_WORDS, SLICE = 1 << 19, 1 << 20
 #: Rows of a batch that are worked on at once, for memory.
 ROWS = 64
 
@@ -101,10 +101,19 @@ class Bpe:
             raise ValueError(f"{path} does not drop white space")
         if any(_SPACE.search(t["content"].encode()) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError(f"{path} has added tokens that reach across white space")
-        self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
+        self.path = path
         self.cut_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
         self.words = Words(self.whole)
 
+    @cached_property
+    def bare(self):
+        """The tokenizer without its normaliser and added tokens, for texts that are normalised; made when a long stretch is met."""
+        from tokenizers import Tokenizer
+
+        with open(self.path, encoding="utf-8") as source:
+            spec = json.load(source)
+        return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
+
     def ids(self, text: str) -> bytes:
         """Ids of a text whose stretches without white space are short."""
         raw = text.encode()
