@@ -30,6 +30,15 @@ bit of a value with the other's anchor in some block: with 19 differing bits, 99
 of 1,000.  These links only name candidates: an edge is a pair whose shingle sets
 have a Jaccard likeness of 0.8 or more, counted in full.
 
+Candidates are counted pair by pair, in rounds, and no task holds a group.  A text
+asks for the first two of its linked texts that follow a place of its own on the
+circle of names, so that no text is asked for by many, and all anchors agree on
+whom it asks for.  Pairs found alike join components; a next round runs over the
+texts that have more links to other components, with four times as many pairs
+each.  A group of thousands that are all alike is joined by some two pairs a
+text; links that all fail are counted one by one.  The rounds end when no text
+has a link to another component that was not counted, so none is left out.
+
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero and links like any other; fewer words than a shingle form one
 shingle of all of them; repeated rows share their component; a component is
@@ -39,14 +48,13 @@ named by its smallest non-null doc_id; an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import materialize, parallelism, small_batches, text_or_empty
@@ -60,16 +68,15 @@ BLOCKS = {1: ((22, 21, 21),), 2: ((16, 16, 16, 16), (16, 16, 16, 16))}
 #: Bits of 128 that differ at most between candidates of ``keep_one``, and bits of a block by which their anchors are found.
 NEAR_BITS = 32
 NEAR_REACH = 1
-#: Bits of 128 beyond which no pair of a group of candidates is counted; six deviations above a likeness of 0.8.
-FAR_BITS = 44
+#: Pairs that a text asks for in the first round, and by how much they grow in each further one.
+FIRST_PAIRS, MORE_PAIRS = 2, 4
 #: Likeness of texts of which ``keep_one`` keeps one, as a fraction.
 LIKE = (4, 5)
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
 _CHUNK = 1 << 15
-#: Shingles that are counted at once, and bytes of a group's sets that are held in memory.
-_COUNTED = 1 << 20
-_HELD = 1 << 26
+#: Pairs of fingerprints that are compared at once.
+_COMPARED = 1 << 20
 #: Bits of the map that picks texts to read again.
 _SLOTS = 1 << 26
 
@@ -145,9 +152,9 @@ def _text_key():
 
 
 def set_prints(docs: DataFrame, words_per_shingle: int, size: int) -> DataFrame:
-    """(doc_id, key, node, cell, f0, ..) for every row: a key of its text and names of its shingle set and fingerprint."""
+    """(doc_id, key, node, f0, ..) for every row: a key of its text, a name of its shingle set and its fingerprint."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "key", "node", "cell", *_prints(size)]
+    names = ["doc_id", "key", "node", *_prints(size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +164,7 @@ def set_prints(docs: DataFrame, words_per_shingle: int, size: int) -> DataFrame:
                 nodes.append(set_node(own))
                 raw.append(set_fingerprint(own, size))
             fps = np.frombuffer(b"".join(raw), ">i8").astype(np.int64).reshape(-1, size)
-            columns = [pa.array(nodes, pa.int64()), pa.array(print_nodes(fps))]
+            columns = [pa.array(nodes, pa.int64())]
             columns += [pa.array(np.ascontiguousarray(fps[:, i])) for i in range(size)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=names)
 
@@ -340,74 +347,124 @@ def components(docs: DataFrame, words_per_shingle: int = 4, threshold: int = 4,
     return prints.join(by_print, words).select("doc_id", *words, "component_id")
 
 
-def like_roots(prints: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each set of a group the place of one set of its component, edges being pairs of likeness ``LIKE``.
+def first_linked(
+    nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, home: np.ndarray, threshold: int, most: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each home among ``nodes`` (unsigned, in order) the first ``most`` links to nodes of another root.
 
-    ``flat`` has the sets one after the other, ``ends`` where each ends.  A pair
-    already joined is not counted.  Sets of the largest component are left out as
-    long as others are there, since each pair is seen from either side.
+    Links are taken round the circle of names from a place that the home's name
+    gives.  Places (a, b) of the pairs, and for every node whether it has a link and
+    whether it has more of them than were taken.
     """
-    n = len(ends)
-    starts = np.concatenate(([0], ends[:-1]))
-    sizes = ends - starts
-    root, todo = np.arange(n), np.ones(n, bool)
-    words = [np.ascontiguousarray(prints[:, k]).view(np.uint64) for k in range(prints.shape[1])]
-    up, down = LIKE
-    while True:
-        rest = np.nonzero(todo & (root != np.bincount(root).argmax()))[0]
-        if not len(rest):
-            return root
-        i = rest[0]
-        todo[i] = False
-        own = flat[starts[i] : ends[i]]
-        apart = sum(np.bitwise_count(w ^ w[i]).astype(np.int64) for w in words)
-        other = (root != root[i]) & (apart <= FAR_BITS) & (sizes * down >= sizes[i] * up) & (sizes[i] * down >= sizes * up)
-        other = np.nonzero(other)[0]
-        if not len(own) or not len(other):
+    n = len(nodes)
+    linked, more, pairs = np.zeros(n, bool), np.zeros(n, bool), []
+    words = [np.ascontiguousarray(fps[:, i]).view(np.uint64) for i in range(fps.shape[1])]
+    homes, step = np.nonzero(home)[0], max(1, _COMPARED // max(1, n))
+    for at in range(0, len(homes), step):
+        rows = homes[at : at + step]
+        close = roots[rows][:, None] != roots[None, :]
+        if not close.any():
             continue
-        parts = np.cumsum(sizes[other]) // _COUNTED
-        for part in np.split(other, np.nonzero(np.diff(parts))[0] + 1):
-            met = np.concatenate([flat[starts[j] : ends[j]] for j in part])
-            at = np.minimum(np.searchsorted(own, met), len(own) - 1)
-            shared = np.add.reduceat((own[at] == met).astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
-            joined = part[shared * down >= (sizes[i] + sizes[part] - shared) * up]
-            root[np.isin(root, root[joined])] = root[i]
-
-
-class _Group:
-    """The sets of one group as they arrive; those beyond some bytes are kept in a file."""
-
-    def __init__(self):
-        self.nodes, self.prints, self.sizes, self.held, self.bytes, self.file = [], [], [], [], 0, None
-
-    def add(self, node: int, fingerprint: np.ndarray, raw: bytes) -> None:
-        if self.nodes and self.nodes[-1] == node:
-            return
-        self.nodes.append(node)
-        self.prints.append(fingerprint)
-        self.sizes.append(len(raw) // 8)
-        self.held.append(raw)
-        self.bytes += len(raw)
-        if self.bytes > _HELD:
-            self._flush()
-
-    def _flush(self) -> None:
-        self.file = self.file or tempfile.TemporaryFile()
-        self.file.write(b"".join(self.held))
-        self.held, self.bytes = [], 0
-
-    def done(self) -> pa.RecordBatch:
-        if self.file:
-            self._flush()
-            self.file.flush()
-            flat = np.memmap(self.file, np.uint64, "r")
-        else:
-            flat = np.frombuffer(b"".join(self.held), np.uint64)
-        nodes = np.array(self.nodes, np.int64)
-        root = like_roots(np.stack(self.prints), flat, np.cumsum(self.sizes))
-        if self.file:
-            self.file.close()
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+        apart = np.bitwise_count(words[0][rows][:, None] ^ words[0][None, :])
+        for w in words[1:]:
+            apart += np.bitwise_count(w[rows][:, None] ^ w[None, :])
+        close &= apart <= threshold
+        left, right = np.nonzero(close)
+        linked[rows[left]] = linked[right] = True
+        count = np.bincount(left, minlength=len(rows))
+        more[rows] = count > most
+        before = right < np.searchsorted(nodes, mix(nodes[rows]))[left]
+        skipped = np.bincount(left[before], minlength=len(rows))
+        place = np.arange(len(left)) - (np.cumsum(count) - count)[left]
+        taken = (place - skipped[left]) % count[left] < most
+        pairs.append((rows[left[taken]], right[taken]))
+    a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    return a, b, linked, more
+
+
+def neighbours(live: DataFrame, threshold: int, size: int, reach: int, most: int) -> DataFrame:
+    """(a, b, far, more): pairs that the nodes of ``live`` ask for, and every linked node as ``a`` without a ``b``.
+
+    ``live`` has node, root, open and the words of the fingerprint.  Open nodes ask at
+    each of their homes for their first ``most`` links to nodes of another root;
+    ``far`` orders them, ``more`` tells that a home had more of them.
+    """
+    spark = live.sparkSession
+    small_batches(spark)
+    words = _prints(size)
+    sent = ["node", "root", *words]
+    names = ["anchor", *sent, "home"]
+
+    def copy_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(threshold, size, reach)
+        for batch in batches:
+            *own, asks = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for keys, rows, home in anchors.replicas(np.stack(own[2:], axis=1)):
+                columns = [pa.array(keys), *(pa.array(f[rows]) for f in own), pa.array(home & asks[rows])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def ask(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        nodes, roots, *fps, home = (np.concatenate(x) for x in zip(*parts))
+        nodes = nodes.view(np.uint64)
+        order = np.argsort(nodes)
+        nodes, fps = nodes[order], np.stack(fps, axis=1)[order]
+        a, b, linked, more = first_linked(nodes, fps, roots[order], home[order], threshold, most)
+        far = ((nodes[b] - mix(nodes[a])) >> np.uint64(1)).view(np.int64)
+        named, held = nodes.view(np.int64), np.nonzero(linked)[0]
+        none = pa.nulls(len(held), pa.int64())
+        pairs = [pa.array(named[a]), pa.array(named[b]), pa.array(far), pa.array(np.zeros(len(a), bool))]
+        alone = [pa.array(named[held]), none, none, pa.array(more[held])]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(pairs, alone)], names=["a", "b", "far", "more"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            keys, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = np.nonzero(np.diff(keys))[0] + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
+                if lo == hi:
+                    continue
+                if held and keys[lo] != key:
+                    yield ask(held)
+                    held = []
+                key = keys[lo]
+                held.append([c[lo:hi] for c in rest])
+        if held:
+            yield ask(held)
+
+    kinds = ", ".join(f"{w} long" for w in sent)
+    copies = live.select(*sent, "open").mapInArrow(copy_out, f"anchor int, {kinds}, home boolean")
+    met = copies.repartition(parallelism(spark), "anchor").sortWithinPartitions("anchor")
+    return met.mapInArrow(compare, "a long, b long, far long, more boolean")
+
+
+def is_like(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sets (distinct values in order) have a Jaccard likeness of ``LIKE`` or more; empty ones have none."""
+    if len(one) > len(two):
+        one, two = two, one
+    up, down = LIKE
+    if not len(one) or len(one) * down < len(two) * up:
+        return False
+    shared = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+    return shared * down >= (len(one) + len(two) - shared) * up
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, like) for the pairs (a, b) of names in ``sets`` (node, shingles)."""
+    small_batches(pairs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like = [
+                is_like(np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64))
+                for one, two in zip(batch.column(2), batch.column(3))
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(like, pa.bool_())], names=["a", "b", "like"])
+
+    # Merges at every size: sets grow with the table.
+    one = pairs.join(sets.toDF("a", "one").hint("merge"), "a")
+    both = one.join(sets.toDF("b", "two").hint("merge"), "b")
+    return both.select("a", "b", "one", "two").mapInArrow(count, "a long, b long, like boolean")
 
 
 def bitmap_of(rows: DataFrame) -> bytes:
@@ -441,49 +498,67 @@ def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     return stay.unionAll(marked.where("__named").join(drop, ["__doc", "__key"], "left_anti").select(*marked.columns)).drop("__named")
 
 
-def confirmed(docs: DataFrame, prints: DataFrame, groups: DataFrame, words_per_shingle: int, size: int) -> DataFrame:
-    """(node, root) for the sets in ``groups`` (cell, group): components of pairs of likeness ``LIKE`` within a group.
+def member_sets(docs: DataFrame, members: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(node, shingles) for the sets in ``members`` (node, doc_id of one text that has it).
 
     Texts are read again and never shuffled: a bitmap of fixed size passes those
-    of the groups, one of each set, and a few others that the join leaves out.
+    of the members, one of each set, and a few others that the join leaves out.
     """
     small_batches(docs.sparkSession)
-    words = _prints(size)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             slots = batch.column(0).to_numpy(zero_copy_only=False)
             rows = np.nonzero((slots < 0) | (wanted[slots >> 3] >> (slots & 7) & 1 == 1))[0]
-            sets = [shingle_set(t, words_per_shingle) for t in batch.column(1).take(pa.array(rows)).to_pylist()]
-            columns = [pa.array([set_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            sets = {}
+            for text in batch.column(1).take(pa.array(rows)):
+                own = shingle_set(text.as_py(), words_per_shingle)
+                sets[set_node(own)] = own.tobytes()
+            columns = [pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, None
-        for batch in batches:
-            keys, nodes, *fps = (c.to_pylist() for c in batch.columns[:-1])
-            for group, node, raw, *fp in zip(keys, nodes, batch.column(size + 2).to_pylist(), *fps):
-                if held is None or group != key:
-                    if held:
-                        yield held.done()
-                    key, held = group, _Group()
-                held.add(node, np.array(fp, np.int64), raw)
-        if held:
-            yield held.done()
-
-    members = prints.join(groups.hint("merge"), "cell").groupBy("group", "node", *words).agg(F.min("doc_id").alias("doc_id"))
-    members = materialize(members, "simhash-members")
     slot = _slot("doc_id")
     bits = bitmap_of(members.where("doc_id is not null").select(slot.alias("slot")))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     texts = texts.select(F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(slot).alias("slot"), "text")
     sets = texts.mapInArrow(cut, "node long, shingles binary")
-    # A merge at every size: members grow with the table, and sets go on to their groups by another shuffle.
-    met = sets.join(members.hint("merge"), "node").select("group", "node", *words, "shingles")
-    met = met.repartition(parallelism(docs.sparkSession), "group").sortWithinPartitions("group", "node")
-    return met.mapInArrow(confirm, "node long, root long")
+    return sets.join(members.select("node").hint("merge"), "node").dropDuplicates(["node"])
+
+
+def like_components(docs: DataFrame, nodes: DataFrame, words_per_shingle: int, threshold: int, size: int) -> DataFrame:
+    """(node, root) for the shingle sets in ``nodes`` (node, words, doc_id) that are alike with another.
+
+    Edges are linked pairs of likeness ``LIKE``; they are counted in rounds until no
+    open node has a link to another component that was not counted.
+    """
+    words, most = _prints(size), FIRST_PAIRS
+    live = nodes.withColumn("root", F.col("node")).withColumn("open", F.lit(True))
+    members = sets = checked = roots = None
+    while True:
+        found = materialize(neighbours(live, threshold, size, NEAR_REACH, most), "simhash-found")
+        asked = found.where("b is not null").select("a", "b", "far").distinct()
+        ranked = asked.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("far", "b")))
+        beyond = ranked.where(F.col("rank") == most + 1).select("a", F.lit(True).alias("more"))
+        state = found.where("b is null").select("a", "more").unionByName(beyond)
+        state = materialize(state.groupBy(F.col("a").alias("node")).agg(F.bool_or("more").alias("open")), "simhash-open")
+        pairs = ranked.where(F.col("rank") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if sets is None:
+            members = materialize(nodes.join(state.select("node").hint("merge"), "node"), "simhash-members")
+            sets = materialize(member_sets(docs, members, words_per_shingle), "simhash-sets")
+            checked = materialize(alike(pairs, sets), "simhash-pairs")
+            edges = checked.where("like").select("a", "b")
+        else:
+            new = materialize(alike(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets), "simhash-pairs")
+            checked = checked.unionByName(new)
+            edges = roots.toDF("a", "b").unionByName(new.where("like").select("a", "b"))
+        roots = connected_components(edges, "simhash-stars")
+        if not state.where("open").limit(1).count():
+            return roots
+        live = members.join(state, "node").join(roots, "node", "left")
+        live = live.select("node", *words, "open", F.coalesce("root", "node").alias("root"))
+        most *= MORE_PAIRS
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, threshold: int = NEAR_BITS, size: int = 2) -> DataFrame:
@@ -495,12 +570,8 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, threshold: int = NEAR_
     """
     words = _prints(size)
     prints = materialize(set_prints(docs, words_per_shingle, size), "simhash-prints")
-    classes = prints.groupBy("cell", *words).agg((F.min("node") != F.max("node")).alias("many"))
-    classes = materialize(classes, "simhash-classes")
-    groups = connected_components(links(classes.select(*words), threshold, size, NEAR_REACH), "simhash-groups").toDF("cell", "group")
-    alone = classes.where("many").select("cell", F.col("cell").alias("group")).join(groups, "cell", "left_anti")
-    stars = confirmed(docs, prints, groups.unionByName(alone), words_per_shingle, size)
-    stars = materialize(stars, "simhash-stars")
+    nodes = materialize(prints.groupBy("node", *words).agg(F.min("doc_id").alias("doc_id")), "simhash-nodes")
+    stars = materialize(like_components(docs, nodes, words_per_shingle, threshold, size), "simhash-stars")
     named = prints.where("doc_id is not null").select("doc_id", "key", "node")
     rooted = named.join(stars.hint("merge"), "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "simhash-rooted")

@@ -36,6 +36,7 @@ from glossmill.llm import (
     suffix,
     warc,
 )
+from glossmill.llm.hashing import mix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, items string, score string, fp string, rid string, bucket string"
 
@@ -952,25 +953,60 @@ def test_only_texts_of_enough_likeness_go(spark):
     assert simhash.keep_one(frame(spark, texts)).count() == len(texts)
 
 
-def test_sets_are_joined_in_full():
+def test_first_links_of_homes():
+    rng = np.random.default_rng(3)
+    for n, most in ((1, 2), (40, 2), (40, 7), (40, 60)):
+        nodes = np.unique(rng.integers(0, 2**63, 2 * n).astype(np.uint64))[:n] * np.uint64(2)
+        fps = rng.integers(0, 4, (n, 2))
+        roots, home = rng.integers(0, 5, n), rng.random(n) < 0.7
+        a, b, linked, more = simhash.first_linked(nodes, fps, roots, home, 2, most)
+        want, touched = set(), set()
+        for i in np.nonzero(home)[0]:
+            start = int(mix(nodes[i : i + 1])[0])
+            apart = [sum(int(x).bit_count() for x in fps[i] ^ fps[j]) for j in range(n)]
+            met = [j for j in range(n) if roots[j] != roots[i] and apart[j] <= 2]
+            met.sort(key=lambda j: (int(nodes[j]) - start) % 2**64)
+            want |= {(i, j) for j in met[:most]}
+            touched |= {i, *met} if met else set()
+            assert more[i] == (len(met) > most)
+        assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+        assert set(np.nonzero(linked)[0].tolist()) == touched
+
+
+def test_sets_are_joined_in_full(spark):
+    """All texts have one fingerprint, so each is linked to each; most links fail and have to be counted in further rounds."""
     rng = random.Random(4)
-    sets = [np.zeros(0, np.uint64)]
-    for _ in range(30):
+    texts = ["", "  "]
+    for _ in range(25):
         own = rng.sample(range(10**6), 60)
         for _ in range(rng.randrange(1, 6)):
-            sets.append(np.array(sorted(own), np.uint64))
+            texts.append(" ".join(f"w{x}" for x in own))
             own = own[rng.randrange(1, 12) :] + rng.sample(range(10**6), 3)
-    rng.shuffle(sets)
-    prints = np.zeros((len(sets), 2), np.int64)
-    root = simhash.like_roots(prints, np.concatenate(sets), np.cumsum([len(s) for s in sets]))
-    plain = list(range(len(sets)))
-    for i in range(len(sets)):
+    rng.shuffle(texts)
+    docs = frame(spark, texts)
+    prints = simhash.set_prints(docs, 5, 2).withColumn("f0", F.lit(0).cast("long")).withColumn("f1", F.lit(0).cast("long"))
+    nodes = prints.groupBy("node", "f0", "f1").agg(F.min("doc_id").alias("doc_id"))
+    found = {r["node"]: r["root"] for r in simhash.like_components(docs, nodes, 5, 32, 2).collect()}
+    root = [found.get(r["node"], r["node"]) for r in prints.orderBy("doc_id").collect()]
+    plain = list(range(len(texts)))
+    for i in range(len(texts)):
         for j in range(i):
-            a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            if a and b and 5 * len(a & b) >= 4 * len(a | b):
+            if texts[i].split() == texts[j].split() or (texts[i].split() and texts[j].split() and jaccard(texts[i], texts[j]) >= 0.8):
                 old, new = plain[i], plain[j]
                 plain = [new if p == old else p for p in plain]
-    assert len(set(zip(root.tolist(), plain))) == len(set(plain)) == len(set(root.tolist()))
+    assert len(set(zip(root, plain))) == len(set(plain)) == len(set(root))
+
+
+def test_many_near_copies_are_one_group(spark):
+    """Hundreds of different near copies of one text: all but one go, and each is counted with a few others only."""
+    rng = random.Random(12)
+    base, texts = words(200, 77, 10**6).split(), []
+    for i in range(300):
+        new = list(base)
+        new[rng.randrange(200)] = f"only{i}"
+        texts.append(" ".join(new))
+    kept = simhash.keep_one(frame(spark, texts)).collect()
+    assert [r["doc_id"] for r in kept] == [0]
 
 
 def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
