@@ -35,9 +35,12 @@ asks for the first two of its linked texts that follow a place of its own on the
 circle of names, so that no text is asked for by many, and all anchors agree on
 whom it asks for.  Pairs found alike join components; a next round runs over the
 texts that have more links to other components, with four times as many pairs
-each.  A group of thousands that are all alike is joined by some two pairs a
-text; links that all fail are counted one by one.  The rounds end when no text
-has a link to another component that was not counted, so none is left out.
+each.  There a link also has to pass a bound: shingles are dealt into 2,048 buckets,
+and buckets in which two sets differ by an odd number are no more than their
+shingles that differ.  Only pairs that the bound shows to be below the likeness
+are passed over.  A group of thousands that are all alike is joined by some two
+pairs a text, and one whose links fail is mostly settled by the bound.  The rounds
+end when no text has a link to another component that was not counted or bound.
 
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero and links like any other; fewer words than a shingle form one
@@ -77,6 +80,8 @@ GOLAY = 0b110001110101
 _CHUNK = 1 << 15
 #: Pairs of fingerprints that are compared at once.
 _COMPARED = 1 << 20
+#: Buckets whose parity bounds a likeness, and pairs that are bound at once.
+_BUCKETS, _BOUND = 2048, 1 << 14
 #: Bits of the map that picks texts to read again.
 _SLOTS = 1 << 26
 
@@ -347,13 +352,34 @@ def components(docs: DataFrame, words_per_shingle: int = 4, threshold: int = 4,
     return prints.join(by_print, words).select("doc_id", *words, "component_id")
 
 
+def set_parity(shingles: np.ndarray) -> bytes:
+    """A bit for each bucket of shingles: whether a set has an odd number there."""
+    counts = np.bincount((shingles % np.uint64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def may_be_like(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, parity: np.ndarray) -> np.ndarray:
+    """For pairs of places whether their sets can have a likeness of ``LIKE``, by their sizes and parities (rows of words)."""
+    up, down = LIKE
+    out = np.zeros(len(left), bool)
+    for i in range(0, len(left), _BOUND):
+        a, b = left[i : i + _BOUND], right[i : i + _BOUND]
+        apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+        apart = np.maximum(apart, np.abs(sizes[a] - sizes[b]))
+        both = sizes[a] + sizes[b]
+        out[i : i + _BOUND] = (both - apart) * down >= (both + apart) * up
+    return out
+
+
 def first_linked(
-    nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, home: np.ndarray, threshold: int, most: int
+    nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray, home: np.ndarray, threshold: int, most: int,
+    sizes: np.ndarray | None = None, parity: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each home among ``nodes`` (unsigned, in order) the first ``most`` links to nodes of another root.
 
     Links are taken round the circle of names from a place that the home's name
-    gives.  Places (a, b) of the pairs, and for every node whether it has a link and
+    gives; with sizes and parities of the sets, those that cannot be alike are no
+    links.  Places (a, b) of the pairs, and for every node whether it has a link and
     whether it has more of them than were taken.
     """
     n = len(nodes)
@@ -370,6 +396,11 @@ def first_linked(
             apart += np.bitwise_count(w[rows][:, None] ^ w[None, :])
         close &= apart <= threshold
         left, right = np.nonzero(close)
+        if parity is not None:
+            able = may_be_like(rows[left], right, sizes, parity)
+            left, right = left[able], right[able]
+            if not len(left):
+                continue
         linked[rows[left]] = linked[right] = True
         count = np.bincount(left, minlength=len(rows))
         more[rows] = count > most
@@ -385,30 +416,34 @@ def first_linked(
 def neighbours(live: DataFrame, threshold: int, size: int, reach: int, most: int) -> DataFrame:
     """(a, b, far, more): pairs that the nodes of ``live`` ask for, and every linked node as ``a`` without a ``b``.
 
-    ``live`` has node, root, open and the words of the fingerprint.  Open nodes ask at
+    ``live`` has node, root, open, the words of the fingerprint, size and parity (empty where not known).  Open nodes ask at
     each of their homes for their first ``most`` links to nodes of another root;
     ``far`` orders them, ``more`` tells that a home had more of them.
     """
     spark = live.sparkSession
     small_batches(spark)
     words = _prints(size)
-    sent = ["node", "root", *words]
-    names = ["anchor", *sent, "home"]
+    sent = ["node", "root", *words, "size"]
+    names = ["anchor", *sent, "home", "parity"]
 
     def copy_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(threshold, size, reach)
         for batch in batches:
-            *own, asks = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for keys, rows, home in anchors.replicas(np.stack(own[2:], axis=1)):
+            *own, asks = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1])
+            for keys, rows, home in anchors.replicas(np.stack(own[2:-1], axis=1)):
                 columns = [pa.array(keys), *(pa.array(f[rows]) for f in own), pa.array(home & asks[rows])]
+                columns.append(batch.columns[-1].take(pa.array(rows)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    def ask(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        nodes, roots, *fps, home = (np.concatenate(x) for x in zip(*parts))
+    def ask(parts: list[tuple]) -> pa.RecordBatch:
+        nodes, roots, *fps, sizes, home = (np.concatenate(x) for x in zip(*(p for p, _ in parts)))
+        raw = b"".join(x for _, p in parts for x in p.to_pylist())
+        parity = np.frombuffer(raw, np.uint64).reshape(len(nodes), -1) if raw else None
         nodes = nodes.view(np.uint64)
         order = np.argsort(nodes)
         nodes, fps = nodes[order], np.stack(fps, axis=1)[order]
-        a, b, linked, more = first_linked(nodes, fps, roots[order], home[order], threshold, most)
+        parity = None if parity is None else parity[order]
+        a, b, linked, more = first_linked(nodes, fps, roots[order], home[order], threshold, most, sizes[order], parity)
         far = ((nodes[b] - mix(nodes[a])) >> np.uint64(1)).view(np.int64)
         named, held = nodes.view(np.int64), np.nonzero(linked)[0]
         none = pa.nulls(len(held), pa.int64())
@@ -419,7 +454,7 @@ def neighbours(live: DataFrame, threshold: int, size: int, reach: int, most: int
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in batches:
-            keys, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            keys, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1])
             cuts = np.nonzero(np.diff(keys))[0] + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
                 if lo == hi:
@@ -428,12 +463,12 @@ def neighbours(live: DataFrame, threshold: int, size: int, reach: int, most: int
                     yield ask(held)
                     held = []
                 key = keys[lo]
-                held.append([c[lo:hi] for c in rest])
+                held.append(([c[lo:hi] for c in rest], batch.columns[-1].slice(lo, hi - lo)))
         if held:
             yield ask(held)
 
     kinds = ", ".join(f"{w} long" for w in sent)
-    copies = live.select(*sent, "open").mapInArrow(copy_out, f"anchor int, {kinds}, home boolean")
+    copies = live.select(*sent, "open", "parity").mapInArrow(copy_out, f"anchor int, {kinds}, home boolean, parity binary")
     met = copies.repartition(parallelism(spark), "anchor").sortWithinPartitions("anchor")
     return met.mapInArrow(compare, "a long, b long, far long, more boolean")
 
@@ -462,6 +497,7 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(like, pa.bool_())], names=["a", "b", "like"])
 
     # Merges at every size: sets grow with the table.
+    sets = sets.select("node", "shingles")
     one = pairs.join(sets.toDF("a", "one").hint("merge"), "a")
     both = one.join(sets.toDF("b", "two").hint("merge"), "b")
     return both.select("a", "b", "one", "two").mapInArrow(count, "a long, b long, like boolean")
@@ -499,7 +535,7 @@ def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
 
 
 def member_sets(docs: DataFrame, members: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(node, shingles) for the sets in ``members`` (node, doc_id of one text that has it).
+    """(node, shingles, size, parity) for the sets in ``members`` (node, doc_id of one text that has it).
 
     Texts are read again and never shuffled: a bitmap of fixed size passes those
     of the members, one of each set, and a few others that the join leaves out.
@@ -514,16 +550,17 @@ def member_sets(docs: DataFrame, members: DataFrame, words_per_shingle: int) ->
             sets = {}
             for text in batch.column(1).take(pa.array(rows)):
                 own = shingle_set(text.as_py(), words_per_shingle)
-                sets[set_node(own)] = own.tobytes()
-            columns = [pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
+                sets[set_node(own)] = own.tobytes(), len(own), set_parity(own)
+            raw, sizes, parity = zip(*sets.values()) if sets else ((), (), ())
+            columns = [pa.array(list(sets), pa.int64()), pa.array(raw, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parity, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "size", "parity"])
 
     slot = _slot("doc_id")
     bits = bitmap_of(members.where("doc_id is not null").select(slot.alias("slot")))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     texts = texts.select(F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(slot).alias("slot"), "text")
-    sets = texts.mapInArrow(cut, "node long, shingles binary")
+    sets = texts.mapInArrow(cut, "node long, shingles binary, size long, parity binary")
     return sets.join(members.select("node").hint("merge"), "node").dropDuplicates(["node"])
 
 
@@ -535,6 +572,7 @@ def like_components(docs: DataFrame, nodes: DataFrame, words_per_shingle: int, t
     """
     words, most = _prints(size), FIRST_PAIRS
     live = nodes.withColumn("root", F.col("node")).withColumn("open", F.lit(True))
+    live = live.withColumn("size", F.lit(0).cast("long")).withColumn("parity", F.lit(b""))
     members = sets = checked = roots = None
     while True:
         found = materialize(neighbours(live, threshold, size, NEAR_REACH, most), "simhash-found")
@@ -556,8 +594,9 @@ def like_components(docs: DataFrame, nodes: DataFrame, words_per_shingle: int, t
         roots = connected_components(edges, "simhash-stars")
         if not state.where("open").limit(1).count():
             return roots
-        live = members.join(state, "node").join(roots, "node", "left")
-        live = live.select("node", *words, "open", F.coalesce("root", "node").alias("root"))
+        bounds = sets.select("node", "size", "parity")
+        live = members.join(state, "node").join(bounds, "node").join(roots, "node", "left")
+        live = live.select("node", *words, "open", "size", "parity", F.coalesce("root", "node").alias("root"))
         most *= MORE_PAIRS
 
 

@@ -997,6 +997,22 @@ def test_sets_are_joined_in_full(spark):
     assert len(set(zip(root, plain))) == len(set(plain)) == len(set(root))
 
 
+def test_bound_passes_over_no_pair_that_is_alike():
+    rng = np.random.default_rng(6)
+    sets = [np.zeros(0, np.uint64)]
+    for n in (1, 5, 80, 400, 3000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for new in (0, 1, n // 10, n // 5, n // 3, n):
+            sets.append(np.unique(np.concatenate((base[new:], rng.integers(0, 2**63, new).astype(np.uint64)))))
+    sizes = np.array([len(x) for x in sets])
+    parity = np.frombuffer(b"".join(map(simhash.set_parity, sets)), np.uint64).reshape(len(sets), -1)
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    able = simhash.may_be_like(left, right, sizes, parity)
+    like = np.array([simhash.is_like(sets[i], sets[j]) for i, j in zip(left, right)])
+    assert not (like & ~able).any() and like.sum() > len(sets)
+    assert (able & ~like).sum() < like.sum()
+
+
 def test_many_near_copies_are_one_group(spark):
     """Hundreds of different near copies of one text: all but one go, and each is counted with a few others only."""
     rng = random.Random(12)
