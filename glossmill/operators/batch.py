@@ -115,8 +115,8 @@ def parse_results(
 BUCKET_DIGITS = 2
 
 
-def cached(requests: DataFrame, ask: Ask, path: str) -> DataFrame:
-    """(key, response, source): answers to ``requests`` (key, prompt), asked only where the cache below ``path`` has none.
+def cached(requests: DataFrame, ask: Ask, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, response, source) and the columns ``keep`` of requests: answers to ``requests`` (key, prompt), asked only where the cache below ``path`` has none.
 
     The cache is keyed by the SHA-256 of key and prompt, lies in buckets by its
     first digits, and is appended before anything is returned.  A call reads the
@@ -124,12 +124,16 @@ def cached(requests: DataFrame, ask: Ask, path: str) -> DataFrame:
     little of a large cache; bucket names, 256 at most, are all that passes the
     driver.  Of an entry that is there twice, the least answer counts.  ``source``
     is cache or network; no answer is a null.
+
+    Prompts are written once.  They are dealt out again only where some requests
+    are the same or an earlier call may have left answers.
     """
     spark = requests.sparkSession
     key = F.sha2(F.concat_ws("|", "key", "prompt"), 256)
-    named = materialize(requests.select("key", "prompt", key.alias("cache_key"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket")), "requests")
+    named = materialize(requests.select("key", "prompt", *keep, key.alias("cache_key"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket")), "requests")
     kind = "cache_key string, key string, response string, bucket string"
-    if exists(spark, path):
+    known = exists(spark, path)
+    if known:
         own = [r[0] for r in named.select("bucket").distinct().collect()]
         have = spark.read.schema(kind).parquet(path).where(F.col("bucket").isin(own))
     else:
@@ -137,12 +141,14 @@ def cached(requests: DataFrame, ask: Ask, path: str) -> DataFrame:
     # What is in the cache now, before this call's own answers are appended.
     found = have.join(named.select("bucket", "cache_key").distinct(), ["bucket", "cache_key"], "left_semi")
     hits = materialize(found.groupBy("cache_key").agg(F.min("response").alias("response")), "hits")
-    missing = named.join(hits.select("cache_key"), "cache_key", "left_anti")
-    answers = ask(missing.select("key", "prompt").distinct()).where("response is not null")
+    missing = named.join(hits.select("cache_key"), "cache_key", "left_anti") if known else named
+    repeated = not missing.groupBy("cache_key").count().where("count > 1").isEmpty()
+    asked = missing.select("key", "prompt")
+    answers = ask(asked.distinct() if repeated else asked).where("response is not null")
     new = materialize(missing.join(answers, "key").select("cache_key", "key", "response", "bucket").dropDuplicates(["cache_key"]), "answers")
     new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
     both = hits.withColumn("source", F.lit("cache")).unionByName(new.select("cache_key", "response", F.lit("network").alias("source")))
-    return named.select("key", "cache_key").join(both, "cache_key", "left").select("key", "response", F.coalesce("source", F.lit("network")).alias("source"))
+    return named.select("key", "cache_key", *keep).join(both, "cache_key", "left").select("key", *keep, "response", F.coalesce("source", F.lit("network")).alias("source"))
 
 
 def retry(cards: DataFrame, examples: DataFrame, ask: Ask, cache: str, policy: Policy = Policy()) -> tuple[DataFrame, DataFrame]:
@@ -185,9 +191,10 @@ def cluster(blocks: DataFrame, ask: Ask, cache: str) -> DataFrame:
     key = F.concat(F.lit("lemma:"), F.col("lemma"), F.lit("#"), F.col("block").cast("string"))
     named = blocks.withColumn("key", key)
     texts = F.transform("examples", lambda e: e["text"])
-    answers = cached(named.select("key", families.prompt(F.col("lemma"), texts).alias("prompt")), ask, cache)
-    parsed = families.parse(answers.where("response is not null").select("key", "response")).where("error is null and card is not null")
-    cards = parsed.drop("lemma").join(named.select("key", "lemma", "block", "offset", F.size("examples").alias("__n")), "key")
+    made = named.select("key", families.prompt(F.col("lemma"), texts).alias("prompt"), "lemma", "block", "offset", F.size("examples").alias("__n"))
+    own_columns = ("lemma", "block", "offset", "__n")
+    answers = cached(made, ask, cache, keep=own_columns)
+    cards = families.parse(answers.where("response is not null"), keep=own_columns).where("error is null and card is not null")
     own = F.filter(families.indices(F.col("card.selected_example_indices")), lambda i: (i >= 1) & (i <= F.col("__n")))
     return families.merge_blocks(cards.withColumn("indices", own).drop("__n"))
 

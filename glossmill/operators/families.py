@@ -2,44 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions.scores import pos_shares
 from glossmill.functions.text import strip_fences, target_in_text
+from glossmill.lexicon import CONTENT_POS
 from glossmill.operators.tokens import content
 from glossmill.schemas import CARD, require_columns
 
 REQUIRED = ("definition_en", "definition_ru", "part_of_speech")
 
 
-def uses(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(lemma, sentence_id, pos): every sentence of every lemma, with the part of speech of the first use in it."""
-    own = content(tokens).groupBy("lemma", "sentence_id").agg(F.min_by("pos", "position").alias("pos"))
-    return own.join(sentences.where("sentence <> ''").select("sentence_id"), "sentence_id", "left_semi")
+def uses(tokens: DataFrame, sentences: DataFrame | None = None, by: tuple[str, ...] = ("lemma", "sentence_id")) -> DataFrame:
+    """(lemma, sentence_id, pos): every sentence of every lemma, with the part of speech of the first use in it.
+
+    With ``sentences``, uses in other sentences are left out; tokens made from the
+    sentences at hand need no such join.  Place and part of speech of a token are
+    one number, so that the first is found by hashing.  ``by`` deals the tokens out:
+    by lemma alone, all uses of a lemma lie in one place, ready for a window.
+    """
+    code = (F.array_position(F.array(*map(F.lit, CONTENT_POS)), F.col("pos")) - 1).cast("long")
+    rows = content(tokens).select("lemma", "sentence_id", (F.col("position").cast("long") * len(CONTENT_POS) + code).alias("__first"))
+    rows = rows.repartition(*by) if by != ("lemma", "sentence_id") else rows
+    first = rows.groupBy("lemma", "sentence_id").agg(F.min("__first").alias("__first"))
+    pos = F.element_at(F.array(*map(F.lit, CONTENT_POS)), F.pmod("__first", F.lit(len(CONTENT_POS))).cast("int") + 1)
+    own = first.select("lemma", "sentence_id", pos.alias("pos"))
+    return own if sentences is None else own.join(sentences.where("sentence <> ''").select("sentence_id"), "sentence_id", "left_semi")
+
+
+def _counted(over: Callable[[Column], Column]) -> list[Column]:
+    seen = [F.when(over(F.count_if(F.col("pos") == p)) > 0, p) for p in sorted(CONTENT_POS)]
+    return [over(F.count(F.lit(1))).alias("example_count"), F.array_compact(F.array(*seen)).alias("pos_variants")]
+
 
+def counts(uses: DataFrame) -> DataFrame:
+    """(lemma, example_count, pos_variants) of ``uses``: sentences and parts of speech of each lemma."""
+    return uses.groupBy("lemma").agg(*_counted(lambda c: c))
 
-def groups(tokens: DataFrame, sentences: DataFrame, most: int = 100) -> DataFrame:
+
+def groups(tokens: DataFrame, sentences: DataFrame, most: int = 100, made: bool = False) -> DataFrame:
     """Per lemma its first ``most`` sentences, counts of all, and the parts of speech of all.
 
     Lemmas are counted and cut on ids alone; texts join only the sentences that
     are left.  ``example_blocks`` gives all sentences, in lists of bounded length.
+    ``made`` tells that the tokens were made from these sentences.
     """
-    own = uses(tokens, sentences)
-    first = Window.partitionBy("lemma").orderBy("sentence_id")
-    counts = own.groupBy("lemma").agg(
-        F.count(F.lit(1)).alias("example_count"), F.array_sort(F.collect_set("pos")).alias("pos_variants")
-    )
-    kept = own.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most).drop("__n")
+    # Tokens are read and dealt out by lemma once: uses are counted, and cut, in one window.
+    own = uses(tokens, by=("lemma",)) if made else uses(tokens.where("lemma is not null"), sentences)
+    every = Window.partitionBy("lemma")
+    placed = own.select("*", F.row_number().over(every.orderBy("sentence_id")).alias("__n"), *_counted(lambda c: c.over(every)))
+    kept = placed.where(F.col("__n") <= most).drop("__n")
     texts = kept.join(sentences.select("sentence_id", F.col("sentence").alias("text")), "sentence_id")
-    listed = texts.groupBy("lemma").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "text", "pos"))).alias("examples"))
-    return listed.join(counts, "lemma").select("lemma", "examples", "pos_variants", "example_count")
+    return texts.groupBy("lemma").agg(
+        F.array_sort(F.collect_list(F.struct("sentence_id", "text", "pos"))).alias("examples"),
+        F.first("pos_variants").alias("pos_variants"),
+        F.first("example_count").alias("example_count"),
+    )
 
 
-def example_blocks(tokens: DataFrame, sentences: DataFrame, size: int = 100) -> DataFrame:
-    """(lemma, block, offset, examples): all sentences of each lemma in order, ``size`` to a block, numbered from 0."""
+def example_blocks(tokens: DataFrame, sentences: DataFrame, size: int = 100, made: bool = False) -> DataFrame:
+    """(lemma, block, offset, examples): all sentences of each lemma in order, ``size`` to a block, numbered from 0.
+
+    ``made`` tells that the tokens were made from these sentences.
+    """
     place = F.row_number().over(Window.partitionBy("lemma").orderBy("sentence_id")) - 1
-    placed = uses(tokens, sentences).withColumn("block", F.floor(place / F.lit(size)).cast("int"))
+    own = uses(tokens, by=("lemma",)) if made else uses(tokens, sentences)
+    placed = own.withColumn("block", F.floor(place / F.lit(size)).cast("int"))
     texts = placed.join(sentences.select("sentence_id", F.col("sentence").alias("text")), "sentence_id")
     listed = texts.groupBy("lemma", "block").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "text", "pos"))).alias("examples"))
     return listed.select("lemma", "block", (F.col("block") * size).alias("offset"), "examples")
@@ -81,9 +112,11 @@ def requests(groups: DataFrame, model: str, most: int, limit: int | None = None)
     return (ordered.limit(limit) if limit else ordered).drop("lemma")
 
 
-def parse(results: DataFrame) -> DataFrame:
+def parse(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, lemma, error, ord, card) of results (key, response JSON text); one row with an error, or one a card.
 
+    Columns ``keep`` of results come along; a lemma among them stands for that of the key.
+
     Errors: bad_key, no_candidates, empty_content, json_error.
     """
     require_columns(results, ["key", "response"], "results")
@@ -96,7 +129,10 @@ def parse(results: DataFrame) -> DataFrame:
         F.col("key").startswith("lemma:"), F.substring("key", 7, 1 << 20)
     )
     valid = F.try_parse_json(body).isNotNull()
-    rows = results.select("key", lemma.alias("lemma"), first.alias("__first"), text.alias("__text"))
+    more = [c for c in keep if c != "lemma"]
+    # The key is judged all the same, and its lemma gives way afterwards.
+    given = [F.col("lemma").alias("__lemma")] if "lemma" in keep else []
+    rows = results.select("key", lemma.alias("lemma"), *more, *given, first.alias("__first"), text.alias("__text"))
     error = (
         F.when(F.col("lemma").isNull(), "bad_key")
         .when(F.coalesce(F.size("__first"), F.lit(0)) <= 0, "no_candidates")
@@ -104,7 +140,8 @@ def parse(results: DataFrame) -> DataFrame:
         .when(~valid, "json_error")
     )
     made = rows.withColumn("error", error).withColumn("__cards", F.when(error.isNull(), cards["cards"]))
-    return made.select("key", F.coalesce("lemma", F.lit("")).alias("lemma"), "error", F.posexplode_outer("__cards").alias("ord", "card"))
+    named = F.col("__lemma") if given else F.coalesce("lemma", F.lit(""))
+    return made.select("key", named.alias("lemma"), *more, "error", F.posexplode_outer("__cards").alias("ord", "card"))
 
 
 def indices(raw: Column) -> Column:
