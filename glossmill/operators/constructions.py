@@ -87,17 +87,21 @@ def guidance(matches: DataFrame, phrases: DataFrame, pairs: DataFrame, item: str
     """(item, construction, policy, constraints): the first pattern match, else the phrasal verb of the item.
 
     ``phrases`` (item, verb, particle) are those found in the items' sentences,
-    ``pairs`` the dictionary with the senses that a phrasal verb prefers.
+    ``pairs`` the dictionary with the senses that a phrasal verb prefers.  Both
+    kinds come together by item and not by a join: ids that compress well look
+    small to the optimizer, and a join's side would be sent whole to the driver.
     """
-    first = matches.where("place = 1").select(item, "construction", "policy", *CONSTRAINTS)
+    first = matches.where("place = 1").select(item, "construction", "policy", *CONSTRAINTS, F.lit(0).alias("__kind"))
     none = F.expr("cast(array() as array<string>)")
     hints = pairs.select("verb", "particle", F.coalesce("prefer_synsets", none).alias("prefer_synsets"))
-    rest = phrases.join(first.select(item), item, "left_anti").join(hints, ["verb", "particle"]).select(
+    rest = phrases.join(hints, ["verb", "particle"]).select(
         item,
         F.concat_ws("_", F.lit("PHRASAL"), F.upper("verb"), F.upper("particle")).alias("construction"),
         F.lit("CONSTRAIN").alias("policy"),
         none.alias("forbid_supersenses"),
         "prefer_synsets",
         none.alias("prefer_supersenses"),
+        F.lit(1).alias("__kind"),
     )
-    return first.unionByName(rest)
+    least = F.min("__kind").over(Window.partitionBy(item))
+    return first.unionByName(rest).withColumn("__least", least).where("__kind = __least").drop("__kind", "__least")

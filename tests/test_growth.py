@@ -59,3 +59,9 @@ def test_packed_books_of_other_kinds_or_without_text_are_errors(spark, tmp_path)
         books.pack_books(spark.createDataFrame([(name, bytearray(content))], "path string, content binary"), path)
         with pytest.raises(Exception, match=name):
             books.read_packed(spark, path).collect()
+
+
+def test_guidance_sends_no_table_of_items_to_all_tasks(spark):
+    same(spark, "rnk_15")
+    text = registry.QUERIES["rnk_15"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in text and "BuildLeft" not in text
