@@ -41,10 +41,35 @@ def lemma_frequency_with_zipf(tokens: DataFrame) -> DataFrame:
     own = ~F.col("is_stop") & (F.col("pos") != "PROPN")
     rows = tokens.where("is_alpha").withColumn("__own", own)
     found = materialize(rows.groupBy("lemma").agg(*_counts(), F.count(F.lit(1)).alias("__n")), "lemma-counts")
+    return _zipfed(found, "lemma", "book_freq", "doc_count", "verb_count", "other_pos_count", "stopword_count")
+
+
+def _word_counts() -> list:
+    """Sums over counted words; the sentences of a lemma cannot be told from them."""
+    own = F.coalesce(F.sum(F.when(F.col("__own"), F.col("n"))), F.lit(0))
+    verb = F.coalesce(F.sum(F.when((F.col("pos") == "VERB") & F.col("__own"), F.col("n"))), F.lit(0))
+    stop = F.coalesce(F.sum(F.when(F.col("is_stop") & F.col("__own"), F.col("n"))), F.lit(0))
+    return [own.alias("book_freq"), verb.alias("verb_count"), (own - verb).alias("other_pos_count"), stop.alias("stopword_count")]
+
+
+def word_frequency(words: DataFrame, stop: bool = False, proper: bool = False, other: bool = False) -> DataFrame:
+    """``lemma_frequency`` without doc_count, from counted words (``RegexAnnotator.counted``)."""
+    require_columns(words, ["lemma", "is_stop", "pos", "is_alpha", "n"], "words")
+    return learnable(words, stop, proper, other).withColumn("__own", F.lit(True)).groupBy("lemma").agg(*_word_counts())
+
+
+def word_frequency_with_zipf(words: DataFrame) -> DataFrame:
+    """``lemma_frequency_with_zipf`` without doc_count, from counted words."""
+    require_columns(words, ["lemma", "is_stop", "pos", "is_alpha", "n"], "words")
+    rows = words.where("is_alpha").withColumn("__own", ~F.col("is_stop") & (F.col("pos") != "PROPN"))
+    found = materialize(rows.groupBy("lemma").agg(*_word_counts(), F.sum("n").alias("__n")), "lemma-counts")
+    return _zipfed(found, "lemma", "book_freq", "verb_count", "other_pos_count", "stopword_count")
+
+
+def _zipfed(found: DataFrame, *columns: str) -> DataFrame:
     total = found.agg(F.sum("__n").alias("__total"))
     zipf = F.log10(F.col("__n") / F.col("__total") * 1e9).alias("global_zipf")
-    joined = found.where("book_freq > 0").crossJoin(F.broadcast(total))
-    return joined.select("lemma", "book_freq", "doc_count", "verb_count", "other_pos_count", "stopword_count", zipf)
+    return found.where("book_freq > 0").crossJoin(F.broadcast(total)).select(*columns, zipf)
 
 
 def corpus_zipf(tokens: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from glossmill.operators import examples, known, mwe, stats, tokens
 from glossmill.plans import oracle
 from glossmill.plans.base import Registry, table
 from glossmill.plans.text_queries import PHRASES, phrases
+from glossmill.sources.shared import materialize
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.sql
@@ -19,12 +20,16 @@ def _tokens(spark, sf_dir) -> DataFrame:
     return tokens.tokenize(table(spark, sf_dir, "documents"))
 
 
-def _stats(found: DataFrame) -> DataFrame:
-    return stats.lemma_frequency_with_zipf(found)
+def _words(spark, sf_dir) -> DataFrame:
+    return tokens.RegexAnnotator().counted(tokens.sentences(table(spark, sf_dir, "documents")))
+
+
+def _stats(spark, sf_dir) -> DataFrame:
+    return stats.word_frequency_with_zipf(_words(spark, sf_dir))
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
-    return stats.ranked(stats.by_frequency(_stats(_tokens(spark, sf_dir))))
+    return stats.ranked(stats.by_frequency(_stats(spark, sf_dir)))
 
 
 _KNOWN = ("the", "was", "edon", "thion", "inre", "ofthe")
@@ -50,18 +55,18 @@ def agg_1(spark, sf_dir):
     f"WITH {oracle.TOKENS} SELECT lemma, count(*) AS n FROM tok WHERE is_alpha GROUP BY lemma",
 )
 def flt_1(spark, sf_dir):
-    kept = tokens.learnable(_tokens(spark, sf_dir), stop=True, proper=True)
-    return kept.groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
+    kept = tokens.learnable(_words(spark, sf_dir), stop=True, proper=True)
+    return kept.groupBy("lemma").agg(F.sum("n").alias("n"))
 
 
 @query("fn_8", f"WITH {oracle.ZIPF} SELECT lemma, book_freq, round(global_zipf, 9) AS global_zipf FROM zipfed")
 def fn_8(spark, sf_dir):
-    return _stats(_tokens(spark, sf_dir)).select("lemma", "book_freq", F.round("global_zipf", 9).alias("global_zipf"))
+    return _stats(spark, sf_dir).select("lemma", "book_freq", F.round("global_zipf", 9).alias("global_zipf"))
 
 
 @query("flt_2", f"WITH {oracle.ZIPF} SELECT lemma, book_freq FROM kept")
 def flt_2(spark, sf_dir):
-    return stats.by_frequency(_stats(_tokens(spark, sf_dir))).select("lemma", "book_freq")
+    return stats.by_frequency(_stats(spark, sf_dir)).select("lemma", "book_freq")
 
 
 @query("rnk_1", f"WITH {oracle.ZIPF} SELECT lemma, book_freq, round(score, 9) AS score FROM scored")
@@ -71,18 +76,18 @@ def rnk_1(spark, sf_dir):
 
 @query("flt_3", f"WITH {oracle.FREQUENCY}, {_KNOWN_SQL} SELECT freq.lemma, book_freq FROM freq LEFT JOIN known USING (lemma) WHERE coalesce(status, '') NOT IN ('known')")
 def flt_3(spark, sf_dir):
-    found = stats.lemma_frequency(_tokens(spark, sf_dir))
+    found = stats.word_frequency(_words(spark, sf_dir))
     return known.by_status(found, _known(spark), ("known",)).select("lemma", "book_freq")
 
 
 @query("flt_4", f"WITH {oracle.FREQUENCY}, {_KNOWN_SQL} SELECT freq.lemma, book_freq FROM freq LEFT JOIN known USING (lemma) WHERE coalesce(status, '') NOT IN ('known', 'ignore')")
 def flt_4(spark, sf_dir):
-    return known.by_status(stats.lemma_frequency(_tokens(spark, sf_dir)), _known(spark)).select("lemma", "book_freq")
+    return known.by_status(stats.word_frequency(_words(spark, sf_dir)), _known(spark)).select("lemma", "book_freq")
 
 
 @query("flt_5", f"WITH {oracle.FREQUENCY} SELECT lemma, book_freq FROM freq WHERE lemma NOT IN ({oracle.listed(lexicon.DIALECT)})")
 def flt_5(spark, sf_dir):
-    return stats.without_dialect(stats.lemma_frequency(_tokens(spark, sf_dir))).select("lemma", "book_freq")
+    return stats.without_dialect(stats.word_frequency(_words(spark, sf_dir))).select("lemma", "book_freq")
 
 
 _PHRASE_STATS = PHRASES + ", ps AS (SELECT phrasal, count(*) AS book_freq, 'phrasal_verb' AS item_type FROM phr GROUP BY phrasal)"
@@ -155,9 +160,11 @@ def rnk_3(spark, sf_dir):
     pairs AS (SELECT DISTINCT t.lemma AS item, s.sentence, s.sentence_id AS ord FROM tok t JOIN best USING (lemma) JOIN sent s USING (sentence_id)) {_TOP_K}""",
 )
 def rnk_4(spark, sf_dir):
-    found = _tokens(spark, sf_dir)
-    ranked = stats.ranked(stats.by_frequency(_stats(found)))
-    rows = examples.for_candidates(ranked, found, tokens.sentences(table(spark, sf_dir, "documents")), top_n=100)
+    own, found = tokens.RegexAnnotator(), tokens.sentences(table(spark, sf_dir, "documents"))
+    words = own.counted(found)
+    ranked = stats.ranked(stats.by_frequency(stats.word_frequency_with_zipf(words)))
+    best = materialize(words.join(stats.top(ranked, 100).select("lemma"), "lemma", "left_semi"), "best-words")
+    rows = examples.for_candidates(ranked, own.uses(found, best), found, top_n=100)
     return rows.where("example is not null").select(F.col("lemma").alias("item"), "example")
 
 
@@ -220,7 +227,7 @@ def flt_8(spark, sf_dir):
 
 @query("jn_1", f"WITH {oracle.FREQUENCY}, {_KNOWN_SQL} SELECT freq.lemma, status FROM freq LEFT JOIN known USING (lemma)")
 def jn_1(spark, sf_dir):
-    found = stats.lemma_frequency(_tokens(spark, sf_dir))
+    found = stats.word_frequency(_words(spark, sf_dir))
     return found.join(_known(spark).select("lemma", "status"), "lemma", "left").select("lemma", "status")
 
 
@@ -243,7 +250,7 @@ def set_2(spark, sf_dir):
     return phrases(spark, sf_dir).select("book", "sentence_id", "phrasal").dropDuplicates()
 
 
-def _words(spark, sf_dir) -> DataFrame:
+def _event_words(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     return rows.select(
         F.concat(F.lit("W"), (F.col("user_id") % 97).cast("string")).alias("lemma"),
@@ -259,7 +266,7 @@ _WORDS_SQL = "words AS (SELECT 'w' || (user_id % 97) AS lemma, event_type AS sta
 
 @query("set_3", f"WITH {_WORDS_SQL} SELECT * FROM last")
 def set_3(spark, sf_dir):
-    return known.normalized(_words(spark, sf_dir), "ord")
+    return known.normalized(_event_words(spark, sf_dir), "ord")
 
 
 @query(
@@ -267,21 +274,21 @@ def set_3(spark, sf_dir):
     f"WITH {_WORDS_SQL} SELECT * FROM last WHERE lemma NOT IN ('w1', 'w2') UNION ALL SELECT * FROM (VALUES ('w1', 'known', 'word', 'new', ''), ('zz', 'maybe', 'word', 'new', ''), ('w2', 'ignore', 'word', 'new', ''))",
 )
 def set_4(spark, sf_dir):
-    rows = known.normalized(_words(spark, sf_dir), "ord")
+    rows = known.normalized(_event_words(spark, sf_dir), "ord")
     more = spark.createDataFrame([("w1", "known", "word", "new", ""), ("zz", "maybe", "word", "new", ""), ("w2", "ignore", "word", "new", "")], rows.schema)
     return known.upsert(rows, more)
 
 
 @query("set_5", f"WITH {_WORDS_SQL} SELECT lemma, CASE WHEN lemma = 'w5' THEN 'known' ELSE status END AS status FROM last")
 def set_5(spark, sf_dir):
-    rows = known.normalized(_words(spark, sf_dir), "ord")
+    rows = known.normalized(_event_words(spark, sf_dir), "ord")
     learned = spark.createDataFrame([("w5", "known", "word", "", "")], rows.schema)
     return known.upsert(rows, learned).select("lemma", "status")
 
 
 @query("agg_7", f"WITH {_WORDS_SQL} SELECT status, count(*) AS n FROM last GROUP BY status")
 def agg_7(spark, sf_dir):
-    return known.progress(known.normalized(_words(spark, sf_dir), "ord"))
+    return known.progress(known.normalized(_event_words(spark, sf_dir), "ord"))
 
 
 @query(

@@ -65,3 +65,18 @@ def test_guidance_sends_no_table_of_items_to_all_tasks(spark):
     same(spark, "rnk_15")
     text = registry.QUERIES["rnk_15"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" not in text and "BuildLeft" not in text
+
+
+@pytest.mark.parametrize("name", ["flt_1", "flt_2", "flt_4", "flt_5", "fn_8", "jn_1", "rnk_1", "rnk_4", "rnk_7", "txt_4_index"])
+def test_words_that_are_counted_first_match_sql(spark, name):
+    same(spark, name)
+
+
+def test_words_are_classified_once_and_not_at_every_use(spark):
+    text = plan(registry.QUERIES["flt_5"](spark, SF))
+    assert "regexp_extract_all" not in text and "Relation [surface" in text  # reads counts of words, no texts
+    docs = spark.createDataFrame([(1, "Runs ran. He runs o'er it's Édith runs. 3 RUNS - Run")], "doc_id int, text string")
+    toks, words = tokens.tokenize(docs), tokens.RegexAnnotator().counted(tokens.sentences(docs))
+    columns = ["surface", "lemma", "pos", "is_stop", "is_alpha"]
+    want = toks.groupBy(*columns, (toks["position"] > 0).alias("inner")).count()
+    assert sorted(words.selectExpr(*columns, "position > 0", "n").collect()) == sorted(want.select(*columns, "inner", "count").collect())
