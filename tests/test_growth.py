@@ -86,3 +86,9 @@ def test_words_are_classified_once_and_not_at_every_use(spark):
 def test_pages_are_read_whole_from_few_files(spark, name):
     same(spark, name)
     assert len(registry.QUERIES[name](spark, SF).inputFiles()) <= 8
+
+
+def test_texts_are_made_ready_once_for_all_words(spark):
+    same(spark, "fn_3")
+    text = plan(registry.QUERIES["fn_3"](spark, SF))
+    assert text.index("RLIKE") < text.index("Generate explode") < text.index("regexp_replace")
