@@ -27,7 +27,10 @@ def _counts() -> list:
 def lemma_frequency(tokens: DataFrame, stop: bool = False, proper: bool = False, other: bool = False) -> DataFrame:
     """Per lemma: occurrences, sentences, verbs, others and stop words."""
     require_columns(tokens, ["lemma", "sentence_id", "is_stop", "pos", "is_alpha"], "tokens")
-    return learnable(tokens, stop, proper, other).withColumn("__own", F.lit(True)).groupBy("lemma").agg(*_counts())
+    # Names are not counted rather than left out: a filter on tags would make the rules run twice a token, in code too long to be compiled.
+    own = F.lit(True) if proper else F.col("pos") != "PROPN"
+    found = learnable(tokens, stop, True, other).withColumn("__own", own).groupBy("lemma").agg(*_counts())
+    return found.where("book_freq > 0")
 
 
 def lemma_frequency_with_zipf(tokens: DataFrame) -> DataFrame:

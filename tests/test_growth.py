@@ -3,8 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from glossmill.operators import batch, families, gold, tokens
+from glossmill.operators import batch, families, gold, stats, tokens
 from glossmill.plans import registry
 from glossmill.sources import books
 from test_entry import SF, same
@@ -123,3 +124,15 @@ def test_words_are_held_against_their_sentence_without_a_join(spark):
     text = plan(registry.QUERIES["txt_13"](spark, SF))
     assert text.count("Join") == 1  # irregular forms
     assert text.count("regexp_extract_all") == 2  # sentences, and words once
+
+
+def test_names_are_not_counted_and_no_filter_asks_for_tags(spark):
+    same(spark, "agg_1")
+    filters = [line for line in plan(registry.QUERIES["agg_1"](spark, SF)).splitlines() if re.match(r"\W*Filter ", line)]
+    assert filters and not any("CASE WHEN" in line for line in filters)
+    docs = spark.createDataFrame([(1, "He met Paris. Cats met cats."), (2, "A cat. The Paris")], "doc_id int, text string")
+    toks = tokens.tokenize(docs)
+    for proper in (False, True):
+        want = tokens.learnable(toks, proper=proper).groupBy("lemma").agg(F.count("*"), F.count_distinct("sentence_id"))
+        got = stats.lemma_frequency(toks, proper=proper)
+        assert sorted(got.select("lemma", "book_freq", "doc_count").collect()) == sorted(want.collect())
