@@ -136,3 +136,27 @@ def test_names_are_not_counted_and_no_filter_asks_for_tags(spark):
         want = tokens.learnable(toks, proper=proper).groupBy("lemma").agg(F.count("*"), F.count_distinct("sentence_id"))
         got = stats.lemma_frequency(toks, proper=proper)
         assert sorted(got.select("lemma", "book_freq", "doc_count").collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("name", ["txt_7", "txt_11"])
+def test_sentences_are_put_together_from_whole_lists(spark, name):
+    same(spark, name)
+    text = plan(registry.QUERIES[name](spark, SF))
+    assert "posexplode(regexp_extract_all" not in text and "posexplode(read" not in text  # no row a token
+
+
+def test_nested_tokens_are_those_of_the_table_even_if_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, "He went. \f\nIt's 3-4!"), (2, ""), (3, None), (1, "A b c d e. Fg"), (None, "Xy z")], "doc_id int, text string")
+    sents = tokens.sentences(docs)
+    for annotator in (tokens.RegexAnnotator(), tokens.LoadedAnnotator(tokens.plain_loader)):
+        want = tokens.reconstruct(annotator.tokens(sents))
+        got = tokens.reconstruct(annotator.nested(sents))
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_lists_of_equal_keys_are_merged_whatever_their_words_hold(spark):
+    rows = [(1, ["a b", "c"]), (2, [""]), (3, ["x", "z"]), (3, ["y", "a b", "q"]), (4, ["a", "", "b"]), (None, ["m"]), (None, ["n", "o"])]
+    nested = spark.createDataFrame(rows, "sentence_id int, surfaces array<string>")
+    got = sorted(map(str, (list(r) for r in tokens.merged_lists(nested, ("sentence_id",)).collect())))
+    want = [[1, ["a b", "c"]], [2, [""]], [3, ["x", "y", "a b", "z", "q"]], [4, ["a", "", "b"]], [None, ["m", "n", "o"]]]
+    assert got == sorted(map(str, want))
