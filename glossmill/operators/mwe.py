@@ -75,13 +75,13 @@ def _near() -> Column:
     return F.arrays_overlap(F.transform("words", lambda w: F.lower(w)), "particles")
 
 
-def _named(found: DataFrame) -> DataFrame:
+def _named(found: DataFrame, *more: str) -> DataFrame:
     phrase = F.concat_ws(" ", "verb", "particle").alias("phrasal")
-    return found.select("book", "sentence_id", phrase, "verb", "particle").dropDuplicates(["book", "sentence_id", "phrasal"])
+    return found.select("book", "sentence_id", phrase, "verb", "particle", *more).dropDuplicates(["book", "sentence_id", "phrasal"])
 
 
-def phrasal_verbs(sentences: DataFrame, pairs: DataFrame, gap: int = GAP, annotator: RegexAnnotator | None = None) -> DataFrame:
-    """(book, sentence_id, phrasal, verb, particle): verbs of a dictionary with their particles, objects between or not.
+def phrasal_verbs(sentences: DataFrame, pairs: DataFrame, gap: int = GAP, annotator: RegexAnnotator | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """(book, sentence_id, phrasal, verb, particle) and columns ``more`` of sentences: verbs of a dictionary with their particles, objects between or not.
 
     Verbs are found by lemma in every form, and each takes the first particle of
     its own that it reaches ("gave the old lamp up"); each phrase counts once a
@@ -89,8 +89,8 @@ def phrasal_verbs(sentences: DataFrame, pairs: DataFrame, gap: int = GAP, annota
     shuffled but the phrases found.  ``pairs`` has verb and particle.
     """
     own = annotator or RegexAnnotator()
-    rows = own.rows(sentences, ahead=gap + 1, only=_verb_forms(pairs)).where(_IS_VERB).where(_near())
-    return _named(_phrases(rows, own.tagged_words(F.col("words")), ["book", "sentence_id"]))
+    rows = own.rows(sentences, *more, ahead=gap + 1, only=_verb_forms(pairs)).where(_IS_VERB).where(_near())
+    return _named(_phrases(rows, own.tagged_words(F.col("words")), ["book", "sentence_id", *more]), *more)
 
 
 def phrasal_verbs_of_tokens(tokens: DataFrame, pairs: DataFrame, gap: int = GAP, verbs_only: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.operators import batch, families, gold, stats, tokens
+from glossmill.operators import batch, examples, families, gold, stats, tokens
 from glossmill.plans import registry
 from glossmill.sources import books
 from test_entry import SF, same
@@ -160,3 +160,21 @@ def test_lists_of_equal_keys_are_merged_whatever_their_words_hold(spark):
     got = sorted(map(str, (list(r) for r in tokens.merged_lists(nested, ("sentence_id",)).collect())))
     want = [[1, ["a b", "c"]], [2, [""]], [3, ["x", "y", "a b", "z", "q"]], [4, ["a", "", "b"]], [None, ["m", "n", "o"]]]
     assert got == sorted(map(str, want))
+
+
+def test_phrases_are_found_once_and_meet_the_chosen_sentences_only(spark):
+    same(spark, "jn_3")
+    text = plan(registry.QUERIES["jn_3"](spark, SF))
+    assert text.count("regexp_extract_all") == 1  # sentences of the examples; phrases are read back
+    assert "rightHint=(strategy=broadcast)" in text
+
+
+def test_examples_chosen_by_length_are_those_chosen_by_text(spark):
+    sizes = [5, 30, 60, 100, 100, 101, 99, 140, 200, 290, 400, 0, 51]
+    sents = spark.createDataFrame([(i, chr(97 + i % 3) * n) for i, n in enumerate(sizes)], "sentence_id int, sentence string")
+    found = spark.createDataFrame([(p, i) for p, ids in {"a": range(13), "b": [0, 1, 8, 10], "c": [11], "d": [3, 6, 3]}.items() for i in ids], "phrasal string, sentence_id int")
+    counts = found.groupBy("phrasal").count()
+    measured = found.join(sents.select("sentence_id", F.length("sentence").alias("length")), "sentence_id")
+    want = examples.for_phrases(counts, found, sents)
+    got = examples.for_phrases(counts, measured, sents)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
