@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from glossmill.functions.text import LETTERS
 from glossmill.operators import batch, examples, families, gold, stats, tokens
 from glossmill.plans import registry
 from glossmill.sources import books
@@ -178,3 +179,13 @@ def test_examples_chosen_by_length_are_those_chosen_by_text(spark):
     want = examples.for_phrases(counts, found, sents)
     got = examples.for_phrases(counts, measured, sents)
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_words_are_matched_by_table_as_by_ranges(spark):
+    ranges = f"[{LETTERS}]+(?:'[a-z]+)?|[0-9]+|[^ \\t\\n\\r\\f\\x0B0-9{LETTERS}]"
+    assert "A-Z" not in tokens.TOKEN and "0-9" not in tokens.TOKEN
+    texts = ["".join(chr(c) + "a'b7 "[c % 5] for c in range(k, min(k + 500, 0xD800))) for k in range(0, 0xD800, 500)] + ["é's 12ab O'Neil's 𝒳x Ünïcødé ×÷ ɏɐ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select(*(F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (tokens.TOKEN, ranges))).collect():
+        assert row[0] == row[1]
+    assert all(re.findall(tokens.TOKEN, t) == re.findall(ranges, t) for t in texts)
