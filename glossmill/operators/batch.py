@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.operators import families, qc
-from glossmill.sources.shared import exists, materialize, shared_path
+from glossmill.sources.shared import drop, exists, materialize, shared_path, shuffles_dropped
 
 #: A model: (key, prompt) to (key, response); a key without a row got no answer.
 Ask = Callable[[DataFrame], DataFrame]
@@ -115,7 +115,9 @@ def parse_results(
 BUCKET_DIGITS = 2
 
 
-def cached(requests: DataFrame, ask: Ask, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def cached(
+    requests: DataFrame, ask: Ask, path: str, keep: tuple[str, ...] = (), below: str | None = None, known: bool | None = None
+) -> DataFrame:
     """(key, response, source) and the columns ``keep`` of requests: answers to ``requests`` (key, prompt), asked only where the cache below ``path`` has none.
 
     The cache is keyed by the SHA-256 of key and prompt, lies in buckets by its
@@ -126,13 +128,15 @@ def cached(requests: DataFrame, ask: Ask, path: str, keep: tuple[str, ...] = ())
     is cache or network; no answer is a null.
 
     Prompts are written once.  They are dealt out again only where some requests
-    are the same or an earlier call may have left answers.
+    are the same or an earlier call may have left answers.  ``below`` is the folder of what
+    is written besides the cache; ``known`` tells whether the cache may have answers to
+    these requests, which is looked up where it is not given.
     """
     spark = requests.sparkSession
     key = F.sha2(F.concat_ws("|", "key", "prompt"), 256)
-    named = materialize(requests.select("key", "prompt", *keep, key.alias("cache_key"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket")), "requests")
+    named = materialize(requests.select("key", "prompt", *keep, key.alias("cache_key"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket")), "requests", below)
     kind = "cache_key string, key string, response string, bucket string"
-    known = exists(spark, path)
+    known = exists(spark, path) if known is None else known
     if known:
         own = [r[0] for r in named.select("bucket").distinct().collect()]
         have = spark.read.schema(kind).parquet(path).where(F.col("bucket").isin(own))
@@ -140,13 +144,13 @@ def cached(requests: DataFrame, ask: Ask, path: str, keep: tuple[str, ...] = ())
         have = spark.createDataFrame([], kind)
     # What is in the cache now, before this call's own answers are appended.
     found = have.join(named.select("bucket", "cache_key").distinct(), ["bucket", "cache_key"], "left_semi")
-    hits = materialize(found.groupBy("cache_key").agg(F.min("response").alias("response")), "hits")
+    hits = materialize(found.groupBy("cache_key").agg(F.min("response").alias("response")), "hits", below)
     missing = named.join(hits.select("cache_key"), "cache_key", "left_anti") if known else named
     repeated = not missing.groupBy("cache_key").count().where("count > 1").isEmpty()
     asked = missing.select("key", "prompt")
     answers = ask(asked.distinct() if repeated else asked).where("response is not null")
-    new = materialize(missing.join(answers, "key").select("cache_key", "key", "response", "bucket").dropDuplicates(["cache_key"]), "answers")
-    new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    new = materialize(missing.join(answers, "key").select("cache_key", "key", "response", "bucket").dropDuplicates(["cache_key"]), "answers", below)
+    new.repartition("bucket").write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(path)
     both = hits.withColumn("source", F.lit("cache")).unionByName(new.select("cache_key", "response", F.lit("network").alias("source")))
     return named.select("key", "cache_key", *keep).join(both, "cache_key", "left").select("key", *keep, "response", F.coalesce("source", F.lit("network")).alias("source"))
 
@@ -183,22 +187,44 @@ def retry_prompt(lemma: Column, examples: Column) -> Column:
     return F.concat(families.prompt(lemma, examples), F.lit("\n\nEvery meaning must name the numbers of its examples. Answer with valid JSON only."))
 
 
-def cluster(blocks: DataFrame, ask: Ask, cache: str) -> DataFrame:
+def cluster(blocks: DataFrame | list[DataFrame], ask: Ask, cache: str) -> DataFrame:
     """Cards (key, lemma, block, indices, ..) of all blocks of examples, with indices into all examples of a lemma.
 
     A lemma of one block takes one pass, a longer one a pass for each block.
+
+    ``blocks`` may come in parts that share no lemma.  These are asked one after
+    another; the prompts of a part go when its answers are written, so the disk holds those
+    of one part at most.
     """
-    key = F.concat(F.lit("lemma:"), F.col("lemma"), F.lit("#"), F.col("block").cast("string"))
-    named = blocks.withColumn("key", key)
-    texts = F.transform("examples", lambda e: e["text"])
-    made = named.select("key", families.prompt(F.col("lemma"), texts).alias("prompt"), "lemma", "block", "offset", F.size("examples").alias("__n"))
     own_columns = ("lemma", "block", "offset", "__n")
-    answers = cached(made, ask, cache, keep=own_columns)
+    if isinstance(blocks, DataFrame):
+        answers = cached(_block_requests(blocks), ask, cache, keep=own_columns)
+    else:
+        answers = _answers_of_parts(blocks, ask, cache, own_columns)
     cards = families.parse(answers.where("response is not null"), keep=own_columns).where("error is null and card is not null")
     own = F.filter(families.indices(F.col("card.selected_example_indices")), lambda i: (i >= 1) & (i <= F.col("__n")))
     return families.merge_blocks(cards.withColumn("indices", own).drop("__n"))
 
 
+def _block_requests(blocks: DataFrame) -> DataFrame:
+    key = F.concat(F.lit("lemma:"), F.col("lemma"), F.lit("#"), F.col("block").cast("string"))
+    texts = F.transform("examples", lambda e: e["text"])
+    return blocks.select(key.alias("key"), families.prompt(F.col("lemma"), texts).alias("prompt"), "lemma", "block", "offset", F.size("examples").alias("__n"))
+
+
+def _answers_of_parts(parts: list[DataFrame], ask: Ask, cache: str, keep: tuple[str, ...]) -> DataFrame:
+    """(key, ``keep``, response) of the requests of all parts."""
+    spark = parts[0].sparkSession
+    path, known = shared_path(spark, "answered"), exists(spark, cache)
+    with shuffles_dropped(spark):
+        for part in parts:
+            below = shared_path(spark, "part")
+            answers = cached(_block_requests(part), ask, cache, keep, below, known).select("key", *keep, "response")
+            answers.write.mode("append").option("compression", "zstd").parquet(path)
+            drop(spark, below)
+    return spark.read.schema(answers.schema).parquet(path)
+
+
 def labelled(
     items: DataFrame, ask: Callable[[DataFrame, int], DataFrame], read: Callable[[Column], Column], tries: int = 3, journal: str | None = None
 ) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from glossmill.functions.scores import pos_shares
 from glossmill.functions.text import strip_fences, target_in_text
 from glossmill.lexicon import CONTENT_POS
-from glossmill.operators.tokens import content
+from glossmill.operators.tokens import RegexAnnotator, content
 from glossmill.schemas import CARD, require_columns
+from glossmill.sources.shared import materialize
 
 REQUIRED = ("definition_en", "definition_ru", "part_of_speech")
 
@@ -76,6 +77,40 @@ def example_blocks(tokens: DataFrame, sentences: DataFrame, size: int = 100, mad
     return listed.select("lemma", "block", (F.col("block") * size).alias("offset"), "examples")
 
 
+#: Bytes of examples in a part of all lemmas, and the most parts.
+PART_BYTES, MOST_PARTS = 1 << 27, 48
+#: Files of uses with their texts: a text is stored once for all of its lemmas as long as the dictionary of a row group holds it.
+_ONCE = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.dictionary.page.size": str(16 << 20)}
+
+
+def block_parts(sentences: DataFrame, size: int = 100) -> list[DataFrame]:
+    """All of ``example_blocks`` of the built-in tokens, dealt by lemma into parts to be read one after another.
+
+    A sentence stands in the examples of each of its lemmas, so all examples are many times
+    the texts.  Uses are written once, in order of the texts, and a part takes those of its
+    lemmas from there: only its own examples are dealt out at a time.
+    """
+    code = (F.array_position(F.array(*map(F.lit, CONTENT_POS)), F.col("pos")) - 1).cast("long")
+    found = content(RegexAnnotator().rows(sentences, "sentence", once=True))
+    first = (F.col("position").cast("long") * len(CONTENT_POS) + code).alias("__first")
+    own = materialize(found.select("lemma", "sentence_id", first, F.col("sentence").alias("text")), "uses", **_ONCE)
+    room = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, min(MOST_PARTS, -(-room // PART_BYTES)))
+    return [_blocks_of(own.where(F.pmod(F.xxhash64("lemma"), F.lit(n)) == k), size) for k in range(n)]
+
+
+def _blocks_of(uses: DataFrame, size: int) -> DataFrame:
+    """``example_blocks`` of uses with their texts (lemma, sentence_id, __first, text); of several in a sentence, the first counts."""
+    dealt = uses.repartition("lemma")
+    again = F.row_number().over(Window.partitionBy("lemma", "sentence_id").orderBy("__first", "text"))
+    place = F.row_number().over(Window.partitionBy("lemma").orderBy("sentence_id")) - 1
+    pos = F.element_at(F.array(*map(F.lit, CONTENT_POS)), F.pmod("__first", F.lit(len(CONTENT_POS))).cast("int") + 1)
+    placed = dealt.withColumn("__again", again).where("__again = 1").withColumn("block", F.floor(place / F.lit(size)).cast("int"))
+    rows = F.collect_list(F.struct("sentence_id", "text", pos.alias("pos")))
+    listed = placed.groupBy("lemma", "block").agg(F.sort_array(rows).alias("examples"))
+    return listed.select("lemma", "block", (F.col("block") * size).alias("offset"), "examples")
+
+
 def merge_blocks(cards: DataFrame) -> DataFrame:
     """Cards of blocks (lemma, offset, indices from 1, ..) with indices into all examples of the lemma."""
     moved = F.transform("indices", lambda i: i + F.col("offset"))

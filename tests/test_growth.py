@@ -202,3 +202,36 @@ def test_content_words_are_tagged_once_and_blocks_do_not_list_all_of_their_lemma
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() > 0
     nulls = spark.createDataFrame([(None, False, "NOUN"), (True, None, "NOUN"), (True, False, None), (True, False, "NOUN")], "is_alpha boolean, is_stop boolean, pos string")
     assert tokens.content(nulls).count() == 1
+
+
+def test_blocks_in_parts_are_those_of_all_at_once_and_leave_no_prompts(spark, tmp_path, monkeypatch):
+    texts = ["The cats ran. A cat runs, cat! Paris met Paris\nCats run. Run", "Run cats run. It's a good dog's life; dogs ran", "", None, "A cat."]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    sents = tokens.sentences(docs)
+    want = families.example_blocks(tokens.tokenize(docs), sents, 2, made=True)
+    columns = ["lemma", "block", "offset", "examples"]
+    monkeypatch.setattr(families, "PART_BYTES", 100)
+    parts = families.block_parts(sents, 2)
+    rows = [[tuple(map(str, r)) for r in p.select(*columns).collect()] for p in parts]
+    assert len(parts) > 2 and len([p for p in rows if p]) > 1
+    assert sorted(sum(rows, [])) == sorted(tuple(map(str, r)) for r in want.select(*columns).collect())
+
+    seen = {}
+
+    def ask(requests):
+        seen.update({r["key"]: r["prompt"] for r in requests.collect()})
+        text = '{"cards":[{"meaning_id":1,"definition_en":"x","selected_example_indices":[1,2,3]}]}'
+        answer = F.to_json(F.expr(f"named_struct('candidates', array(named_struct('content', named_struct('parts', array(named_struct('text', '{text}'))))))"))
+        return requests.select("key", answer.alias("response"))
+
+    monkeypatch.setattr(spark.conf, "get", lambda name, *a, get=spark.conf.get: f"file://{tmp_path}/shared" if name == "spark.checkpoint.dir" else get(name, *a))
+    whole = sorted(map(str, batch.cluster(want, ask, f"file://{tmp_path}/a").select("lemma", "block", "indices").collect()))
+    prompts, _ = dict(seen), seen.clear()
+    drafts = set(tmp_path.glob("shared/glossmill/*"))
+    for source in ("network", "cache"):
+        got = batch.cluster(parts, ask, f"file://{tmp_path}/b").select("lemma", "block", "indices")
+        assert sorted(map(str, got.collect())) == whole and len(whole) > 5
+        assert seen == (prompts if source == "network" else {})
+        seen.clear()
+    left = [p.name for p in set(tmp_path.glob("shared/glossmill/*")) - drafts]
+    assert left and all(name.startswith("answered-") for name in left)
