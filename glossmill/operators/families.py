@@ -34,6 +34,28 @@ def uses(tokens: DataFrame, sentences: DataFrame | None = None, by: tuple[str, .
     return own if sentences is None else own.join(sentences.where("sentence <> ''").select("sentence_id"), "sentence_id", "left_semi")
 
 
+def made_uses(sentences: DataFrame, *more: str) -> DataFrame:
+    """(lemma, sentence_id, __first, ..) of the built-in tokens: place and part of speech of a use as one number, with columns ``more`` of its sentence.
+
+    A word that its sentence had before is left out where it is split; different words of one lemma are not.
+    """
+    code = (F.array_position(F.array(*map(F.lit, CONTENT_POS)), F.col("pos")) - 1).cast("long")
+    found = content(RegexAnnotator().rows(sentences, *more, once=True))
+    return found.select("lemma", "sentence_id", (F.col("position").cast("long") * len(CONTENT_POS) + code).alias("__first"), *more)
+
+
+def placed_uses(uses: DataFrame, size: int, *ties: str) -> DataFrame:
+    """``made_uses`` with pos and block, ``size`` sentences of a lemma in each; of several in a sentence the first is left, equal ones by ``ties``.
+
+    Uses are dealt out by lemma and sorted once; the first of each sentence is found in that order, not by hashing.
+    """
+    again = F.row_number().over(Window.partitionBy("lemma", "sentence_id").orderBy("__first", *ties))
+    place = F.row_number().over(Window.partitionBy("lemma").orderBy("sentence_id")) - 1
+    pos = F.element_at(F.array(*map(F.lit, CONTENT_POS)), F.pmod("__first", F.lit(len(CONTENT_POS))).cast("int") + 1)
+    first = uses.repartition("lemma").withColumn("__again", again).where("__again = 1")
+    return first.withColumns({"block": F.floor(place / F.lit(size)).cast("int"), "pos": pos}).drop("__again", "__first")
+
+
 def _counted(over: Callable[[Column], Column]) -> list[Column]:
     seen = [F.when(over(F.count_if(F.col("pos") == p)) > 0, p) for p in sorted(CONTENT_POS)]
     return [over(F.count(F.lit(1))).alias("example_count"), F.array_compact(F.array(*seen)).alias("pos_variants")]
@@ -90,10 +112,7 @@ def block_parts(sentences: DataFrame, size: int = 100) -> list[DataFrame]:
     the texts.  Uses are written once, in order of the texts, and a part takes those of its
     lemmas from there: only its own examples are dealt out at a time.
     """
-    code = (F.array_position(F.array(*map(F.lit, CONTENT_POS)), F.col("pos")) - 1).cast("long")
-    found = content(RegexAnnotator().rows(sentences, "sentence", once=True))
-    first = (F.col("position").cast("long") * len(CONTENT_POS) + code).alias("__first")
-    own = materialize(found.select("lemma", "sentence_id", first, F.col("sentence").alias("text")), "uses", **_ONCE)
+    own = materialize(made_uses(sentences, "sentence").withColumnRenamed("sentence", "text"), "uses", **_ONCE)
     room = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, min(MOST_PARTS, -(-room // PART_BYTES)))
     return [_blocks_of(own.where(F.pmod(F.xxhash64("lemma"), F.lit(n)) == k), size) for k in range(n)]
@@ -101,13 +120,8 @@ def block_parts(sentences: DataFrame, size: int = 100) -> list[DataFrame]:
 
 def _blocks_of(uses: DataFrame, size: int) -> DataFrame:
     """``example_blocks`` of uses with their texts (lemma, sentence_id, __first, text); of several in a sentence, the first counts."""
-    dealt = uses.repartition("lemma")
-    again = F.row_number().over(Window.partitionBy("lemma", "sentence_id").orderBy("__first", "text"))
-    place = F.row_number().over(Window.partitionBy("lemma").orderBy("sentence_id")) - 1
-    pos = F.element_at(F.array(*map(F.lit, CONTENT_POS)), F.pmod("__first", F.lit(len(CONTENT_POS))).cast("int") + 1)
-    placed = dealt.withColumn("__again", again).where("__again = 1").withColumn("block", F.floor(place / F.lit(size)).cast("int"))
-    rows = F.collect_list(F.struct("sentence_id", "text", pos.alias("pos")))
-    listed = placed.groupBy("lemma", "block").agg(F.sort_array(rows).alias("examples"))
+    rows = F.collect_list(F.struct("sentence_id", "text", "pos"))
+    listed = placed_uses(uses, size, "text").groupBy("lemma", "block").agg(F.sort_array(rows).alias("examples"))
     return listed.select("lemma", "block", (F.col("block") * size).alias("offset"), "examples")
 
 

@@ -235,3 +235,13 @@ def test_blocks_in_parts_are_those_of_all_at_once_and_leave_no_prompts(spark, tm
         seen.clear()
     left = [p.name for p in set(tmp_path.glob("shared/glossmill/*")) - drafts]
     assert left and all(name.startswith("answered-") for name in left)
+
+
+def test_uses_without_repeated_words_are_those_of_all_tokens(spark):
+    texts = ["Paris met Paris. Cat cats cat Cats", "He ran. Runs run, ran RAN! 3 la la La", "Light light lights lit. Lit fire fires fired", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    want = families.uses(tokens.tokenize(docs))
+    got = families.placed_uses(families.made_uses(tokens.sentences(docs)), 1)
+    assert sorted(got.select("lemma", "sentence_id", "pos").collect()) == sorted(want.collect())
+    assert got.select("lemma", "block").distinct().count() == got.count() > 8
+    assert "Aggregate" not in plan(got)
